@@ -35,12 +35,6 @@ def contains_any(c: Column, words: Iterable[str]) -> Column:
     return c.rlike("|".join(escaped)) if escaped else F.lit(False)
 
 
-def word_set(c: Column) -> Column:
-    """Distinct lower-case alphanumeric tokens."""
-    cleaned = F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9 ]+", " "))
-    return F.array_distinct(F.split(cleaned, " +"))
-
-
 def squash(c: Column) -> Column:
     """Lower-case with everything but letters and digits removed."""
     return F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")

@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.text import contains_any, non_empty, strip, token_type, variant_text, word_set
+from ..functions.rows import once
+from ..functions.text import (contains_any, non_empty, quote, sql_list, strip, token_type,
+                              variant_text)
 from .receipts import advisory_number
 
 
@@ -31,33 +33,40 @@ def adversarial(text: Column, patterns: Sequence[str] = K.ADVERSARIAL_PATTERNS)
 def score_categories(df: DataFrame, text: str = "doc_text",
                      categories: Mapping[str, Sequence[str]] = K.CATEGORY_KEYWORDS) -> DataFrame:
     """Adds ``candidates array<struct<neg_score,ordinal,category>>``, best first."""
-    single = sorted({k for words in categories.values() for k in words if " " not in k})
-    df = df.withColumn("_lower", F.lower(F.col(text)))
-    df = df.withColumn("_hits", F.array_intersect(
-        word_set(F.col(text)), F.array(*[F.lit(w) for w in single])))
-    scored = []
-    for ordinal, (name, words) in enumerate(categories.items()):
-        plain = [w for w in words if " " not in w]
-        count = F.lit(0)
-        if plain:
-            count = count + F.size(F.array_intersect(
-                "_hits", F.array(*[F.lit(w) for w in plain])))
-        for phrase in (w for w in words if " " in w):
-            count = count + F.contains("_lower", F.lit(phrase)).cast("int")
-        scored.append(F.struct(count.alias("n"), F.lit(ordinal).alias("ordinal"),
-                               F.lit(name).alias("category")))
-    df = df.withColumn("_scored", F.array(*scored))
+    names = list(categories)
+    owners: dict[str, list[int]] = {}
+    for ordinal, words in enumerate(categories.values()):
+        for word in words:
+            owners.setdefault(word, []).append(ordinal)
+    single = [w for w in owners if " " not in w]
+    owner_map = ", ".join(
+        f"{quote(w)}, array({', '.join(map(str, owners[w]))})" for w in single)
+    phrases = ", ".join(
+        f"case when contains(_lower, {quote(w)}) then {o} end"
+        for w in owners if " " in w for o in owners[w])
+    df = df.withColumn("_lower", F.lower(F.coalesce(text, F.lit(""))))
+    # dictionary words present, then one category number per hit
+    hits = f"""concat(
+        flatten(transform(
+            array_intersect(split(regexp_replace(_lower, '[^a-z0-9 ]+', ' '), ' +'),
+                            array({sql_list(single)})),
+            t -> try_element_at(map({owner_map}), t))),
+        array_compact(cast(array({phrases}) as array<int>)))"""
     _, one, two, many = K.HIT_SCORES
-    floor = f"""filter(transform(_scored, c -> struct(
-        case c.n when 0 then -0.0D when 1 then -{one}D when 2 then -{two}D else -{many}D end
-            as neg_score, c.ordinal as ordinal, c.category as category)),
-        c -> -c.neg_score >= {K.CATEGORY_FLOOR}D)"""
-    return df.withColumn("candidates", F.array_sort(F.expr(floor))).drop(
-        "_lower", "_hits", "_scored")
+    ranked = f"""array_sort(filter(transform(
+        aggregate({hits}, array_repeat(0, {len(names)}),
+                  (n, o) -> transform(n, (x, i) -> if(i = o, x + 1, x))),
+        (n, i) -> struct(
+            case n when 0 then -0.0D when 1 then -{one}D when 2 then -{two}D else -{many}D end
+                as neg_score, i as ordinal, array({sql_list(names)})[i] as category)),
+        c -> -c.neg_score >= {K.CATEGORY_FLOOR}D))"""
+    df = df.withColumn("candidates", F.expr(ranked)).drop("_lower")
+    return once(df, "candidates")
 
 
 def candidate_rows(scored: DataFrame, key: str) -> DataFrame:
-    rows = scored.select(key, F.posexplode("candidates").alias("p", "c"))
+    rows = scored.select(key, F.posexplode_outer("candidates").alias("p", "c")).filter(
+        "p is not null")
     return rows.select(key, (F.col("p") + 1).cast("bigint").alias("rank"),
                        F.col("c.category").alias("category"),
                        (-F.col("c.neg_score")).alias("score"))

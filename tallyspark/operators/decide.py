@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions.rows import once
 from ..functions.text import MONEY, case_map, humanise, number_text
 
 _SEVERITY = {code: severity for code, _, severity, _, _ in K.HOLD_REASONS}
@@ -99,7 +100,7 @@ def decide(df: DataFrame) -> DataFrame:
              F.concat(F.lit("some extracted fields are only moderately confident ("),
                       number_text(ext), F.lit(")"))),
         flag(F.col("total_mismatch"), "total_mismatch", "line items do not sum to the total")))
-    df = df.withColumn("_flags", flags)
+    df = once(df.withColumn("_flags", flags), "extraction_confidence", "confidence", "_flags")
     overall = F.concat(F.lit("overall decision confidence "), number_text(F.col("confidence")),
                        F.lit(" below the file threshold"))
     calm = ~F.exists("_flags", lambda f: f["severity"] == "high")
@@ -111,6 +112,7 @@ def decide(df: DataFrame) -> DataFrame:
     hold = F.size("_high") > 0
     actions = F.array_compact(F.transform(
         "_high", lambda f: case_map(f["type"], K.REQUIRED_ACTIONS)))
+    df = once(df, "risk_flags", "_high")
     return (df.withColumn("decision", F.when(hold, "hold").otherwise("submit"))
             .withColumn("decision_rationale", F.when(hold, F.array_join("_high.message", "; "))
                         .otherwise(K.SUBMIT_RATIONALE))
