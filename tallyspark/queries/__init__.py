@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("bindings", "decisions")
+_MODULES = ("bindings", "decisions", "messages", "anchors")
 
 
 def _load():

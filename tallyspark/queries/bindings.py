@@ -223,10 +223,10 @@ binding("json_docs", """
               else '"' || cast(cast(l_extendedprice as decimal(18,2)) as string) || '"' end
          || ',"payment_terms":{"value":"30 days"}}'
          || ',"line_items":[{"raw_description":"Part ' || cast(l_partkey as string)
-         || ' office supplies","quantity":"' || cast(cast(l_quantity as int) as string)
+         || case l_linestatus when 'O' then ' flight' else ' office supplies' end || '","quantity":"' || cast(cast(l_quantity as int) as string)
          || '","total":' || case when l_tax > 0.07 then 'null' else '"'
               || cast(cast(l_extendedprice as decimal(18,2)) as string) || '"' end
-         || '},{"raw_description":"fee","total":' || case when l_tax < 0.005
+         || '},{"raw_description":"ticket","total":' || case when l_tax < 0.005
               then '""' else '"0.00"' end || ',"extraction_confidence":0.85}]}' end as document,
          case when l_suppkey < 95 then null else 'plain words ' || cast(l_suppkey as string) end
            as body
