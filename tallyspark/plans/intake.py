@@ -90,6 +90,7 @@ def outcomes(judged: DataFrame, posted: DataFrame | None = None,
     reason = (F.when(F.col("duplicate_of").isNotNull(), duplicates.duplicate_message())
               .when(F.col("decision") == "hold", F.col("decision_rationale")))
     return (df.withColumn("status", status).withColumn("hold_reason", reason)
+            .withColumn("confidence", F.when(F.col("error_kind").isNull(), F.col("confidence")))
             .withColumn("decision", F.when(F.col("error_kind").isNull(), F.when(
                 F.col("status") == "held", "hold").otherwise(F.col("decision")))))
 
@@ -196,11 +197,17 @@ def recover(failed: DataFrame, events: DataFrame, posted: DataFrame | None = Non
     fresh = with_source(fresh, events)
     again = extract(fresh)
     shared = [c for c in reuse.columns if c in again.columns]
-    both = reuse.select(*shared).unionByName(again.select(*shared))
+    both = narrow(reuse.select(*shared)).unionByName(narrow(again.select(*shared)))
     judged = judge(both, answers, overlays.category_overlay(events))
     return outcomes(settle(judged), posted)
 
 
+def narrow(df: DataFrame) -> DataFrame:
+    """Line items reduced to what deciding needs, so stored and fresh ones line up."""
+    return df.withColumn("lines", F.transform("lines", lambda x: F.struct(*[
+        x[c].alias(c) for c in ("id", "raw_description", "total", "extraction_confidence")])))
+
+
 def with_source(df: DataFrame, events: DataFrame) -> DataFrame:
     received = overlays.latest_details(events, ["received"]).select("invoice_id", F.from_json(
         "details", "channel string, message_id string, subject string, sender string,"
