@@ -15,3 +15,13 @@ def once(df: DataFrame, *names: str) -> DataFrame:
     """
     rest = [c for c in df.columns if c not in names]
     return df.select(*rest, F.inline(F.array(F.struct(*names))))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input with fewer splits than cores (one small file, one row group).
+
+    Row-local work runs where the scan puts it; a large table has more splits than cores and is
+    returned unchanged, without an exchange.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

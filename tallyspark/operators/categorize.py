@@ -48,8 +48,8 @@ def score_categories(df: DataFrame, text: str = "doc_text",
     # dictionary words present, then one category number per hit
     hits = f"""concat(
         flatten(transform(
-            array_intersect(split(regexp_replace(_lower, '[^a-z0-9 ]+', ' '), ' +'),
-                            array({sql_list(single)})),
+            array_distinct(filter(split(regexp_replace(_lower, '[^a-z0-9 ]+', ' '), ' '),
+                                  t -> t in ({sql_list(single)}))),
             t -> try_element_at(map({owner_map}), t))),
         array_compact(cast(array({phrases}) as array<int>)))"""
     _, one, two, many = K.HIT_SCORES

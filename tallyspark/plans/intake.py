@@ -6,6 +6,8 @@ numbering are the only exchanges.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,11 @@ _OPTIONAL = {"channel": "string", "subject": "string", "sender": "string",
              "pdf_text": "string"}
 
 
+# columns nothing after the decision reads
+_HEAVY = ("document", "body", "source_body", "pdf_text", "attachment_b64", "text", "doc_text",
+          "header", "candidates", "descriptions", "line_sources")
+
+
 def complete(messages: DataFrame) -> DataFrame:
     """Missing optional envelope columns as typed nulls."""
     for name, kind in _OPTIONAL.items():
@@ -30,16 +37,20 @@ def complete(messages: DataFrame) -> DataFrame:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a frame used several times, in the cluster's checkpoint folder.
+    """Cut the lineage of a frame that several branches use, in the cluster's shared folder.
 
-    Without a configured folder the plan is simply left lazy.
+    The folder is the session's ``spark.checkpoint.dir``. Only a local session (tests, benchmarks)
+    gets a folder of its own; on a cluster without the setting the plan stays lazy.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and context.master.startswith("local"):
+            folder = tempfile.mkdtemp(prefix="tallyspark-checkpoint-")
+        if not folder:
+            return df
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
@@ -98,7 +109,8 @@ def outcomes(judged: DataFrame, posted: DataFrame | None = None,
 def process(messages: DataFrame, answers: DataFrame | None = None,
             posted: DataFrame | None = None) -> DataFrame:
     """messages(message_id, created_at, …) → one outcome row per document."""
-    return outcomes(settle(judge(read_documents(messages), answers)), posted)
+    judged = judge(read_documents(messages), answers).drop(*_HEAVY)
+    return outcomes(settle(judged), posted)
 
 
 def exceptions_of(done: DataFrame) -> DataFrame:

@@ -270,7 +270,7 @@ _PURCHASE_SQL = _category_sql("purchases", "invoice_id", K.CATEGORY_KEYWORDS, K.
   select invoice_id, cast(rank as bigint) as rank, category, score from {purchases_ranked}""")
 def category_candidates(spark, sf):
     return categorize.candidate_rows(categorize.score_categories(
-        bind(spark, sf, "purchases"), "text"), "invoice_id")
+        bind(spark, sf, "purchases", wide=True), "text"), "invoice_id")
 
 
 def _classified(df, key, **vocabulary):
@@ -282,7 +282,7 @@ def _classified(df, key, **vocabulary):
 
 @query("categorize_purchases", _PURCHASE_SQL)
 def categorize_purchases(spark, sf):
-    return _classified(bind(spark, sf, "purchases"), "invoice_id")
+    return _classified(bind(spark, sf, "purchases", wide=True), "invoice_id")
 
 
 # The crawl speaks an invented language, so its vocabulary is passed in.
@@ -305,7 +305,7 @@ _PROSE_SQL = _category_sql("prose", "doc_id", DOCUMENT_CATEGORIES, DOCUMENT_INCO
 
 @query("categorize_documents", _PROSE_SQL)
 def categorize_documents(spark, sf):
-    return _classified(bind(spark, sf, "prose"), "doc_id", categories=DOCUMENT_CATEGORIES,
+    return _classified(bind(spark, sf, "prose", wide=True), "doc_id", categories=DOCUMENT_CATEGORIES,
                        income_words=DOCUMENT_INCOME, patterns=DOCUMENT_PATTERNS)
 
 
@@ -321,7 +321,7 @@ def adversarial_documents(spark, sf):
   select invoice_id, regexp_matches(text, '(?i)ignore (all|any|previous|prior) (instructions|prompts)')
     as adversarial from {purchases}""")
 def adversarial_purchases(spark, sf):
-    return bind(spark, sf, "purchases").select(
+    return bind(spark, sf, "purchases", wide=True).select(
         "invoice_id", categorize.adversarial(F.col("text")).alias("adversarial"))
 
 
@@ -370,7 +370,7 @@ binding("purchase_base", _PURCHASE_SQL)
     case when asked and error_class = 'AuthenticationError' then error_class end as advice_error
   from base""")
 def advisory_merge(spark, sf):
-    df = categorize.classify(bind(spark, sf, "purchases"), "text")
+    df = categorize.classify(bind(spark, sf, "purchases", wide=True), "text")
     return categorize.merge_advice(df, bind(spark, sf, "purchase_answers")).select(
         "invoice_id", "document_type", "document_type_confidence", "category",
         "category_confidence", F.col("category_evidence").alias("rationale"), "advice_error")
@@ -385,7 +385,7 @@ def advisory_merge(spark, sf):
              from {purchases_ranked} group by invoice_id) c using (invoice_id)
   where b.ambiguous or b.document_type = 'unknown'""")
 def advisory_requests(spark, sf):
-    df = categorize.classify(bind(spark, sf, "purchases"), "text")
+    df = categorize.classify(bind(spark, sf, "purchases", wide=True), "text")
     df = df.withColumn("total_amount_raw", F.col("total_amount").cast("decimal(18,2)")
                        .cast("string")).withColumn("subject", F.lit(None).cast("string")) \
         .withColumn("descriptions", F.array("text"))
@@ -408,7 +408,7 @@ def advisory_requests(spark, sf):
     select invoice_id, 'Reviewed ' || vendor_name as c from {purchases}
     where vendor_name in ('Uber', 'Adobe')) o using (invoice_id)""")
 def category_pinned(spark, sf):
-    df = bind(spark, sf, "purchases")
+    df = bind(spark, sf, "purchases", wide=True)
     overlay = df.filter(F.col("vendor_name").isin("Uber", "Adobe", "")).select(
         "invoice_id", F.when(F.col("vendor_name") != "", F.concat(F.lit("Reviewed "), "vendor_name"))
         .otherwise("").alias("corrected_category"))

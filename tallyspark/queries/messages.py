@@ -279,7 +279,7 @@ def source_flags(spark, sf):
           || cast(cast(l_extendedprice as decimal(18,2)) as string) as doc_id from {lineitem})""")
 def layout_header(spark, sf):
     h = F.col("layout_header")
-    return parse.read_layout(bind(spark, sf, "layout_docs")).select(
+    return parse.read_layout(bind(spark, sf, "layout_docs", wide=True)).select(
         "doc_id", *[F.try_element_at(h, F.lit(k)).alias(k) for k in (
             "invoice_number", "vendor_name", "total_amount", "currency")],
         F.size(h).cast("bigint").alias("n_fields"))
@@ -298,7 +298,7 @@ def layout_header(spark, sf):
           || cast(cast(l_extendedprice as decimal(18,2)) as string) as doc_id,
           unnest([0, 1]) as pos from {lineitem} where l_linestatus = 'O')""")
 def layout_line_items(spark, sf):
-    return parse.read_layout(bind(spark, sf, "layout_docs")).select(
+    return parse.read_layout(bind(spark, sf, "layout_docs", wide=True)).select(
         "doc_id", F.posexplode("layout_items").alias("pos", "i")).select(
         "doc_id", F.col("pos").cast("bigint").alias("pos"), "i.*")
 
@@ -324,7 +324,7 @@ def layout_prose(spark, sf):
 
 # ---- extraction -----------------------------------------------------------------------------
 def extracted(spark, sf):
-    return intake.read_documents(bind(spark, sf, "json_docs"))
+    return intake.read_documents(bind(spark, sf, "json_docs", wide=True))
 
 
 _KEYED_LINES = """(select *, cast(l_orderkey as string) || '-' || cast(l_linenumber as string)
@@ -382,7 +382,7 @@ def extracted_counts(spark, sf):
 
 @query("line_items_normalised", f"""
   select message_id, cast(pos as bigint) as pos,
-    case pos when 0 then 'Part ' || cast(l_partkey as string)
+    case pos when 0 then 'Part P' || cast(l_partkey as string)
       || case l_linestatus when 'O' then ' flight' else ' office supplies' end
       else 'ticket' end as raw_description,
     cast(case pos when 0 then cast(l_quantity as int) end as double) as quantity,
@@ -464,7 +464,7 @@ def mime_tree_bodies(spark, sf):
 
 # ---- the whole run --------------------------------------------------------------------------
 def _run(spark, sf):
-    docs = bind(spark, sf, "json_docs").withColumn(
+    docs = bind(spark, sf, "json_docs", wide=True).withColumn(
         "created_at", F.col("received_at").cast("timestamp"))
     return intake.process(docs)
 
