@@ -151,11 +151,11 @@ def rerun_inputs(events: DataFrame) -> DataFrame:
 def before_after(events: DataFrame, base: DataFrame) -> DataFrame:
     """Each metadata correction with the effective value it replaced.
 
-    base(invoice_id, field, ai_value). The previous correction is found per hour bucket, so an
+    base(invoice_id, field, ai_value). The previous correction is found per minute bucket, so an
     item with very many corrections is not sorted by one task.
     """
-    rows = correction_rows(events).withColumn("_hour", F.date_trunc("hour", "ts"))
-    rows = previous(rows, ["invoice_id", "field"], ["_hour"], ["ts", "seq", "event_id"],
+    rows = correction_rows(events).withColumn("_minute", F.date_trunc("minute", "ts"))
+    rows = previous(rows, ["invoice_id", "field"], ["_minute"], ["ts", "seq", "event_id"],
                     "value", "_prev")
     return rows.join(base, ["invoice_id", "field"], "left").select(
         "invoice_id", "field", "event_id",

@@ -79,15 +79,6 @@ def sections(text: Column, structured: Column) -> Column:
     return F.array_compact(F.array(filled("metadata"), filled("line_items")))
 
 
-def strip_fences(c: Column) -> Column:
-    """Remove a ``` fence (and its language tag) around model text."""
-    stripped = F.regexp_replace(c, r"^\s+|\s+$", "")
-    opened = F.regexp_replace(stripped, r"^```[^\n]*\n", "")
-    closed = F.regexp_replace(opened, r"```$", "")
-    return F.when(stripped.startswith("```"),
-                  F.regexp_replace(closed, r"^\s+|\s+$", "")).otherwise(stripped)
-
-
 # the six characters a regex calls white space; btrim avoids a regex per line
 _BLANK = r"' \t\n\u000B\u000C\r'"
 

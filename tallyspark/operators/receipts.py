@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
-from ..functions.text import contains_any, non_empty, strip, token_type, variant_text
+from ..functions.text import (contains_any, non_empty, strip, strip_fences, token_type,
+                              variant_text)
 
 
 def sender_local(sender: Column) -> Column:
@@ -47,7 +48,7 @@ def read_receipt_answers(answers: DataFrame) -> DataFrame:
     Connection failures degrade to "no answer"; any other failure is reported as
     ``advisory_error`` so the message stays unprocessed.
     """
-    v = F.try_parse_json("json")
+    v = F.try_parse_json(strip_fences(F.col("json")))
     parsed = answers.select("message_id", "error_class", v.alias("v"))
     is_bool = token_type(F.try_variant_get("v", "$.is_receipt", "variant")) == "BOOLEAN"
     conf = advisory_number(F.col("v"), "$.confidence")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.spread import ranked
 from .decide import is_retryable
-from .overlays import detail
+from .overlays import detail, effective_metadata
 
 
 def exception_summary(exceptions: DataFrame) -> DataFrame:
@@ -36,6 +36,17 @@ def tagged(items: DataFrame, exceptions: DataFrame) -> DataFrame:
             .drop("_low", "_primary"))
 
 
+def summaries(items: DataFrame, exceptions: DataFrame, overlay: DataFrame) -> DataFrame:
+    """List rows showing corrected values: items carry ``fields``; amounts are shown as text."""
+    rows = effective_metadata(tagged(items, exceptions), overlay)
+    return rows.select(
+        "invoice_id", "status", "decision", "decision_confidence",
+        F.expr("fields['invoice_number']").alias("invoice_number"),
+        F.expr("fields['vendor_name']").alias("vendor_name"),
+        F.expr("fields['total_amount']").alias("total_amount"), "exception_count", "filter_tags",
+        "updated_at")
+
+
 def filtered(tag_rows: DataFrame, key: str | None) -> DataFrame:
     if key is None:
         return tag_rows
@@ -70,8 +81,8 @@ def held_digest(items: DataFrame, exceptions: DataFrame) -> DataFrame:
 
 def trace(events: DataFrame) -> DataFrame:
     """Numbered steps per item with ok flag, and kind, error, retryable on failures."""
-    rows = ranked(events.withColumn("_hour", F.date_trunc("hour", "ts")),
-                  ["invoice_id"], ["_hour"], ["ts", "seq", "event_id"], "step")
+    rows = ranked(events.withColumn("_minute", F.date_trunc("minute", "ts")),
+                  ["invoice_id"], ["_minute"], ["ts", "seq", "event_id"], "step")
     failed = F.col("action") == "failed"
     kind = F.when(failed, detail("kind"))
     return rows.select(

@@ -129,9 +129,7 @@ def exceptions_of(done: DataFrame) -> DataFrame:
 
 def file_rows(done: DataFrame, recorded: DataFrame, row_count: DataFrame) -> DataFrame:
     """Ledger rows of the posted items with their reference; repeats keep the stored one."""
-    filed = done.filter("status = 'posted'")
-    rows = ledger.ledger_rows(filed).join(
-        filed.select("invoice_id", "created_at"), "invoice_id").withColumnRenamed(
+    rows = ledger.ledger_rows(done.filter("status = 'posted'"), "created_at").withColumnRenamed(
         "invoice_id", "idempotency_key")
     return ledger.append_refs(rows, recorded, row_count)
 

@@ -332,8 +332,9 @@ binding("purchase_answers", """
          when text like '%blue%' then 'no json'
          when text like '%red%' then '{"document_type":"Expense","document_type_confidence":0.92,'
            || '"category":"Meals","category_confidence":"0.88","rationale":" model "}'
-         when text like '%small%' then '{"document_type":"income","category":"Office expense",'
-           || '"document_type_confidence":1,"category_confidence":0.75}'
+         when text like '%small%' then '```json' || chr(10)
+           || '{"document_type":"income","category":"Office expense",'
+           || '"document_type_confidence":1,"category_confidence":0.75}' || chr(10) || '```'
          else '{"document_type":"expense","document_type_confidence":null,"category":null}' end
       as json,
     case when text like '%Brand#3%' then 'ReadTimeout' when text like '%Brand#7%'
@@ -346,7 +347,7 @@ binding("purchase_base", _PURCHASE_SQL)
   with read as (
     select invoice_id, error_class,
       case when json like '{"document_type":"Expense%' then 'expense'
-           when json like '{"document_type":"income%' then 'income' end as t,
+           when json like '%"document_type":"income%' then 'income' end as t,
       case when json like '{"document_type":"Expense%' then 0.92 else 1.0 end as tc,
       case when json like '{"document_type":"Expense%' then 0.88 else 0.75 end as cc,
       case when json like '{"document_type":"Expense%' then 'Meals' else 'Office expense' end as c,

@@ -415,6 +415,38 @@ def triage_list(spark, sf):
         F.unix_micros("updated_at").alias("updated_us"))
 
 
+binding("order_corrections", """
+  select 'c-' || cast(l_orderkey as string) || '-' || cast(l_linenumber as string) || '-'
+           || cast(l_partkey as string) || '-' || cast(l_suppkey as string) as event_id,
+         cast(l_orderkey as string) as invoice_id, cast(l_linenumber as bigint) as seq,
+         cast(l_shipdate as timestamp) as ts, 'human' as actor, 'corrected' as action,
+         case when l_quantity < 25 then 'vendor_name' else 'total_amount' end as field,
+         case when l_discount < 0.02 then '' else cast(cast(l_quantity as int) as string) end
+           as after_value
+  from {lineitem} where l_returnflag = 'A'""")
+
+
+@query("item_summaries", f"""
+  with last as (select invoice_id, field, nullif(after_value, '') as v from (
+    select *, row_number() over (partition by invoice_id, field
+      order by ts desc, seq desc, event_id desc) as r from {{order_corrections}}) where r = 1)
+  select t.invoice_id, coalesce(v.v, t.vendor_name) as vendor_name,
+    coalesce(a.v, t.total_amount) as total_amount, exception_count, {_TAGS} as filter_tags
+  from {{tagged_items}} t
+  left join last v on v.invoice_id = t.invoice_id and v.field = 'vendor_name'
+  left join last a on a.invoice_id = t.invoice_id and a.field = 'total_amount'""")
+def item_summaries(spark, sf):
+    items = bind(spark, sf, "listed").withColumn("fields", F.create_map(
+        F.lit("vendor_name"), F.col("vendor_name"), F.lit("total_amount"), F.col("total_amount"))
+    ).drop("vendor_name", "total_amount")
+    events = bind(spark, sf, "order_corrections").withColumn("details", F.to_json(F.struct(
+        F.lit("metadata").alias("target"), F.create_map("field", "after_value").alias("after"))))
+    return review.summaries(items, bind(spark, sf, "exceptions"),
+                            overlays.metadata_overlay(events)).select(
+        "invoice_id", "vendor_name", "total_amount", "exception_count",
+        F.array_join("filter_tags", ",").alias("filter_tags"))
+
+
 @query("triage_low_confidence", """
   select invoice_id, status, exception_count from {tagged_items} where low""")
 def triage_low_confidence(spark, sf):

@@ -458,8 +458,8 @@ def mime_tree_bodies(spark, sf):
         F.lit('"}},{"mimeType":"text/html","body":{"data":"'), data,
         F.lit('"}}]},{"mimeType":"text/plain","filename":"a.txt",'
               '"body":{"attachmentId":"x","data":"eA"}}]}'))
-    parts = mime.walk_payloads(spark, df.select("message_id", payload.alias("payload")))
-    return mime.bodies(parts, "part_path")
+    parts = mime.walk_payloads(df.select("message_id", payload.alias("payload")))
+    return mime.bodies(parts)
 
 
 # ---- the whole run --------------------------------------------------------------------------

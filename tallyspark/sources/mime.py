@@ -2,32 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import base64url_bytes, utf8_text
 
 
-def walk_payloads(spark: SparkSession, messages: DataFrame) -> DataFrame:
-    """messages(message_id, payload JSON) → parts in pre-order, any nesting depth.
+PARTS = ("message_id string, part_order int, mime_type string, filename string,"
+         " attachment_id string, data_b64url string")
+
+
+def _pre_order(payload: str | None) -> list[tuple]:
+    """Parts of one payload tree in pre-order; malformed JSON has none."""
+    try:
+        root = json.loads(payload or "")
+    except ValueError:
+        return []
+    found, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if not isinstance(node, dict):
+            continue
+        body = node.get("body") or {}
+        found.append((len(found), node.get("mimeType") or "", node.get("filename") or "",
+                      body.get("attachmentId"), body.get("data")))
+        stack.extend(reversed(node.get("parts") or []))
+    return found
+
+
+def walk_payloads(messages: DataFrame) -> DataFrame:
+    """messages(message_id, payload JSON) → part rows in pre-order, any nesting depth.
 
-    A recursive query: each step opens one level of ``parts``. ``part_order`` sorts pre-order.
+    Spark has no recursive struct, and its recursive queries stop at a row limit; the walk of one
+    payload is a small Arrow-batched helper, rows stay where they are.
     """
-    sql = """
-      with recursive walk (message_id, path, node) as (
-        select message_id, cast('' as string), try_parse_json(payload) from {messages}
-        union all
-        select message_id, concat(path, '/', lpad(cast(pos as string), 6, '0')), child
-        from (select message_id, path, posexplode(
-                try_variant_get(node, '$.parts', 'array<variant>')) as (pos, child) from walk)
-      )
-      select message_id, path as part_path,
-             coalesce(try_variant_get(node, '$.mimeType', 'string'), '') as mime_type,
-             coalesce(try_variant_get(node, '$.filename', 'string'), '') as filename,
-             try_variant_get(node, '$.body.attachmentId', 'string') as attachment_id,
-             try_variant_get(node, '$.body.data', 'string') as data_b64url
-      from walk where node is not null"""
-    return spark.sql(sql, messages=messages)
+    def run(batches):
+        for batch in batches:
+            rows = [(m, *part) for m, p in zip(batch["message_id"], batch["payload"])
+                    for part in _pre_order(p)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PARTS.split(", ")])
+    return messages.select("message_id", "payload").mapInPandas(run, PARTS)
 
 
 def bodies(parts: DataFrame, order: str = "part_order") -> DataFrame:

@@ -47,7 +47,8 @@ def run_batch(batch: DataFrame, batch_id: int, root: str, mailbox: bool = False)
     seen = state(spark, root, "items", SEEN, batch_id).select("message_id").unionByName(
         state(spark, root, "dropped", SEEN, batch_id).select("message_id"))
     messages = intake.complete(batch)
-    fresh = inbox.unseen(inbox.first_per_message(messages, ["received_at"]), seen)
+    fresh = inbox.unseen_in_history(
+        inbox.first_per_message(messages, ["received_at"]), seen)
     if mailbox:
         judged = receipts.verdicts(fresh, body=None)
         _write(receipts.dropped(judged), root, "dropped", batch_id)
