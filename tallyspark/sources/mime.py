@@ -15,35 +15,36 @@ PARTS = ("message_id string, part_order int, mime_type string, filename string,"
          " attachment_id string, data_b64url string")
 
 
-def _pre_order(payload: str | None) -> list[tuple]:
-    """Parts of one payload tree in pre-order; malformed JSON has none."""
-    try:
-        root = json.loads(payload or "")
-    except ValueError:
-        return []
-    found, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        if not isinstance(node, dict):
-            continue
-        body = node.get("body") or {}
-        found.append((len(found), node.get("mimeType") or "", node.get("filename") or "",
-                      body.get("attachmentId"), body.get("data")))
-        stack.extend(reversed(node.get("parts") or []))
-    return found
-
-
 def walk_payloads(messages: DataFrame) -> DataFrame:
     """messages(message_id, payload JSON) → part rows in pre-order, any nesting depth.
 
     Spark has no recursive struct, and its recursive queries stop at a row limit; the walk of one
     payload is a small Arrow-batched helper, rows stay where they are.
     """
+    names = [c.split()[0] for c in PARTS.split(", ")]
+
+    # nested on purpose: the helper travels with the task, executors need no package install
+    def pre_order(payload):
+        try:
+            stack = [json.loads(payload or "")]
+        except ValueError:
+            return
+        order = 0
+        while stack:
+            node = stack.pop()
+            if not isinstance(node, dict):
+                continue
+            body = node.get("body") or {}
+            yield (order, node.get("mimeType") or "", node.get("filename") or "",
+                   body.get("attachmentId"), body.get("data"))
+            order += 1
+            stack.extend(reversed(node.get("parts") or []))
+
     def run(batches):
         for batch in batches:
             rows = [(m, *part) for m, p in zip(batch["message_id"], batch["payload"])
-                    for part in _pre_order(p)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PARTS.split(", ")])
+                    for part in pre_order(p)]
+            yield pd.DataFrame(rows, columns=names)
     return messages.select("message_id", "payload").mapInPandas(run, PARTS)
 
 

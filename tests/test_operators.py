@@ -266,7 +266,7 @@ def test_scalars(spark):
                                 ("x", "2026-03-01T00:00", " {} ")], "c string, d string, f string")
     rows = df.select(humanise(F.col("c")), iso_date(F.col("d")), strip_fences(F.col("f"))).collect()
     assert [tuple(r) for r in rows] == [("Low stock", None, '{"a":1}'),
-                                        ("X", date(2026, 3, 1), " {} ")]
+                                        ("X", date(2026, 3, 1), "{}")]
 
 
 # ---- sources -------------------------------------------------------------------------------------
@@ -276,21 +276,20 @@ def test_folder_lists_root_pdfs_only(spark, tmp_path):
         (tmp_path / name).write_bytes(b"%PDF")
     rows = inbox.read_folder(spark, str(tmp_path)).collect()
     assert sorted(r.subject for r in rows) == ["a.pdf", "b.PDF"]
+
+    def one_word(path, content):
+        import pandas as pd
+        if path.endswith(".PDF"):
+            raise ValueError("unreadable")
+        return pd.DataFrame([{"page_number": 1, "index": 0, "text": content.decode(), "x": 0.0,
+                              "y": 0.0, "width": 0.1, "height": 0.1}])
     words_of = advisory.provide_words(
         inbox.read_folder(spark, str(tmp_path)).select(
             F.col("subject").alias("doc_id"), F.col("message_id").alias("path"), "content"),
-        _one_word)
+        one_word)
     assert sorted(r.doc_id for r in words_of.collect()) == ["a.pdf"]
 
 
-def _one_word(path, content):
-    import pandas as pd
-    if path.endswith(".PDF"):
-        raise ValueError("unreadable")
-    return pd.DataFrame([{"page_number": 1, "index": 0, "text": content.decode(), "x": 0.0,
-                          "y": 0.0, "width": 0.1, "height": 0.1}])
-
-
 def test_backfill_filter_reaches_the_scan(spark):
     orders = spark.read.parquet(f"{SF}/orders.parquet").withColumnRenamed(
         "o_orderdate", "received_at")
