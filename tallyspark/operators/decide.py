@@ -121,15 +121,16 @@ def decide(df: DataFrame) -> DataFrame:
             .drop("_high"))
 
 
-def hold_exceptions(decided: DataFrame, key: str = "invoice_id") -> DataFrame:
-    """One exception row per medium or high flag of a held item."""
-    rows = decided.filter("decision = 'hold'").select(key, F.inline(
-        F.filter("risk_flags", lambda f: f["severity"].isin("medium", "high"))))
-    return build_exceptions(rows, key)
+def hold_exceptions(decided: DataFrame, key: str = "invoice_id", *keep: str) -> DataFrame:
+    """One exception row per medium or high flag of a held item; ``ordinal`` keeps flag order."""
+    flags = F.filter("risk_flags", lambda f: f["severity"].isin("medium", "high"))
+    rows = decided.filter("decision = 'hold'").select(
+        key, *keep, F.posexplode(flags).alias("ordinal", "f"))
+    return build_exceptions(rows.select(key, *keep, "ordinal", "f.*"), key, *keep, "ordinal")
 
 
-def build_exceptions(rows: DataFrame, key: str = "invoice_id") -> DataFrame:
+def build_exceptions(rows: DataFrame, key: str = "invoice_id", *keep: str) -> DataFrame:
     """rows(key, type, severity?, message?) with registry defaults filled in."""
     return rows.select(
-        key, "type", F.coalesce("severity", severity_of(F.col("type"))).alias("severity"),
+        key, *keep, "type", F.coalesce("severity", severity_of(F.col("type"))).alias("severity"),
         F.coalesce(F.nullif("message", F.lit("")), title_of(F.col("type"))).alias("message"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.spread import previous
-from ..functions.text import MONEY, non_empty, sql_list
+from ..functions.text import MONEY, non_empty
 
 
 def event_order() -> Column:
@@ -71,7 +71,7 @@ def line_overlay(events: DataFrame) -> DataFrame:
 def effective_metadata(items: DataFrame, overlay: DataFrame) -> DataFrame:
     """items(invoice_id, fields map, …) with non-empty overrides applied and amounts re-typed.
 
-    ``invalid_override`` marks an override that is no decimal (the reference value is an error).
+    ``invalid_override`` marks an override that is no decimal; the item then fails its stage.
     """
     df = items.join(overlay_maps(overlay), "invoice_id", "left")
     names = ", ".join(f"'{f}'" for f in K.HEADER_FIELDS)
@@ -240,6 +240,3 @@ def validate_corrections(batch: DataFrame, line_items: DataFrame) -> DataFrame:
         when target = 'line_item' and not coalesce(_known, false)
             then 'line item not found' end""")).drop("_known", "_unknown")
 
-
-def header_in() -> str:
-    return sql_list(K.HEADER_FIELDS)

@@ -113,18 +113,29 @@ def process(messages: DataFrame, answers: DataFrame | None = None,
     return outcomes(settle(judged), posted)
 
 
-def exceptions_of(done: DataFrame) -> DataFrame:
-    """Exception rows of a run: hold flags, duplicate holds and failures."""
-    empty = F.lit(None).cast("string")
+def exceptions_of(done: DataFrame, at: Column | None = None) -> DataFrame:
+    """Exception rows of a run: hold flags, duplicate holds and failures.
+
+    ``at`` is the run's time (default: the item's). Ids sort in flag order within a run, so the
+    earliest exception by (created_at, id) is the primary reason.
+    """
+    if at is not None:
+        done = done.withColumn("created_at", at)
+    when = ("created_at",)
+    first = F.lit(0).alias("ordinal")
     flagged = decide.hold_exceptions(done.filter(
-        "error_kind is null and duplicate_of is null"))
-    twin = duplicates.hold_duplicates(done.filter("error_kind is null")).drop("duplicate_of")
+        "error_kind is null and duplicate_of is null"), "invoice_id", *when)
+    twin = duplicates.hold_duplicates(done.filter("error_kind is null"), *when).select(
+        "invoice_id", *when, first, "type", "severity", "message")
     failed = decide.build_exceptions(done.filter("error_kind is not null").select(
-        "invoice_id", F.col("error_kind").alias("type"), empty.alias("severity"),
-        F.col("error_message").alias("message")))
+        "invoice_id", *when, first, F.col("error_kind").alias("type"),
+        F.lit(None).cast("string").alias("severity"), F.col("error_message").alias("message")),
+        "invoice_id", *when, "ordinal")
     rows = flagged.unionByName(twin).unionByName(failed)
-    return rows.withColumn("id", F.concat(F.lit("exc_"), F.substring(F.sha2(
-        F.concat_ws("|", "invoice_id", "type"), 256), 1, 16)))
+    stem = F.sha2(F.concat_ws("|", "invoice_id", F.unix_micros("created_at").cast("string")), 256)
+    return rows.withColumn("id", F.concat(
+        F.lit("exc_"), F.substring(stem, 1, 16), F.lit("_"),
+        F.lpad(F.col("ordinal").cast("string"), 3, "0"))).drop("ordinal")
 
 
 def file_rows(done: DataFrame, recorded: DataFrame, row_count: DataFrame) -> DataFrame:
@@ -182,11 +193,20 @@ def rerun_events(items: DataFrame, events: DataFrame, at: Column, run_id: str) -
     ov = overlays.overlay_maps(overlays.metadata_overlay(events))
     rows = items.select("invoice_id").join(ov, "invoice_id", "left")
     fields = F.coalesce(F.array_sort(F.map_keys("overrides")), F.array().cast("array<string>"))
-    return audit.human_events(rows.select(
+    return audit.single_events(rows.select(
         "invoice_id", F.lit("rerun").alias("action"), F.to_json(F.struct(
             fields.alias("corrected_fields"),
             F.lit("rerun with corrected data").alias("reason"))).alias("details"),
-        at.alias("ts"), F.lit(run_id).alias("request_id")))
+        at.alias("ts"), F.lit(run_id).alias("request_id")), "human")
+
+
+def recover_events(failed: DataFrame, at: Column, run_id: str) -> DataFrame:
+    """The system's ``recovered`` events, written before failed items are tried again."""
+    return audit.single_events(failed.select(
+        "invoice_id", F.lit("recovered").alias("action"), F.to_json(F.struct(
+            F.col("status").alias("from_status"),
+            F.lit("retry failed stage").alias("reason"))).alias("details"),
+        at.alias("ts"), F.lit(run_id).alias("request_id")), "system")
 
 
 def recoverable(items: DataFrame) -> DataFrame:

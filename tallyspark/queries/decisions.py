@@ -143,7 +143,7 @@ def decision_rationale(spark, sf):
   select invoice_id, type, severity, message from {flag_rows}
   where severity in ('medium', 'high') and invoice_id in (select invoice_id from {held_ids})""")
 def hold_exceptions(spark, sf):
-    return decide.hold_exceptions(decided(spark, sf))
+    return decide.hold_exceptions(decided(spark, sf)).drop("ordinal")
 
 
 def _values(rows):

@@ -578,6 +578,17 @@ def rerun_events(spark, sf):
                        F.array_join(fields, ",").alias("corrected_fields"))
 
 
+@query("recover_events", """
+  select invoice_id, 'system' as actor, 'recovered' as action, 'failed' as from_status
+  from {terminals} where action = 'failed'""")
+def recover_events(spark, sf):
+    last = overlays.latest_details(bind(spark, sf, "audit"), K.TERMINAL_ACTIONS, per_action=False)
+    failed = intake.recoverable(last.withColumnRenamed("action", "status"))
+    at = F.lit("2026-01-01 00:00:00").cast("timestamp")
+    return intake.recover_events(failed, at, "run-3").select(
+        "invoice_id", "actor", "action", overlays.detail("from_status").alias("from_status"))
+
+
 @query("recover_outcomes", """
   select invoice_id, case when invoice_date is null then 'posted' else 'held' end as status,
          cast(case when invoice_date is null then 0.8 else 0.0 end as double) as confidence,

@@ -314,6 +314,16 @@ def test_appended_log_and_routed_items(spark, tmp_path):
         "dest=failed", "dest=needs-review", "dest=posted"]
 
 
+def test_ledger_csv(spark, tmp_path):
+    rows = spark.createDataFrame([("k", "Expense", "Travel", "Bob", "", "1.00", "m")],
+                                 "idempotency_key string, Type string, Category string,"
+                                 " Vendor string, Date string, Amount string, Source string")
+    ledger.write_ledger_csv(rows, str(tmp_path / "ledger"))
+    text = next((tmp_path / "ledger").glob("*.csv")).read_text().splitlines()
+    assert text[0] == "Type,Category,Vendor,Date,Amount,Source"
+    assert text[1].startswith("Expense,Travel,Bob,")
+
+
 # ---- review and metrics ----------------------------------------------------------------------------
 def _events(spark, rows):
     return spark.createDataFrame(

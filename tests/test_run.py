@@ -93,6 +93,19 @@ def test_duplicates_and_ledger(spark):
     assert reasons == 2
 
 
+def test_primary_reason_is_the_first_flag(spark):
+    from tallyspark.operators import review
+    case = {"x": (doc([line("thing", "9.00")], total_amount="10.00"), None, "held", None)}
+    done = intake.process(messages(spark, case)).persist()
+    kinds = [f.type for f in done.collect()[0].risk_flags if f.severity != "low"]
+    assert kinds == ["low_category_confidence", "total_mismatch"]
+    items = done.select("invoice_id", "status", "decision",
+                        F.col("confidence").alias("decision_confidence"))
+    row = review.tagged(items, intake.exceptions_of(done)).collect()[0]
+    assert (row.reason, row.exception_count) == ("low_category_confidence", 2)
+    assert row.filter_tags == ["held", "low_confidence", "needs_review"]
+
+
 def _log(spark, done):
     return intake.events_of(done.withColumn("sheet_row_ref", F.lit(None).cast("string"))
                             .withColumn("deduped", F.lit(False)), "r", F.col("created_at"))
