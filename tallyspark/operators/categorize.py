@@ -148,7 +148,8 @@ def merge_advice(classified: DataFrame, answers: DataFrame, key: str = "invoice_
     raw_type = F.lower(F.coalesce(variant_text(cell), F.lit("")))
     cat = F.try_variant_get(v, "$.category", "variant")
     rationale = F.try_variant_get(v, "$.rationale", "variant")
-    read = answers.select(key, "error_class", F.try_parse_json(strip_fences(F.col("json"))).alias("_v")).select(
+    parsed = F.try_parse_json(strip_fences(F.col("json")))
+    read = answers.select(key, "error_class", parsed.alias("_v")).select(
         key, F.col("error_class").alias("_err"), raw_type.alias("_t"),
         advisory_number(v, "$.document_type_confidence").alias("_tc"),
         advisory_number(v, "$.category_confidence").alias("_cc"),

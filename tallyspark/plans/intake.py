@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import non_empty
 from ..operators import audit, categorize, decide, duplicates, overlays
-from ..operators.extract import extract, with_signals
+from ..operators.extract import extract
 from ..operators.parse import parse, register
 from ..sources import ledger
 
@@ -257,5 +257,3 @@ def posted_view(done: DataFrame) -> DataFrame:
         "invoice_id", "created_at", "vendor_name", "total_amount",
         non_empty(F.col("total_amount_raw")).alias("total_amount_raw"), "invoice_date")
 
-
-__all__ = ["process", "judge", "outcomes", "rerun", "recover", "with_signals"]

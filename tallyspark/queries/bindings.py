@@ -223,7 +223,8 @@ binding("json_docs", """
               else '"' || cast(cast(l_extendedprice as decimal(18,2)) as string) || '"' end
          || ',"payment_terms":{"value":"30 days"}}'
          || ',"line_items":[{"raw_description":"Part P' || cast(l_partkey as string)
-         || case l_linestatus when 'O' then ' flight' else ' office supplies' end || '","quantity":"' || cast(cast(l_quantity as int) as string)
+         || case l_linestatus when 'O' then ' flight' else ' office supplies' end
+         || '","quantity":"' || cast(cast(l_quantity as int) as string)
          || '","total":' || case when l_tax > 0.07 then 'null' else '"'
               || cast(cast(l_extendedprice as decimal(18,2)) as string) || '"' end
          || '},{"raw_description":"ticket","total":' || case when l_tax < 0.005
