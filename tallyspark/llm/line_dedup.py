@@ -65,7 +65,9 @@ def repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min
         F.collect_set("line").alias("lines")), "gone")
 
 
-@F.pandas_udf("text string, n_lines long, n_removed long")
+WITHOUT = "text string, n_lines long, n_removed long"
+
+
 def without(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for texts, gone in parts:
         rows = []
@@ -85,7 +87,7 @@ def remove_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "tex
     """``doc_id, text, n_lines, n_removed`` of every row: texts without the later copies."""
     gone = repeated_lines(docs, key, text, min_lines)
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("whole"))
-    out = rows.join(gone, "doc", "left").select("doc", without("whole", "lines").alias("x"))
+    out = rows.join(gone, "doc", "left").select("doc", F.pandas_udf(without, WITHOUT)("whole", "lines").alias("x"))
     return out.select(F.col("doc").alias("doc_id"), "x.text", "x.n_lines", "x.n_removed")
 
 
@@ -94,4 +96,4 @@ def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: i
     gone = repeated_lines(docs, key, text, min_lines).select(
         F.col("doc").alias("__llm_doc"), F.col("lines").alias("__llm_lines"))
     joined = docs.join(gone, F.col(key) == F.col("__llm_doc"), "left")
-    return joined.withColumn(text, without(text, "__llm_lines")["text"]).select(*docs.columns)
+    return joined.withColumn(text, F.pandas_udf(without, WITHOUT)(text, "__llm_lines")["text"]).select(*docs.columns)

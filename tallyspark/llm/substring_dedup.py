@@ -198,7 +198,6 @@ def cut_text(text: str | None, marks) -> str | None:
     return "".join([*parts, text[at:]])
 
 
-@F.pandas_udf("string")
 def cut_texts(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for texts, spans in parts:
         yield pd.Series([cut_text(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
@@ -249,4 +248,4 @@ def shorten(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     spans = repeated_spans(documents(docs, key, text)).select(
         F.col("id").alias("__llm_id"), F.col("spans").alias("__llm_spans"))
     joined = docs.join(spans, F.col(key) == F.col("__llm_id"), "left")
-    return joined.withColumn(text, cut_texts(text, "__llm_spans")).select(*docs.columns)
+    return joined.withColumn(text, F.pandas_udf(cut_texts, "string")(text, "__llm_spans")).select(*docs.columns)
