@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,7 +64,7 @@ def chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Itera
     """
     for batch in batches:
         columns, size, start = batch.columns, 0, 0
-        sizes = [0 if x is None else x for x in pa.compute.binary_length(columns[-1]).to_pylist()]
+        sizes = [0 if x is None else x for x in pc.binary_length(columns[-1]).to_pylist()]
         for i, n in enumerate(sizes):
             if size and size + n > limit:
                 yield tuple(c.slice(start, i - start).to_pylist() for c in columns)

@@ -43,6 +43,9 @@ BOILERPLATE_NAMES = re.compile(
     r"subscribe|subscription|signup|login|search|widgets?|pagination|pager|toolbar|skip|hidden|complementary|"
     r"contentinfo)(?=$|[\s_-])", re.I)
 
+LAYOUT_NAMES = re.compile(r"(?:has|with|without|no|show|hide)[_-]", re.I)
+HEADING_NAMES = re.compile(r"(?:article|entry|post|story|content)[_-]header$", re.I)
+
 LAMBDA = 0.5
 SIGMA = 1.0
 ARTICLE_SHARE = 0.8
@@ -104,7 +107,7 @@ def blocks_of(page: str) -> list[tuple[Element, str]]:
             parts.append(" ")
             continue
         if tag in INLINE:
-            if (attrs and UNSEEN.search(attrs)) or (attrs and names_bad(attrs)):
+            if attrs and (UNSEEN.search(attrs) or named_boilerplate(naming(attrs), True)):
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
                 at = end.end() if end else at
             continue
@@ -128,8 +131,8 @@ def blocks_of(page: str) -> list[tuple[Element, str]]:
         bad = tag in BOILERPLATE_TAGS or (tag == "header" and not in_article)
         names = ""
         if attrs:
-            names = " ".join(v1 or v2 or v3 for _, v1, v2, v3 in NAMING.findall(attrs))
-            bad = bad or bool(names and tag not in ("html", "body") and BOILERPLATE_NAMES.search(names)) \
+            names = naming(attrs)
+            bad = bad or (tag not in ("html", "body", "main", "article") and named_boilerplate(names, in_article)) \
                 or bool(UNSEEN.search(attrs))
         here = Element(here, tag, names, bad)
     if at < len(page):
@@ -138,9 +141,21 @@ def blocks_of(page: str) -> list[tuple[Element, str]]:
     return out
 
 
-def names_bad(attrs: str) -> bool:
-    names = " ".join(v1 or v2 or v3 for _, v1, v2, v3 in NAMING.findall(attrs))
-    return bool(names and BOILERPLATE_NAMES.search(names))
+def naming(attrs: str) -> str:
+    """Classes, id and role."""
+    return " ".join(v1 or v2 or v3 for _, v1, v2, v3 in NAMING.findall(attrs))
+
+
+def named_boilerplate(names: str, in_article: bool) -> bool:
+    """Whether an element's names say that it holds no article text; layout names such as ``has-sidebar`` do not."""
+    for name in names.split():
+        if LAYOUT_NAMES.match(name):
+            continue
+        found = BOILERPLATE_NAMES.search(name)
+        heading = HEADING_NAMES.match(name) or (in_article and name.lower().endswith("header"))
+        if found and not heading:
+            return True
+    return False
 
 
 def smooth(values: list[float]) -> list[float]:
