@@ -118,7 +118,6 @@ HIT_SCORES = (0.0, 0.8, 0.9, 0.95)  # 0, 1, 2, 3-or-more distinct keywords
 AMBIGUOUS_CAP = 0.7
 TYPE_CONFIDENCE = 0.9
 WEAK_TYPE_CONFIDENCE = 0.6
-MAX_ALTERNATES = 3
 EVIDENCE_INCOME = "income wording in the document"
 EVIDENCE_PURCHASE = "vendor + total present (a purchase)"
 EVIDENCE_WEAK = "amount present but weak vendor signal"
@@ -126,8 +125,6 @@ EVIDENCE_NO_TYPE = "no clear income/expense signal"
 NO_CATEGORY_RATIONALE = "no category keywords matched"
 DOCUMENT_TYPES = ("income", "expense", "unknown")
 ADJUDICATION_RATIONALE = "LLM adjudication"
-ADVISORY_MAX_LINES = 20
-ADVISORY_BODY_CHARS = 1000
 
 # ---- decision thresholds, messages and actions (fixed values) -----------------------------
 TOTAL_TOLERANCE = "0.01"
@@ -149,37 +146,37 @@ REQUIRED_ACTIONS = {
     "low_confidence": "Review the item; overall confidence is below the file threshold",
 }
 
-# ---- hold reasons: code, title, severity, retryable, listed in the product rules ----------
+# ---- hold reasons: code, title, severity, retryable -----------------------------------------
 # (fixed values)
 HOLD_REASONS = (
-    ("unresolved_sponsor", "Unresolved sponsor", "high", False, True),
-    ("unresolved_study", "Unresolved study", "high", False, True),
-    ("unresolved_site", "Unresolved site", "high", False, True),
-    ("context_unresolved", "Context resolved with low confidence", "high", False, True),
-    ("context_ambiguity", "Multiple likely context candidates", "high", False, True),
-    ("context_mismatch", "Mismatched metadata vs reference data", "high", False, True),
-    ("missing_invoice_number", "Missing invoice number", "high", False, True),
-    ("missing_total", "Missing invoice total", "high", False, True),
-    ("low_extraction_confidence", "Low extraction confidence", "high", False, True),
-    ("moderate_extraction_confidence", "Moderate extraction confidence", "medium", False, False),
-    ("missing_optional_fields", "Missing optional fields", "low", False, False),
-    ("unmatched_line_item", "Unmatched line item", "high", False, True),
-    ("amount_mismatch", "Line amount mismatch", "high", False, True),
-    ("quantity_mismatch", "Line quantity mismatch", "high", False, False),
-    ("low_match_confidence", "Low line-item match confidence", "high", False, False),
-    ("weak_match", "Weak line-item match", "medium", False, False),
-    ("total_mismatch", "Invoice total mismatch", "high", False, False),
-    ("catalog_unavailable", "Catalog unavailable", "high", False, True),
-    ("ambiguous_income_expense", "Ambiguous income vs expense", "high", False, False),
-    ("low_category_confidence", "Low category confidence", "high", False, False),
-    ("suspected_duplicate", "Suspected duplicate transaction", "high", False, False),
-    ("suspected_adversarial", "Suspected adversarial/spoofed content", "high", False, False),
-    ("sheet_write_failed", "Sheet append failed (retryable)", "high", True, False),
-    ("low_confidence", "Low overall decision confidence", "high", False, False),
-    ("submission_failed", "Backend submission failure", "high", True, True),
-    ("catalog_fetch_failed", "Catalog fetch failed (retryable)", "high", True, False),
-    ("extraction_failed", "LLM extraction failed (retryable)", "high", True, False),
-    ("stage_failure", "Processing stage failed (retryable)", "high", True, False),
+    ("unresolved_sponsor", "Unresolved sponsor", "high", False),
+    ("unresolved_study", "Unresolved study", "high", False),
+    ("unresolved_site", "Unresolved site", "high", False),
+    ("context_unresolved", "Context resolved with low confidence", "high", False),
+    ("context_ambiguity", "Multiple likely context candidates", "high", False),
+    ("context_mismatch", "Mismatched metadata vs reference data", "high", False),
+    ("missing_invoice_number", "Missing invoice number", "high", False),
+    ("missing_total", "Missing invoice total", "high", False),
+    ("low_extraction_confidence", "Low extraction confidence", "high", False),
+    ("moderate_extraction_confidence", "Moderate extraction confidence", "medium", False),
+    ("missing_optional_fields", "Missing optional fields", "low", False),
+    ("unmatched_line_item", "Unmatched line item", "high", False),
+    ("amount_mismatch", "Line amount mismatch", "high", False),
+    ("quantity_mismatch", "Line quantity mismatch", "high", False),
+    ("low_match_confidence", "Low line-item match confidence", "high", False),
+    ("weak_match", "Weak line-item match", "medium", False),
+    ("total_mismatch", "Invoice total mismatch", "high", False),
+    ("catalog_unavailable", "Catalog unavailable", "high", False),
+    ("ambiguous_income_expense", "Ambiguous income vs expense", "high", False),
+    ("low_category_confidence", "Low category confidence", "high", False),
+    ("suspected_duplicate", "Suspected duplicate transaction", "high", False),
+    ("suspected_adversarial", "Suspected adversarial/spoofed content", "high", False),
+    ("sheet_write_failed", "Sheet append failed (retryable)", "high", True),
+    ("low_confidence", "Low overall decision confidence", "high", False),
+    ("submission_failed", "Backend submission failure", "high", True),
+    ("catalog_fetch_failed", "Catalog fetch failed (retryable)", "high", True),
+    ("extraction_failed", "LLM extraction failed (retryable)", "high", True),
+    ("stage_failure", "Processing stage failed (retryable)", "high", True),
 )
 
 # ---- ledger, duplicates, triage, retry (fixed values) -------------------------------------

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,11 +19,17 @@ def once(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*rest, F.inline(F.array(F.struct(*names))))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input with fewer splits than cores (one small file, one row group).
+def shared_folder(spark: SparkSession) -> str:
+    """Where intermediate tables go: ``spark.checkpoint.dir``, else a folder of the warehouse.
 
-    Row-local work runs where the scan puts it; a large table has more splits than cores and is
-    returned unchanged, without an exchange.
+    Both are storage that the driver and all executors share; nothing depends on the kind of master.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_intermediate"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a Parquet table in the shared folder, read back: lineage ends there."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONEY = "decimal(18,4)"
+MONEY = "decimal(38,10)"  # for arithmetic; comparisons for equality use ``amount_key``
 
 
 def strip(c: Column) -> Column:
@@ -45,8 +45,20 @@ def value_tokens(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, r"\s+"), squash), lambda t: t != "")
 
 
-def money(c: Column) -> Column:
-    return strip(c).try_cast(MONEY)
+NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]{1,4})?$"
+_PLAIN = r"^([+-]?)0*([0-9]*)(?:\.([0-9]*?)0*)?$"
+
+
+def amount_key(c: Column) -> Column:
+    """Normalised text of an amount: equal for equal numbers of any size, null for what is no number."""
+    text = strip(c)
+    number = text.rlike(NUMBER)
+    # exponents are rare; written out they compare like plain numbers, as far as a decimal holds them
+    plain = F.when(text.rlike("[eE]"), F.coalesce(text.try_cast(MONEY).cast("string"), F.upper(text))).otherwise(text)
+    whole, part = F.regexp_extract(plain, _PLAIN, 2), F.regexp_extract(plain, _PLAIN, 3)
+    digits = F.concat(F.when(whole == "", "0").otherwise(whole), F.when(part == "", "").otherwise(F.concat(F.lit("."), part)))
+    signed = F.when((F.regexp_extract(plain, _PLAIN, 1) == "-") & (digits != "0"), F.concat(F.lit("-"), digits)).otherwise(digits)
+    return F.when(number, F.when(plain.rlike(_PLAIN), signed).otherwise(plain))
 
 
 def iso_date(c: Column) -> Column:

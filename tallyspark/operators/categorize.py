@@ -118,7 +118,7 @@ def classify(df: DataFrame, text: str = "doc_text", vendor: str = "vendor_name",
 
 def with_alternates(df: DataFrame) -> DataFrame:
     return df.withColumn("alternates", F.expr(
-        f"slice(filter(candidates.category, n -> not (n <=> category)), 1, {K.MAX_ALTERNATES})"))
+        "filter(candidates.category, n -> not (n <=> category))"))
 
 
 def needs_advice() -> Column:
@@ -131,7 +131,7 @@ def advisory_requests(classified: DataFrame, key: str = "invoice_id",
     names = F.array(*[F.lit(n) for n in categories])
     return classified.filter(needs_advice()).select(key, F.to_json(F.struct(
         F.col("vendor_name").alias("vendor"), F.col("total_amount_raw").alias("total"), "subject",
-        F.slice("descriptions", 1, K.ADVISORY_MAX_LINES).alias("line_items"),
+        F.col("descriptions").alias("line_items"),
         F.when(F.size("candidates") > 0, F.col("candidates.category")).otherwise(names)
         .alias("candidate_categories"))).alias("request"))
 

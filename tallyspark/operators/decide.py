@@ -9,9 +9,9 @@ from ..functions import constants as K
 from ..functions.rows import once
 from ..functions.text import MONEY, case_map, humanise, number_text
 
-_SEVERITY = {code: severity for code, _, severity, _, _ in K.HOLD_REASONS}
-_TITLE = {code: title for code, title, _, _, _ in K.HOLD_REASONS}
-_RETRYABLE = tuple(code for code, _, _, retry, _ in K.HOLD_REASONS if retry)
+_SEVERITY = {code: severity for code, _, severity, _ in K.HOLD_REASONS}
+_TITLE = {code: title for code, title, _, _ in K.HOLD_REASONS}
+_RETRYABLE = tuple(code for code, _, _, retry in K.HOLD_REASONS if retry)
 
 
 def severity_of(code: Column) -> Column:

@@ -19,8 +19,9 @@ def register(messages: DataFrame) -> DataFrame:
 
 
 def item_id(channel: Column, message_id: Column) -> Column:
+    """The whole digest: it is the idempotency key, so no two documents may share it."""
     digest = F.sha2(F.concat_ws("|", F.coalesce(channel, F.lit("email")), message_id), 256)
-    return F.concat(F.lit("inv_"), F.substring(digest, 1, 16))
+    return F.concat(F.lit("inv_"), digest)
 
 
 def real_pdf(path: Column, b64: Column, attachment: Column) -> Column:

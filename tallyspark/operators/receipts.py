@@ -75,9 +75,7 @@ def undecided(messages: DataFrame, body: str | None = "body", **vocabulary) -> D
         F.to_json(F.struct(
             "sender", "subject",
             F.coalesce(F.length("attachment") > 0, F.lit(False)).alias("has_attachment"),
-            # the request carries an excerpt by contract; rules above saw the whole body
-            F.substring(F.coalesce(body_col, F.lit("")), 1, K.ADVISORY_BODY_CHARS)
-            .alias("body_excerpt"))).alias("request"))
+            F.coalesce(body_col, F.lit("")).alias("body"))).alias("request"))
 
 
 def _signals(body, vocabulary):

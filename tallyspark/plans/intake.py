@@ -6,13 +6,11 @@ numbering are the only exchanges.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import non_empty
-from ..operators import audit, categorize, decide, duplicates, overlays
+from ..functions.rows import written
+from ..operators import audit, categorize, citations, decide, duplicates, overlays
 from ..operators.extract import extract
 from ..operators.parse import parse, register
 from ..sources import ledger
@@ -37,21 +35,11 @@ def complete(messages: DataFrame) -> DataFrame:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a frame that several branches use, in the cluster's shared folder.
+    """Cut the lineage of a frame that several branches use: a Parquet table in the shared folder.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a local session (tests, benchmarks)
-    gets a folder of its own; on a cluster without the setting the plan stays lazy.
+    Readers of few columns read few. See ``functions.rows.shared_folder`` for where it goes.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and context.master.startswith("local"):
-            folder = tempfile.mkdtemp(prefix="tallyspark-checkpoint-")
-        if not folder:
-            return df
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return written(df, "judged")
 
 
 def read_documents(messages: DataFrame) -> DataFrame:
@@ -78,9 +66,11 @@ def judge(extracted: DataFrame, answers: DataFrame | None = None,
     if overlay is not None:
         df = categorize.pin_category(df, overlay)
     df = decide.decide(df)
+    overflow = F.col("amount_overflow") if "amount_overflow" in df.columns else F.lit(False)
     kind = (F.when(F.col("extract_error"), "extraction_failed")
-            .when(F.col("advice_error").isNotNull(), "stage_failure"))
+            .when(overflow | F.col("advice_error").isNotNull(), "stage_failure"))
     message = (F.when(F.col("extract_error"), "invalid document values")
+               .when(overflow, "amount beyond the supported range")
                .otherwise(F.col("advice_error")))
     return df.withColumn("error_kind", kind).withColumn("error_message", message)
 
@@ -107,9 +97,15 @@ def outcomes(judged: DataFrame, posted: DataFrame | None = None,
 
 
 def process(messages: DataFrame, answers: DataFrame | None = None,
-            posted: DataFrame | None = None) -> DataFrame:
-    """messages(message_id, created_at, …) → one outcome row per document."""
-    judged = judge(read_documents(messages), answers).drop(*_HEAVY)
+            posted: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
+    """messages(message_id, created_at, …) → one outcome row per document.
+
+    ``pages`` (doc_id, page_number, words) adds the citations of the extracted values.
+    """
+    extracted = read_documents(messages)
+    if pages is not None:
+        extracted = citations.attach(extracted, pages)
+    judged = judge(extracted, answers).drop(*_HEAVY)
     return outcomes(settle(judged), posted)
 
 
@@ -121,20 +117,18 @@ def exceptions_of(done: DataFrame, at: Column | None = None) -> DataFrame:
     """
     if at is not None:
         done = done.withColumn("created_at", at)
-    when = ("created_at",)
-    first = F.lit(0).alias("ordinal")
-    flagged = decide.hold_exceptions(done.filter(
-        "error_kind is null and duplicate_of is null"), "invoice_id", *when)
-    twin = duplicates.hold_duplicates(done.filter("error_kind is null"), *when).select(
-        "invoice_id", *when, first, "type", "severity", "message")
-    failed = decide.build_exceptions(done.filter("error_kind is not null").select(
-        "invoice_id", *when, first, F.col("error_kind").alias("type"),
-        F.lit(None).cast("string").alias("severity"), F.col("error_message").alias("message")),
-        "invoice_id", *when, "ordinal")
-    rows = flagged.unionByName(twin).unionByName(failed)
+    failed, twin = F.col("error_kind").isNotNull(), F.col("duplicate_of").isNotNull()
+    one = (lambda code, severity, message: F.array(F.struct(
+        code.alias("type"), severity.alias("severity"), message.alias("message"))))
+    reported = (F.when(failed, one(F.col("error_kind"), F.lit(None).cast("string"), F.col("error_message")))
+                .when(twin, one(F.lit("suspected_duplicate"), F.lit("high"), duplicates.duplicate_message()))
+                .when(F.col("decision") == "hold", F.filter("risk_flags", lambda f: f["severity"].isin("medium", "high"))))
+    rows = done.select("invoice_id", "created_at", F.posexplode(reported).alias("ordinal", "f")).select(
+        "invoice_id", "created_at", "ordinal", "f.*")
+    rows = decide.build_exceptions(rows, "invoice_id", "created_at", "ordinal")
     stem = F.sha2(F.concat_ws("|", "invoice_id", F.unix_micros("created_at").cast("string")), 256)
     return rows.withColumn("id", F.concat(
-        F.lit("exc_"), F.substring(stem, 1, 16), F.lit("_"),
+        F.lit("exc_"), stem, F.lit("_"),
         F.lpad(F.col("ordinal").cast("string"), 3, "0"))).drop("ordinal")
 
 
@@ -145,6 +139,33 @@ def file_rows(done: DataFrame, recorded: DataFrame, row_count: DataFrame) -> Dat
     return ledger.append_refs(rows, recorded, row_count)
 
 
+def file_attempts(done: DataFrame, attempts: DataFrame) -> DataFrame:
+    """The run after its ledger appends: attempts(item_id, attempt, ok) of the posted items.
+
+    Items whose appends all failed become ``failed`` with ``sheet_write_failed``; items without attempts stay as they are.
+    """
+    tried = audit.attempt_outcomes(attempts).select(
+        F.col("item_id").alias("invoice_id"), (F.col("status") == "failed").alias("_lost"), "attempts_used")
+    lost = (F.col("status") == "posted") & F.coalesce("_lost", F.lit(False))
+    return (done.join(tried, "invoice_id", "left").withColumn("_lost", lost)
+            .withColumn("status", F.when(F.col("_lost"), "failed").otherwise(F.col("status")))
+            .withColumn("error_kind", F.when(F.col("_lost"), "sheet_write_failed").otherwise(F.col("error_kind")))
+            .withColumn("error_message", F.when(F.col("_lost"), F.concat(
+                F.lit("ledger append failed after "), F.col("attempts_used").cast("string"), F.lit(" attempts")))
+                .otherwise(F.col("error_message")))
+            .drop("_lost", "attempts_used"))
+
+
+def recover_filings(filed: DataFrame, attempts: DataFrame) -> DataFrame:
+    """Append again what ``file_attempts`` lost; everything else is untouched."""
+    again = F.coalesce(F.col("error_kind") == "sheet_write_failed", F.lit(False))
+    retried = (filed.withColumn("_again", again)
+               .withColumn("status", F.when(F.col("_again"), "posted").otherwise(F.col("status")))
+               .withColumn("error_kind", F.when(~F.col("_again"), F.col("error_kind")))
+               .withColumn("error_message", F.when(~F.col("_again"), F.col("error_message"))).drop("_again"))
+    return file_attempts(retried, attempts)
+
+
 def with_refs(done: DataFrame, filed: DataFrame) -> DataFrame:
     refs = filed.select(F.col("idempotency_key").alias("invoice_id"), "sheet_row_ref", "deduped")
     return done.join(refs, "invoice_id", "left")
@@ -247,13 +268,7 @@ def with_source(df: DataFrame, events: DataFrame) -> DataFrame:
             .withColumn("source_body", F.lit(None).cast("string")))
 
 
-def empty_like(spark: SparkSession, ddl: str) -> DataFrame:
-    return spark.createDataFrame([], ddl)
-
-
 def posted_view(done: DataFrame) -> DataFrame:
     """Columns the duplicate guard needs from already posted items."""
     return done.filter("status = 'posted'").select(
-        "invoice_id", "created_at", "vendor_name", "total_amount",
-        non_empty(F.col("total_amount_raw")).alias("total_amount_raw"), "invoice_date")
-
+        "invoice_id", "created_at", "vendor_name", "total_amount", "total_amount_raw", "invoice_date")

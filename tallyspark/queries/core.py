@@ -12,8 +12,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.rows import spread
-
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 BINDINGS: dict[str, str] = {}
@@ -57,25 +55,22 @@ def duckdb_text(sql: str) -> str:
     return f"with {head}\n{body}"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, wide: bool = False) -> DataFrame:
-    """A given table; ``wide`` spreads a one-split file over the cores for row-heavy work."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if wide else df
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bind(spark: SparkSession, sf_dir: str, name: str, wide: bool = False) -> DataFrame:
+def bind(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A binding as a DataFrame over the tables in ``sf_dir``."""
-    return run_sql(spark, sf_dir, BINDINGS[name], wide)
+    return run_sql(spark, sf_dir, BINDINGS[name])
 
 
-def run_sql(spark: SparkSession, sf_dir: str, sql: str, wide: bool = False) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    tag = f"{zlib.crc32(sf_dir.encode()):08x}{'w' if wide else ''}"
+def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    tag = f"{zlib.crc32(sf_dir.encode()):08x}"
 
     def resolve(match):
         name = match.group(1)
         view = f"v_{tag}_{name}"
-        df = (table if name in TABLES else bind)(spark, sf_dir, name, wide)
+        df = (table if name in TABLES else bind)(spark, sf_dir, name)
         df.createOrReplaceTempView(view)
         return view
 

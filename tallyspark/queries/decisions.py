@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
+from ..functions.text import MONEY
 from ..operators import categorize, decide, duplicates
 from ..sources import ledger
 from .core import bind, binding, query, table
@@ -153,7 +154,7 @@ def _values(rows):
     return ", ".join("(" + ", ".join(lit(x) for x in r) + ")" for r in rows)
 
 
-HOLD_DIM = f"(values {_values(K.HOLD_REASONS)}) as dim(code, title, severity, retryable, fr8)"
+HOLD_DIM = f"(values {_values(K.HOLD_REASONS)}) as dim(code, title, severity, retryable)"
 
 
 @query("hold_reason_lookup", f"""
@@ -234,7 +235,7 @@ def _category_sql(source: str, key: str, categories, income) -> str:
       with best as (select * from {{{source}_ranked}} where rank = 1),
       second as (select * from {{{source}_ranked}} where rank = 2),
       alts as (select {key}, string_agg(category, '; ' order by rank) as alternates
-               from {{{source}_ranked}} where rank between 2 and 4 group by {key}),
+               from {{{source}_ranked}} where rank >= 2 group by {key}),
       joined as (
         select d.*, b.category, coalesce(b.score, 0) as best_score, s.category as second_category,
           coalesce(s.score >= b.score - cast(0.15 as double), false) as ambiguous,
@@ -270,7 +271,7 @@ _PURCHASE_SQL = _category_sql("purchases", "invoice_id", K.CATEGORY_KEYWORDS, K.
   select invoice_id, cast(rank as bigint) as rank, category, score from {purchases_ranked}""")
 def category_candidates(spark, sf):
     return categorize.candidate_rows(categorize.score_categories(
-        bind(spark, sf, "purchases", wide=True), "text"), "invoice_id")
+        bind(spark, sf, "purchases"), "text"), "invoice_id")
 
 
 def _classified(df, key, **vocabulary):
@@ -282,7 +283,7 @@ def _classified(df, key, **vocabulary):
 
 @query("categorize_purchases", _PURCHASE_SQL)
 def categorize_purchases(spark, sf):
-    return _classified(bind(spark, sf, "purchases", wide=True), "invoice_id")
+    return _classified(bind(spark, sf, "purchases"), "invoice_id")
 
 
 # The crawl speaks an invented language, so its vocabulary is passed in.
@@ -305,7 +306,7 @@ _PROSE_SQL = _category_sql("prose", "doc_id", DOCUMENT_CATEGORIES, DOCUMENT_INCO
 
 @query("categorize_documents", _PROSE_SQL)
 def categorize_documents(spark, sf):
-    return _classified(bind(spark, sf, "prose", wide=True), "doc_id", categories=DOCUMENT_CATEGORIES,
+    return _classified(bind(spark, sf, "prose"), "doc_id", categories=DOCUMENT_CATEGORIES,
                        income_words=DOCUMENT_INCOME, patterns=DOCUMENT_PATTERNS)
 
 
@@ -321,7 +322,7 @@ def adversarial_documents(spark, sf):
   select invoice_id, regexp_matches(text, '(?i)ignore (all|any|previous|prior) (instructions|prompts)')
     as adversarial from {purchases}""")
 def adversarial_purchases(spark, sf):
-    return bind(spark, sf, "purchases", wide=True).select(
+    return bind(spark, sf, "purchases").select(
         "invoice_id", categorize.adversarial(F.col("text")).alias("adversarial"))
 
 
@@ -371,7 +372,7 @@ binding("purchase_base", _PURCHASE_SQL)
     case when asked and error_class = 'AuthenticationError' then error_class end as advice_error
   from base""")
 def advisory_merge(spark, sf):
-    df = categorize.classify(bind(spark, sf, "purchases", wide=True), "text")
+    df = categorize.classify(bind(spark, sf, "purchases"), "text")
     return categorize.merge_advice(df, bind(spark, sf, "purchase_answers")).select(
         "invoice_id", "document_type", "document_type_confidence", "category",
         "category_confidence", F.col("category_evidence").alias("rationale"), "advice_error")
@@ -380,23 +381,23 @@ def advisory_merge(spark, sf):
 @query("advisory_requests", """
   select b.invoice_id, p.vendor_name as vendor,
          cast(cast(p.total_amount as decimal(18,2)) as string) as total,
-         p.text as first_line, coalesce(c.names, 'all') as candidate_categories
+         p.text || '; ' || p.text as all_lines, coalesce(c.names, 'all') as candidate_categories
   from {purchase_base} b join {purchases} p using (invoice_id)
   left join (select invoice_id, string_agg(category, '; ' order by rank) as names
              from {purchases_ranked} group by invoice_id) c using (invoice_id)
   where b.ambiguous or b.document_type = 'unknown'""")
 def advisory_requests(spark, sf):
-    df = categorize.classify(bind(spark, sf, "purchases", wide=True), "text")
+    df = categorize.classify(bind(spark, sf, "purchases"), "text")
     df = df.withColumn("total_amount_raw", F.col("total_amount").cast("decimal(18,2)")
                        .cast("string")).withColumn("subject", F.lit(None).cast("string")) \
-        .withColumn("descriptions", F.array("text"))
+        .withColumn("descriptions", F.array("text", "text"))
     req = categorize.advisory_requests(df)
     read = F.from_json("request", "vendor string, total string, line_items array<string>,"
                                   " candidate_categories array<string>")
     names = F.col("q.candidate_categories")
     return req.select("invoice_id", read.alias("q")).select(
-        "invoice_id", "q.vendor", "q.total", F.try_element_at("q.line_items", F.lit(1))
-        .alias("first_line"), F.when(F.size(names) == len(K.CATEGORY_KEYWORDS), "all")
+        "invoice_id", "q.vendor", "q.total", F.array_join("q.line_items", "; ")
+        .alias("all_lines"), F.when(F.size(names) == len(K.CATEGORY_KEYWORDS), "all")
         .otherwise(F.array_join(names, "; ")).alias("candidate_categories"))
 
 
@@ -409,7 +410,7 @@ def advisory_requests(spark, sf):
     select invoice_id, 'Reviewed ' || vendor_name as c from {purchases}
     where vendor_name in ('Uber', 'Adobe')) o using (invoice_id)""")
 def category_pinned(spark, sf):
-    df = bind(spark, sf, "purchases", wide=True)
+    df = bind(spark, sf, "purchases")
     overlay = df.filter(F.col("vendor_name").isin("Uber", "Adobe", "")).select(
         "invoice_id", F.when(F.col("vendor_name") != "", F.concat(F.lit("Reviewed "), "vendor_name"))
         .otherwise("").alias("corrected_category"))
@@ -570,3 +571,21 @@ def replaced_line_items(spark, sf):
 def items_by_creation(spark, sf):
     return ledger.by_creation(bind(spark, sf, "listed")).select(
         "invoice_id", F.unix_micros("created_at").alias("created_us"), "status")
+
+
+# Amounts that differ behind the fourth decimal or lie beyond 10**14, one pair of items per event.
+binding("exact_amounts", """
+  select cast(event_id as string) || '-' || cast(k as string) as invoice_id, ts as created_at, k,
+         'user ' || cast(event_id as string) as vendor_name,
+         case n % 3 when 0 then '123.4567' || cast(k as string) when 1 then '100000000000000' || cast(k as string) || '.5'
+              when 2 then case k when 1 then '0012.50' else '+12.5' end end as total_amount_raw,
+         '2024-01-01' as invoice_date, n
+  from {event_numbers}, (values (1), (2)) as two(k)""")
+
+
+@query("duplicate_exact_amounts", """
+  select invoice_id, case when k = 2 and n % 3 = 2 then replace(invoice_id, '-2', '-1') end as duplicate_of
+  from {exact_amounts}""")
+def duplicate_exact_amounts(spark, sf):
+    items = bind(spark, sf, "exact_amounts").withColumn("total_amount", F.col("total_amount_raw").try_cast(MONEY))
+    return duplicates.guard(items).select("invoice_id", "duplicate_of")

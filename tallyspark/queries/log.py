@@ -302,15 +302,16 @@ binding("review_actions", """
 @query("reviewer_actions", """
   select invoice_id, case action when 'correct' then 'corrected' when 'reject' then 'rejected'
       when 'escalate' then 'escalated' when 'confirm' then 'confirmed' when 'review'
-      then 'reviewed' else 'note' end as action,
+      then 'reviewed' when 'note' then 'note' end as action,
     case action when 'correct' then 'corrected' when 'reject' then 'rejected' when 'escalate'
       then 'escalated' end as new_status,
     case when action = 'correct' then target end as target,
     case when action = 'correct' and target = 'line_item' then target_id end as line_item_id,
     case when action = 'confirm' then target_id end as target_id,
-    case when action = 'correct' then cast(n as string) end as after_value, reason,
-    epoch_us(acted_at) as at_us
-  from {review_actions} where action <> 'unknown'""")
+    case when action = 'correct' then cast(n as string) end as after_value,
+    case when action <> 'unknown' then reason end as reason,
+    epoch_us(acted_at) as at_us, case when action = 'unknown' then 'unknown action' end as error
+  from {review_actions}""")
 def reviewer_actions(spark, sf):
     acts = bind(spark, sf, "review_actions")
     acts = acts.withColumn("before", F.create_map(F.lit("k"), F.lit("old"))).withColumn(
@@ -320,7 +321,26 @@ def reviewer_actions(spark, sf):
         "invoice_id", "action", "new_status", d("target").alias("target"),
         d("line_item_id").alias("line_item_id"), d("target_id").alias("target_id"),
         d("after.k").alias("after_value"), d("reason").alias("reason"),
-        F.unix_micros("ts").alias("at_us"))
+        F.unix_micros("ts").alias("at_us"), "error")
+
+
+@query("checked_actions", """
+  select request_id, case when cast(invoice_id as int) % 11 = 0 then 'item not found'
+      when action = 'unknown' then 'unknown action'
+      when action = 'correct' and target = 'metadata' and n % 2 = 0 then 'unknown field(s): k'
+      when action = 'correct' and target = 'line_item' and n % 3 > 0 then 'line item not found'
+      when action = 'review' and cast(invoice_id as int) % 2 = 0 then 'uncertain citations are open' end as error
+  from {review_actions}""")
+def checked_actions(spark, sf):
+    """Every request comes back once, with the reason if it is rejected."""
+    acts = bind(spark, sf, "review_actions").withColumn("before", F.create_map(F.lit("k"), F.lit("old"))).withColumn(
+        "updates", F.when(F.col("n") % 2 == 0, F.create_map(F.lit("k"), F.lit("1"))).otherwise(
+            F.create_map(F.lit("currency"), F.lit("EUR"))))
+    number = F.col("invoice_id").cast("int")
+    lines = acts.filter("n % 3 = 0").select("invoice_id", F.col("target_id").alias("id"))
+    return audit.reviewer_actions(audit.check_actions(
+        acts, acts.filter(number % 11 != 0), lines, acts.filter(number % 2 == 0)).withColumn(
+        "invoice_id", F.col("request_id"))).select(F.col("invoice_id").alias("request_id"), "error")
 
 
 binding("attempts", """
@@ -329,11 +349,11 @@ binding("attempts", """
 
 
 @query("attempt_outcomes", """
-  select item_id, case when min(case when ok then attempt end) is null then 'failed'
+  select item_id, case when min(case when ok and attempt <= 3 then attempt end) is null then 'failed'
            else 'posted' end as status,
-         cast(coalesce(min(case when ok then attempt end), max(attempt)) as bigint)
-           as attempts_used
-  from {attempts} where attempt <= 3 group by item_id""")
+         cast(coalesce(min(case when ok and attempt <= 3 then attempt end),
+                       max(case when attempt <= 3 then attempt end), 0) as bigint) as attempts_used
+  from {attempts} group by item_id""")
 def attempt_outcomes(spark, sf):
     return audit.attempt_outcomes(bind(spark, sf, "attempts"))
 

@@ -222,11 +222,11 @@ def receipt_advisory_merge(spark, sf):
 
 @query("receipt_requests", """
   select message_id, sender, subject, coalesce(attachment, '') <> '' as has_attachment,
-         substr(body, 1, 1000) as body_excerpt from {mail_signals} where not yes and not no""")
+         coalesce(body, '') as body from {mail_signals} where not yes and not no""")
 def receipt_requests(spark, sf):
     req = receipts.undecided(bind(spark, sf, "mail"), non_receipt_tells=NON_RECEIPT)
     read = F.from_json("request", "sender string, subject string, has_attachment boolean,"
-                                  " body_excerpt string")
+                                  " body string")
     return req.select("message_id", read.alias("r")).select("message_id", "r.*")
 
 
@@ -279,7 +279,7 @@ def source_flags(spark, sf):
           || cast(cast(l_extendedprice as decimal(18,2)) as string) as doc_id from {lineitem})""")
 def layout_header(spark, sf):
     h = F.col("layout_header")
-    return parse.read_layout(bind(spark, sf, "layout_docs", wide=True)).select(
+    return parse.read_layout(bind(spark, sf, "layout_docs")).select(
         "doc_id", *[F.try_element_at(h, F.lit(k)).alias(k) for k in (
             "invoice_number", "vendor_name", "total_amount", "currency")],
         F.size(h).cast("bigint").alias("n_fields"))
@@ -298,7 +298,7 @@ def layout_header(spark, sf):
           || cast(cast(l_extendedprice as decimal(18,2)) as string) as doc_id,
           unnest([0, 1]) as pos from {lineitem} where l_linestatus = 'O')""")
 def layout_line_items(spark, sf):
-    return parse.read_layout(bind(spark, sf, "layout_docs", wide=True)).select(
+    return parse.read_layout(bind(spark, sf, "layout_docs")).select(
         "doc_id", F.posexplode("layout_items").alias("pos", "i")).select(
         "doc_id", F.col("pos").cast("bigint").alias("pos"), "i.*")
 
@@ -324,7 +324,7 @@ def layout_prose(spark, sf):
 
 # ---- extraction -----------------------------------------------------------------------------
 def extracted(spark, sf):
-    return intake.read_documents(bind(spark, sf, "json_docs", wide=True))
+    return intake.read_documents(bind(spark, sf, "json_docs"))
 
 
 _KEYED_LINES = """(select *, cast(l_orderkey as string) || '-' || cast(l_linenumber as string)
@@ -462,9 +462,30 @@ def mime_tree_bodies(spark, sf):
     return mime.bodies(parts)
 
 
+_BROKEN = ('{"mimeType":"text/plain","body":"loose text"}', '{"mimeType":"text/plain","parts":"none","body":{"data":"eA"}}',
+           '{"mimeType":7,"filename":"a.txt","body":{"attachmentId":1,"data":"eA"}}', "[1]", "no json", '{"parts":[3,{"mimeType":"text/plain"}]}')
+_BROKEN_PARTS = (  # payload number, part, type, error
+    (0, 0, "text/plain", "body is no dict"), (1, 0, "text/plain", "parts is no list"),
+    (2, 0, "", "mimeType is no str; attachmentId is no str"), (3, 0, "", "part is no dict"),
+    (4, 0, "", "payload is no JSON"), (5, 0, "", None), (5, 1, "", "part is no dict"), (5, 2, "text/plain", None))
+
+
+@query("mime_malformed", """
+  select message_id, cast(p as int) as part_order, mime, error from (
+    select message_id, (turn + length(text)) % 6 as kind from {mime_trees}) t
+  join (values """ + ", ".join("({}, {}, '{}', {})".format(a, b, c, f"'{d}'" if d else "null") for a, b, c, d in _BROKEN_PARTS) + """)
+    as e(kind2, p, mime, error) on kind = kind2""")
+def mime_malformed(spark, sf):
+    """Payloads with values of the wrong type: named in the parts, never fatal."""
+    kind = F.pmod(F.col("turn") + F.char_length("text"), F.lit(6)).cast("int")
+    payload = F.get(F.array(*[F.lit(b) for b in _BROKEN]), kind)
+    parts = mime.walk_payloads(bind(spark, sf, "mime_trees").select("message_id", payload.alias("payload")))
+    return parts.select("message_id", "part_order", F.col("mime_type").alias("mime"), "error")
+
+
 # ---- the whole run --------------------------------------------------------------------------
 def _run(spark, sf):
-    docs = bind(spark, sf, "json_docs", wide=True).withColumn(
+    docs = bind(spark, sf, "json_docs").withColumn(
         "created_at", F.col("received_at").cast("timestamp"))
     return intake.process(docs)
 
@@ -499,9 +520,8 @@ def stage_events(spark, sf):
     at = F.lit("2026-01-01 00:00:00").cast("timestamp")
     rows = audit.stage_events(done.withColumn("run_ts", at)
                               .withColumn("sheet_row_ref", F.lit(None).cast("string"))
-                              .withColumn("deduped", F.lit(False)), "run-1")
-    names = done.select("invoice_id", "message_id")
-    return rows.join(names, "invoice_id").select("message_id", "seq", "action", "actor")
+                              .withColumn("deduped", F.lit(False)), "run-1", "message_id")
+    return rows.select("message_id", "seq", "action", "actor")
 
 
 @query("run_exceptions", """
@@ -511,3 +531,55 @@ def run_exceptions(spark, sf):
     rows = intake.exceptions_of(_run(spark, sf)).filter("type = 'extraction_failed'")
     return rows.groupBy(F.lit("failed").alias("status")).agg(F.count(F.lit(1)).alias("items"))
 
+
+# Up to four appends per item; which one succeeds follows from the length of its message id.
+binding("append_tries", """
+  select message_id, cast(k as int) as attempt, (length(message_id) + k) % 4 = 0 as ok,
+         (length(message_id) / 4 + k) % 2 < 1 as ok_later
+  from {json_docs}, (values (1), (2), (3), (4)) as tries(k)""")
+
+
+def _filed(spark, sf, ok):
+    return bind(spark, sf, "append_tries").select(
+        parse.item_id(F.lit(None), F.col("message_id")).alias("item_id"), "attempt", F.col(ok).alias("ok"))
+
+
+@query("filing_outcomes", """
+  select message_id, case when lost then 'failed' else status end as status,
+    case when lost then 'sheet_write_failed' when status = 'failed' then 'extraction_failed' end as error_kind
+  from (select *, status = 'posted' and length(message_id) % 4 = 0 as lost from {json_results})""")
+def filing_outcomes(spark, sf):
+    done = intake.file_attempts(_run(spark, sf), _filed(spark, sf, "ok"))
+    return done.select("message_id", "status", "error_kind")
+
+
+@query("recover_filings", """
+  select message_id, status, case when status = 'failed' then 'extraction_failed' end as error_kind
+  from {json_results}""")
+def recover_filings(spark, sf):
+    """What the first appends lost is filed by later ones."""
+    done = intake.file_attempts(_run(spark, sf), _filed(spark, sf, "ok"))
+    later = intake.recover_filings(done, _filed(spark, sf, "ok_later"))
+    return later.select("message_id", "status", "error_kind")
+
+
+@query("run_citations", """
+  select message_id, '0,1' as word_indices, 'extracted' as status from {json_results}
+  where status <> 'failed' and has_doc and l_returnflag in ('A', 'R')""")
+def run_citations(spark, sf):
+    """Citations on the ``extracted`` events of a run whose documents have a page of words."""
+    docs = bind(spark, sf, "json_docs").withColumn("created_at", F.col("received_at").cast("timestamp"))
+    number = F.get(F.split("message_id", "-"), F.lit(3))
+    word = (lambda i, text: F.struct(
+        F.lit(i).alias("index"), text.alias("text"), F.lit(0.1 * i).alias("x"), F.lit(0.1).alias("y"),
+        F.lit(0.1).alias("width"), F.lit(0.02).alias("height")))
+    pages = docs.select(parse.item_id(F.lit(None), F.col("message_id")).alias("doc_id"), F.lit(1).alias("page_number"),
+                        F.array(word(0, F.lit("Supplier")), word(1, number), word(2, F.lit("thanks"))).alias("words"))
+    done = intake.process(docs, pages=pages).withColumn("run_ts", F.col("created_at")).withColumn(
+        "sheet_row_ref", F.lit(None).cast("string")).withColumn("deduped", F.lit(False))
+    events = audit.stage_events(done, "run-1", "message_id").filter("action = 'extracted'")
+    cited = F.from_json(F.get_json_object("details", "$.citations"),
+                        "array<struct<target_id:string,word_indices:array<int>,status:string>>")
+    return events.select("message_id", F.explode(cited).alias("c")).filter(
+        "c.target_id = 'metadata.vendor_name'").select(
+        "message_id", F.array_join("c.word_indices", ",").alias("word_indices"), "c.status")

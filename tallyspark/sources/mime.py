@@ -12,14 +12,15 @@ from ..functions.text import base64url_bytes, utf8_text
 
 
 PARTS = ("message_id string, part_order int, mime_type string, filename string,"
-         " attachment_id string, data_b64url string")
+         " attachment_id string, data_b64url string, error string")
 
 
 def walk_payloads(messages: DataFrame) -> DataFrame:
     """messages(message_id, payload JSON) → part rows in pre-order, any nesting depth.
 
     Spark has no recursive struct, and its recursive queries stop at a row limit; the walk of one
-    payload is a small Arrow-batched helper, rows stay where they are.
+    payload is a small Arrow-batched helper, rows stay where they are. Values of the wrong type are
+    left out and named in ``error``; a bad payload never fails the job.
     """
     names = [c.split()[0] for c in PARTS.split(", ")]
 
@@ -27,18 +28,31 @@ def walk_payloads(messages: DataFrame) -> DataFrame:
     def pre_order(payload):
         try:
             stack = [json.loads(payload or "")]
-        except ValueError:
+        except (ValueError, RecursionError):
+            yield 0, "", "", None, None, "payload is no JSON"
             return
         order = 0
         while stack:
             node = stack.pop()
+            errors = []
+
+            def take(owner, name, kind, default=None, errors=errors):
+                value = owner.get(name)
+                if value is None or isinstance(value, kind):
+                    return value or default
+                errors.append(f"{name} is no {kind.__name__}")
+                return default
+
             if not isinstance(node, dict):
+                yield order, "", "", None, None, "part is no dict"
+                order += 1
                 continue
-            body = node.get("body") or {}
-            yield (order, node.get("mimeType") or "", node.get("filename") or "",
-                   body.get("attachmentId"), body.get("data"))
+            body = take(node, "body", dict, {})
+            row = (order, take(node, "mimeType", str, ""), take(node, "filename", str, ""),
+                   take(body, "attachmentId", str), take(body, "data", str))
+            stack.extend(reversed(take(node, "parts", list, [])))
+            yield *row, "; ".join(errors) or None
             order += 1
-            stack.extend(reversed(node.get("parts") or []))
 
     def run(batches):
         for batch in batches:

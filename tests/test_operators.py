@@ -3,6 +3,7 @@
 import base64
 import json
 import random
+import re
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tallyspark.functions.spread import previous, ranked
-from tallyspark.functions.text import humanise, iso_date, strip_fences, utf8_text
+from tallyspark.functions.text import amount_key, humanise, iso_date, strip_fences, utf8_text
 from tallyspark.operators import (citations, decide, duplicates, metrics, overlays, parse,
                                   receipts, review, words)
 from tallyspark.plans import advisory, intake
@@ -25,78 +26,126 @@ def plan(df):
 
 
 # ---- hot keys ---------------------------------------------------------------------------------
-def _transactions(n=600, seed=5):
-    rng = random.Random(seed)
-    start = datetime(2026, 1, 1)
-    rows = []
-    for i in range(n):
-        hot = rng.random() < 0.6  # one vendor and total own most rows
-        vendor = "Adobe " if hot else f"v{rng.randrange(5)}"
-        day = date(2026, 1, 1) + timedelta(days=rng.randrange(40))
-        text = {0: None, 1: "soon", 2: "2026-1-9"}.get(rng.randrange(60), f"{day}T10:00")
-        rows.append((f"i{i:04d}", start + timedelta(minutes=rng.randrange(5000)),
-                     None if rng.random() < 0.05 else vendor, "10.00" if hot else
-                     None if rng.random() < 0.1 else f"{rng.randrange(3)}.50", text))
-    return rows
+START = datetime(2026, 1, 1)
+DDL = "invoice_id string, created_at timestamp, vendor_name string, total string, invoice_date string"
 
 
-DDL = "invoice_id string, created_at timestamp, vendor_name string, total string, invoice_date string"
+def _items(n=600, seed=5, undated=0.03):
+    """(id, minute, key number or None, day number or None): one key owns most rows."""
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        key = 0 if rng.random() < 0.6 else rng.choice([None, 1, 2, 3, 4])
+        out.append((f"i{i:04d}", rng.randrange(5000), key, None if rng.random() < undated else rng.randrange(40)))
+    return out
 
 
-def _frame(spark, rows):
+def _frame(spark, items):
+    names = {0: ("Adobe ", "10.00"), 1: ("v1", "0.50"), 2: ("v2", "1.50"), 3: (" V1", "2.50"), 4: ("v4", "2.50"), None: (None, "10.00")}
+    rows = []
+    for i, minute, key, day in items:
+        vendor, total = names[key]
+        text = "soon" if day is None else f"{date(2026, 1, 1) + timedelta(days=day)}T10:00"
+        rows.append((i, START + timedelta(minutes=minute), vendor, total, text))
     return spark.createDataFrame(rows, DDL).select(
         "*", F.col("total").cast("decimal(18,4)").alias("total_amount"),
         F.col("total").alias("total_amount_raw"))
 
 
-def _day(text):
-    try:
-        return date.fromisoformat((text or "")[:10])
-    except ValueError:
-        return None
-
+def _meets(a, b):
+    return a[2] is not None and a[2] == b[2] and (None in (a[3], b[3]) or abs(a[3] - b[3]) < 4)
 
-def _twins(a, b):
-    if not (a[2] or "").strip() or a[3] is None or b[3] is None:
-        return False
-    if a[2].strip().lower() != (b[2] or "").strip().lower() or a[3] != b[3]:
-        return False
-    da, db = _day(a[4]), _day(b[4])
-    return da is None or db is None or abs((da - db).days) <= 3
 
-
-def _brute_guard(rows, posted=()):
+def _brute_guard(items, posted=()):
     kept, out = list(posted), {}
-    for row in sorted(rows, key=lambda r: (r[1], r[0])):
-        hit = next((k for k in kept if _twins(row, k)), None)
-        out[row[0]] = hit[0] if hit else None
-        if hit is None:
-            kept.append(row)
+    for x in sorted(items, key=lambda r: (r[1], r[0])):
+        out[x[0]] = next((k[0] for k in kept if _meets(x, k)), None)
+        if out[x[0]] is None:
+            kept.append(x)
     return out
 
 
-def test_guard_equals_brute_force(spark):
-    rows = _transactions()
-    got = {r.invoice_id: r.duplicate_of for r in duplicates.guard(_frame(spark, rows)).collect()}
-    assert got == _brute_guard(rows)
+@pytest.mark.parametrize("seed, undated", [(5, 0.03), (6, 0.0), (7, 0.5), (8, 0.002)])
+def test_guard_equals_brute_force(spark, seed, undated):
+    items = _items(seed=seed, undated=undated)
+    got = {r.invoice_id: r.duplicate_of for r in duplicates.guard(_frame(spark, items)).collect()}
+    assert got == _brute_guard(items)
     # later batch, seeded with what an earlier one posted
-    first, second = rows[:300], rows[300:]
-    second = [(r[0], r[1] + timedelta(days=30), *r[2:]) for r in second]
+    first, second = items[:300], [(r[0], r[1] + 9000, *r[2:]) for r in items[300:]]
     done = _brute_guard(first)
     posted = sorted((r for r in first if done[r[0]] is None), key=lambda r: (r[1], r[0]))
     got = duplicates.guard(_frame(spark, second), _frame(spark, posted)).collect()
     assert {r.invoice_id: r.duplicate_of for r in got} == _brute_guard(second, posted)
 
 
+def test_guard_of_a_key_with_many_days(spark):
+    """20,000 days of one key, in day order: every fourth is posted."""
+    days = spark.range(20_000).select(
+        F.col("id").cast("string").alias("invoice_id"), F.timestamp_seconds("id").alias("created_at"),
+        F.lit("v").alias("vendor_name"), F.lit(1).cast("decimal(18,4)").alias("total_amount"),
+        F.lit("1").alias("total_amount_raw"), F.date_add(F.lit("1970-01-01").cast("date"), F.col("id").cast("int")).cast("string")
+        .alias("invoice_date"))
+    got = {int(r.invoice_id): r.duplicate_of for r in duplicates.guard(days).collect()}
+    assert got == {d: None if d % 4 == 0 else str(d - d % 4) for d in range(20_000)}
+
+
+@pytest.mark.parametrize("a, b, same", [
+    ("123.45671", "123.45674", False), ("1", "1.0000", True), ("+012.50", "12.5", True), (" 7 ", "7.", True), ("-0", "0", True),
+    ("1000000000000000.00", "1000000000000000.01", False), ("1" + "0" * 60, "1" + "0" * 60 + ".0", True), ("1e3", "1000", True),
+    ("-5", "5", False), (".5", "0.5", True)])
+def test_amounts_compare_exactly(spark, a, b, same):
+    row = spark.createDataFrame([(a, b)], "a string, b string").select(amount_key(F.col("a")), amount_key(F.col("b"))).collect()[0]
+    assert None not in row and (row[0] == row[1]) == same
+
+
+def test_what_is_no_amount(spark):
+    rows = spark.createDataFrame([(x,) for x in ("", "n/a", "1,000.00", "1 2", ".", "--1", None)], "a string")
+    assert [r[0] for r in rows.select(amount_key(F.col("a"))).collect()] == [None] * 7
+
+
 def test_first_duplicates_equals_brute_force(spark):
-    rows = _transactions(300, seed=9)
-    posted = sorted(rows[:120], key=lambda r: (r[1], r[0]))
-    want = {r[0]: next((p[0] for p in posted if p[0] != r[0] and _twins(r, p)), None)
-            for r in rows}
-    got = duplicates.first_duplicates(_frame(spark, rows), _frame(spark, posted)).collect()
+    items = _items(300, seed=9)
+    posted = sorted(items[:120], key=lambda r: (r[1], r[0]))
+    want = {r[0]: next((p[0] for p in posted if p[0] != r[0] and _meets(r, p)), None) for r in items}
+    got = duplicates.first_duplicates(_frame(spark, items), _frame(spark, posted)).collect()
     assert {r.invoice_id: r.duplicate_of for r in got} == want
 
 
+def test_ledger_numbers_need_no_single_task_window(spark):
+    rows = spark.range(3000).select(
+        F.col("id").cast("string").alias("idempotency_key"),
+        F.timestamp_seconds(F.col("id") % 900 * 86400).alias("created_at"))
+    recorded = spark.createDataFrame([("7", "Ledger!A1:F1")], "idempotency_key string, sheet_row_ref string")
+    filed = ledger.append_refs(rows, recorded, spark.createDataFrame([(1,)], "n long"), bucket_width=1)
+    got = {r.idempotency_key: (r.sheet_row_ref, r.deduped) for r in filed.collect()}
+    assert got.pop("7") == ("Ledger!A1:F1", True)
+    order = rows.filter("idempotency_key <> '7'").select("idempotency_key", F.to_date("created_at").alias("d"), F.expr(
+        "substring(md5(idempotency_key), 1, 1)").alias("b")).collect()
+    for n, r in enumerate(sorted(order, key=lambda r: (r.d, r.b, r.idempotency_key)), 2):
+        assert got[r.idempotency_key] == (f"Ledger!A{n}:F{n}", False)
+    assert not re.search(r"Window.*\n[^\n]*\n?[^\n]*SinglePartition", plan(filed))
+
+
+def test_submitted_settings_win(spark):
+    """Settings that the context was started with stay; only missing ones are filled in."""
+    from tallyspark.session import DEFAULTS, build_session
+    started = spark.sparkContext.getConf()
+    before = {k: spark.conf.get(k) for k in DEFAULTS}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    build_session()
+    assert started.contains("spark.sql.shuffle.partitions") and spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    assert {k: spark.conf.get(k) for k in DEFAULTS} == before
+
+
+def test_versions_and_copies_of_equal_times(spark):
+    rows = [("a", START, "x"), ("a", START, "y"), ("a", START, "z")]
+    for data in (rows, rows[::-1]):
+        frame = spark.createDataFrame(data, "invoice_id string, updated_at timestamp, status string").coalesce(1)
+        assert [r.status for r in ledger.latest_versions(frame).collect()] == ["z"]
+        copies = frame.withColumnsRenamed({"invoice_id": "message_id", "updated_at": "received_at"})
+        assert [r.status for r in inbox.first_per_message(copies, ["received_at"]).collect()] == ["x"]
+
+
 def test_ranked_and_previous_equal_plain_windows(spark):
     df = spark.range(2000).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 7).cast("string")).alias("k"),
@@ -150,7 +199,7 @@ def test_layout_text(spark):
 
 
 def test_real_pdf_uses_layout_text(spark):
-    text = "Vendor: Adobe\nTotal Amount: 52.99\nLine Items\nsoftware | 1 | 52.99 | 52.99"
+    text = "Vendor: Adobe\nTotal Amount: 64.25\nLine Items\nsoftware | 1 | 64.25 | 64.25"
     df = spark.createDataFrame([("m", "bill.pdf", "eA==", text)],
                                "message_id string, attachment string, attachment_b64 string,"
                                " pdf_text string").withColumn(
@@ -205,11 +254,11 @@ def _page(spark, texts, page=1):
 
 
 def test_locate_and_boxes(spark):
-    pages = _page(spark, ["Vendor:", "Riverside", "Clinical", "Research", "$1,234.00", "---"]) \
-        .unionByName(_page(spark, ["Research", "Total", "1234.00"], 2))
+    pages = _page(spark, ["Vendor:", "Harbour", "Tide", "Studio", "$1,234.00", "---"]) \
+        .unionByName(_page(spark, ["Studio", "Total", "1234.00"], 2))
     values = spark.createDataFrame([
-        ("d", "a", "Riverside Clinical Research", 0.9), ("d", "b", "1,234.00", 0.6),
-        ("d", "c", "Research Riverside", 0.9), ("d", "e", "absent", 0.9), ("d", "f", "--", 0.9)],
+        ("d", "a", "Harbour Tide Studio", 0.9), ("d", "b", "1,234.00", 0.6),
+        ("d", "c", "Studio Harbour", 0.9), ("d", "e", "absent", 0.9), ("d", "f", "--", 0.9)],
         "doc_id string, target_id string, value string, confidence double")
     cited = citations.resolve(citations.synthesize(values, pages), pages)
     got = {r.target_id: r for r in cited.collect()}
@@ -253,7 +302,8 @@ def test_mime_tree(spark):
                                "message_id string, payload string")
     parts = mime.walk_payloads(df)
     body = mime.bodies(parts).collect()
-    assert [(r.body_text, r.body_html) for r in body] == [("plain", "<p>hé?>~</p>")]
+    assert {r.message_id: (r.body_text, r.body_html) for r in body} == {"m": ("plain", "<p>hé?>~</p>"), "n": (None, None)}
+    assert [r.error for r in parts.filter("message_id = 'n'").collect()] == ["payload is no JSON"]
     assert [r.filename for r in mime.attachments(parts).orderBy("part_order").collect()] == [
         "n.txt", "b.PDF"]
     assert mime.first_pdf_attachment(parts).collect()[0].filename == "b.PDF"
@@ -318,7 +368,7 @@ def test_ledger_csv(spark, tmp_path):
     rows = spark.createDataFrame([("k", "Expense", "Travel", "Bob", "", "1.00", "m")],
                                  "idempotency_key string, Type string, Category string,"
                                  " Vendor string, Date string, Amount string, Source string")
-    ledger.write_ledger_csv(rows, str(tmp_path / "ledger"))
+    ledger.write_ledger_csv(rows.coalesce(1), str(tmp_path / "ledger"))
     text = next((tmp_path / "ledger").glob("*.csv")).read_text().splitlines()
     assert text[0] == "Type,Category,Vendor,Date,Amount,Source"
     assert text[1].startswith("Expense,Travel,Bob,")

@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tallyspark.operators import overlays
@@ -23,7 +25,7 @@ def line(text, total="10.00"):
 
 CASES = {
     # message id: (document, sender, expected status, expected flag or None)
-    "office": (doc([line("Notion subscription")], vendor_name="Notion"), "billing@notion.so",
+    "office": (doc([line("Notion subscription")], vendor_name="Notion"), "pay@inkwell.example",
                "posted", None),
     "plain": (doc([line("thing")]), None, "held", "low_category_confidence"),
     "two": (doc([line("office supplies")], vendor_name="Depot"), None, "held", "low_confidence"),
@@ -65,7 +67,7 @@ def test_outcomes(spark):
 
 
 def test_duplicates_and_ledger(spark):
-    def bill(vendor, date, total="52.99"):
+    def bill(vendor, date, total="64.25"):
         return (doc([line("software", total)], vendor_name=vendor, invoice_date=date,
                     total_amount=total), None)
     cases = {"a": bill("Adobe", "2026-03-01"), "b": bill(" ADOBE ", "2026-03-04"),
@@ -77,7 +79,7 @@ def test_duplicates_and_ledger(spark):
         "a": "posted", "b": "held", "c": "posted", "d": "posted", "e": "held", "f": "posted"}
     assert got["b"].duplicate_of == got["a"].invoice_id == got["e"].duplicate_of
     assert got["b"].hold_reason == (
-        f"looks like a duplicate of already-posted item {got['a'].invoice_id} (Adobe, 52.99)")
+        f"looks like a duplicate of already-posted item {got['a'].invoice_id} (Adobe, 64.25)")
     assert got["b"].decision == "hold"
     rec = spark.createDataFrame([], "idempotency_key string, sheet_row_ref string")
     count = spark.createDataFrame([(2,)], "n long")
@@ -217,3 +219,42 @@ def test_stream_matches_batch_and_is_idempotent(spark, tmp_path):
     assert [r.sheet_row_ref for r in ledger] == ["Ledger!A1:F1"]
     dropped = spark.read.parquet(f"{root}/dropped")
     assert "body" not in dropped.columns and dropped.count() == 1
+
+
+def test_unreadable_state_stops_the_stream(spark, tmp_path):
+    assert stream.state(spark, str(tmp_path), "ledger", stream.LEDGER).count() == 0
+    (tmp_path / "ledger" / "batch_id=0").mkdir(parents=True)
+    (tmp_path / "ledger" / "batch_id=0" / "part-0.parquet").write_bytes(b"no table")
+    with pytest.raises(Exception, match=r"(?s).+"):
+        stream.state(spark, str(tmp_path), "ledger", stream.LEDGER).collect()
+
+
+def test_failed_question_is_asked_again(spark, tmp_path):
+    """A message whose question fails is not lost: the next batch takes it up."""
+    from tallyspark.plans import advisory
+    root = str(tmp_path / "state")
+    batch = spark.createDataFrame([("q", "hello there", "friend@mail.example", CASES["office"][0])],
+                                  "message_id string, subject string, sender string, document string").withColumn(
+        "received_at", F.timestamp_seconds(F.lit(1_700_000_000)))
+
+    def broken(_):
+        raise PermissionError
+
+    def fine(_):
+        return json.dumps({"is_receipt": True, "confidence": 0.9, "reason": "looks like one"})
+
+    stream.run_batch(batch, 0, root, True, lambda asked: advisory.ask(asked, broken, "message_id"))
+    assert stream.outcome_counts(spark, root).count() == 0 and spark.read.parquet(f"{root}/retry").count() == 1
+    stream.run_batch(batch.limit(0), 1, root, True, lambda asked: advisory.ask(asked, fine, "message_id"))
+    assert [(r.status, r["count"]) for r in stream.outcome_counts(spark, root).collect()] == [("posted", 1)]
+    assert stream.state(spark, root, "retry", "message_id string, batch_id bigint").filter("batch_id = 1").count() == 0
+
+
+def test_amounts_too_large_for_the_arithmetic(spark):
+    """Readable numbers never fail the schema gate; where no decimal holds them the stage says so."""
+    huge = "1" + "0" * 40
+    cases = {"large": (doc([line("software", "1000000000000000.00")], total_amount="1000000000000000.00"), None),
+             "huge": (doc([line("software", huge)], total_amount=huge), None)}
+    got = {r.message_id: (r.error_kind, r.error_message) for r in intake.process(messages(spark, cases)).collect()}
+    assert got["large"] == (None, None)
+    assert got["huge"] == ("stage_failure", "amount beyond the supported range")
