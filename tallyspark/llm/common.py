@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
+import time
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -14,6 +13,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.functions import rows
+
 #: Python-side memory bounds of one task: bytes of text walked at once, entries of a word cache.
 CHUNK_BYTES = 4 << 20
 CACHE_ENTRIES = 300_000
@@ -23,33 +24,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local session without one gets its own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    made = spark.sparkContext.getCheckpointDir()
-    if not made:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="llm-"))
-        made = spark.sparkContext.getCheckpointDir()
-    return made
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` as a Parquet table in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    drop_finished_shuffles(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    drop_finished_shuffles(df.sparkSession)
+    return rows.written(df, name)
+
+
+_collected = 0.0
 
 
 def drop_finished_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete shuffle files of earlier steps: it does so when their plans are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner delete shuffle files of earlier steps: it does so when their plans are collected.
+
+    Steps of a second or two leave little behind, so this runs every few seconds at most.
+    """
+    global _collected
+    if time.monotonic() - _collected > 3:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _collected = time.monotonic()
 
 
 def id_and_bytes(docs: DataFrame, key: str, text: str) -> DataFrame:

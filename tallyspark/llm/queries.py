@@ -104,7 +104,9 @@ ORACLES = {
         WITH d AS (
             SELECT doc_id, [x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS w
             FROM documents),
-        s AS (SELECT doc_id, w, unnest(range(len(w) - 19)) AS s FROM d WHERE len(w) >= 20),
+        a AS (SELECT doc_id, w, unnest(range(len(w) - 19)) AS s FROM d WHERE len(w) >= 20),
+        c AS (SELECT *, count(*) OVER (PARTITION BY w[s + 1], w[s + 2], w[s + 3], w[s + 20]) AS n FROM a),
+        s AS (SELECT doc_id, w, s FROM c WHERE n > 1), -- equal windows have equal ends
         k AS (
             SELECT doc_id, s, row_number() OVER (
                 PARTITION BY array_to_string(w[s + 1:s + 20], ' ') ORDER BY doc_id, s) AS k
