@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import constants as K
-from ..operators import receipts
+from ..operators import parse, receipts
 from ..plans import intake
-from ..sources import inbox
+from ..sources import inbox, ledger
 
 SEEN = "message_id string, batch_id bigint"
 POSTED = ("invoice_id string, created_at timestamp, vendor_name string,"
@@ -75,6 +75,11 @@ def run_batch(batch: DataFrame, batch_id: int, root: str, mailbox: bool = False,
         _write(receipts.dropped(judged), root, "dropped", batch_id)
         fresh = receipts.survivors(judged).drop(
             "is_receipt", "confidence", "reason", "advisory_error")
+    # the original files, before the run lets go of them
+    content = F.col("content") if "content" in fresh.columns else F.lit(None).cast("binary")
+    blobs = fresh.select(parse.item_id(F.col("channel"), F.col("message_id")).alias("invoice_id"), inbox.stored_blob(
+        F.col("attachment_b64"), F.col("attachment"), F.col("attachment_path"), content).alias("source_pdf"))
+    _write(blobs.filter("source_pdf is not null"), root, "blobs", batch_id)
     posted = intake.posted_view(state(spark, root, "items", POSTED, batch_id))
     done = intake.process(fresh.withColumn("created_at", F.col("received_at")), posted=posted)
     # the written table is the batch's result; everything after reads it back
@@ -84,6 +89,9 @@ def run_batch(batch: DataFrame, batch_id: int, root: str, mailbox: bool = False,
     filed = _write(intake.file_rows(items, recorded, recorded.agg(F.count(F.lit(1)).alias("n"))),
                    root, "ledger", batch_id)
     _write(intake.exceptions_of(items), root, "exceptions", batch_id)
+    routed = items.select("invoice_id", "message_id", "attachment", "attachment_path", ledger.destination(
+        F.col("status"), F.col("decision")).alias("dest"))
+    _write(routed, root, "routed", batch_id)
     events = intake.events_of(intake.with_refs(items, filed),
                               f"batch-{batch_id}", F.col("created_at"))
     _write(events, root, "events", batch_id)

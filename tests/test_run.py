@@ -217,6 +217,9 @@ def test_stream_matches_batch_and_is_idempotent(spark, tmp_path):
         "posted": 1, "held": 2, "failed": 1}
     ledger = stream.state(spark, root, "ledger", stream.LEDGER).collect()
     assert [r.sheet_row_ref for r in ledger] == ["Ledger!A1:F1"]
+    routed = stream.state(spark, root, "routed", "message_id string, dest string, batch_id bigint").collect()
+    assert {r.message_id: r.dest for r in routed} == {
+        "office": "posted", "plain": "needs-review", "number": "failed", "copy": "needs-review"}
     dropped = spark.read.parquet(f"{root}/dropped")
     assert "body" not in dropped.columns and dropped.count() == 1
 
@@ -258,3 +261,15 @@ def test_amounts_too_large_for_the_arithmetic(spark):
     got = {r.message_id: (r.error_kind, r.error_message) for r in intake.process(messages(spark, cases)).collect()}
     assert got["large"] == (None, None)
     assert got["huge"] == ("stage_failure", "amount beyond the supported range")
+
+
+def test_stream_keeps_original_files(spark, tmp_path):
+    import base64
+    root = str(tmp_path / "state")
+    pdf = base64.b64encode(b"%PDF one").decode()
+    rows = [("a", "bill.pdf", None, pdf, None), ("b", None, "/in/x.pdf", None, b"%PDF two"), ("c", "x.txt", None, pdf, None)]
+    batch = spark.createDataFrame(rows, "message_id string, attachment string, attachment_path string, attachment_b64 string,"
+                                        " content binary").withColumn("received_at", F.timestamp_seconds(F.lit(1_700_000_000)))
+    stream.run_batch(batch, 0, root)
+    kept = [bytes(r.source_pdf) for r in spark.read.parquet(f"{root}/blobs").collect()]
+    assert sorted(kept) == [b"%PDF one", b"%PDF two"]
