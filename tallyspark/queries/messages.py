@@ -507,21 +507,51 @@ def document_outcomes(spark, sf):
         F.col("status") != "failed", F.col("category")).alias("category"))
 
 
-@query("stage_events", """
+_ITEM_SQL = "'inv_' || sha256('email|' || message_id)"
+
+
+@query("stage_events", f"""
+  with numbered as (
+    select *, row_number() over (partition by status order by l_shipdate, substr(md5({_ITEM_SQL}), 1, 2), {_ITEM_SQL}) as n,
+      cast(split_part(message_id, '-', 4) as int) as supplier from {{json_results}})
   select message_id, cast(seq as bigint) as seq, case when seq < 3 or status <> 'failed' then
       case seq when 1 then 'received' when 2 then 'parsed' when 3 then 'extracted'
         when 4 then 'classified' when 5 then 'categorized' else status end
       else 'failed' end as action,
-    case when seq = 1 or seq = 2 or status = 'failed' then 'system' else 'ai' end as actor
-  from (select *, unnest([1, 2, 3, 4, 5, 6]) as seq from {json_results})
+    case when seq = 1 or seq = 2 or status = 'failed' then 'system' else 'ai' end as actor,
+    case when seq = 1 then 'email' when seq = 2 then case when has_doc then case when supplier < 20 then 'pdf'
+          when supplier < 40 then 'image' else 'attachment' end when supplier >= 95 then 'email_body' else 'unknown' end
+      when status = 'failed' then 'extraction_failed' when seq = 3 then case when has_doc then '2' else '0' end
+      when seq = 6 and status = 'posted' then 'Ledger!A' || cast(n as varchar) || ':F' || cast(n as varchar) end as detail
+  from (select *, unnest([1, 2, 3, 4, 5, 6]) as seq from numbered)
   where status <> 'failed' or seq <= 3""")
 def stage_events(spark, sf):
+    """The run's events with one telling detail each: channel, format, lines, ledger reference, kind of failure."""
     done = _run(spark, sf)
     at = F.lit("2026-01-01 00:00:00").cast("timestamp")
-    rows = audit.stage_events(done.withColumn("run_ts", at)
-                              .withColumn("sheet_row_ref", F.lit(None).cast("string"))
-                              .withColumn("deduped", F.lit(False)), "run-1", "message_id")
-    return rows.select("message_id", "seq", "action", "actor")
+    nothing = spark.createDataFrame([], "idempotency_key string, sheet_row_ref string")
+    filed = intake.file_rows(done, nothing, nothing.agg(F.count("*").alias("n")))
+    rows = audit.stage_events(intake.with_refs(done, filed).withColumn("run_ts", at), "run-1", "message_id")
+    read = F.from_json("details", "channel string, format string, line_items string, sheet_row_ref string, kind string")
+    return rows.withColumn("d", read).select(
+        "message_id", "seq", "action", "actor", F.coalesce(
+            "d.channel", "d.format", "d.line_items", "d.sheet_row_ref", "d.kind").alias("detail"))
+
+
+@query("document_duplicates", """
+  select message_id || '#' || cast(k as varchar) as message_id,
+    case when k = 2 and status = 'posted' then 'held' else status end as status,
+    case when k = 2 and status = 'posted' then message_id || '#1' end as duplicate_of
+  from {json_results}, (values (1), (2)) as copies(k)""")
+def document_duplicates(spark, sf):
+    """Every document comes twice, a day apart: the copies of posted ones are held."""
+    docs = bind(spark, sf, "json_docs").withColumn("k", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn(
+        "message_id", F.concat_ws("#", "message_id", "k")).withColumn(
+        "created_at", F.timestamp_seconds(F.unix_seconds(F.col("received_at").cast("timestamp")) + F.col("k") * 86400))
+    done = intake.process(docs.drop("k"))
+    names = done.filter("status = 'posted'").select(F.col("invoice_id").alias("duplicate_of"), F.col("message_id").alias("first"))
+    return done.select("message_id", "status", "duplicate_of").join(names, "duplicate_of", "left").select(
+        "message_id", "status", F.col("first").alias("duplicate_of"))
 
 
 @query("run_exceptions", """
