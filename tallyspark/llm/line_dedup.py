@@ -87,7 +87,8 @@ def remove_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "tex
     """``doc_id, text, n_lines, n_removed`` of every row: texts without the later copies."""
     gone = repeated_lines(docs, key, text, min_lines)
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("whole"))
-    out = rows.join(gone, "doc", "left").select("doc", F.pandas_udf(without, WITHOUT)("whole", "lines").alias("x"))
+    # one plan at every size: the marks grow with the data, so they are never sent to all tasks
+    out = rows.join(gone.hint("merge"), "doc", "left").select("doc", F.pandas_udf(without, WITHOUT)("whole", "lines").alias("x"))
     return out.select(F.col("doc").alias("doc_id"), "x.text", "x.n_lines", "x.n_removed")
 
 
@@ -95,5 +96,5 @@ def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", min_lines: i
     """``docs``, all columns, with the later copies of repeated runs cut out of ``text``."""
     gone = repeated_lines(docs, key, text, min_lines).select(
         F.col("doc").alias("__llm_doc"), F.col("lines").alias("__llm_lines"))
-    joined = docs.join(gone, F.col(key) == F.col("__llm_doc"), "left")
+    joined = docs.join(gone.hint("merge"), F.col(key) == F.col("__llm_doc"), "left")
     return joined.withColumn(text, F.pandas_udf(without, WITHOUT)(text, "__llm_lines")["text"]).select(*docs.columns)
