@@ -46,7 +46,6 @@ def value_tokens(c: Column) -> Column:
 
 
 NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]{1,4})?$"
-_PLAIN = r"^([+-]?)0*([0-9]*)(?:\.([0-9]*?)0*)?$"
 
 
 def amount_key(c: Column) -> Column:
@@ -54,11 +53,13 @@ def amount_key(c: Column) -> Column:
     text = strip(c)
     number = text.rlike(NUMBER)
     # exponents are rare; written out they compare like plain numbers, as far as a decimal holds them
-    plain = F.when(text.rlike("[eE]"), F.coalesce(text.try_cast(MONEY).cast("string"), F.upper(text))).otherwise(text)
-    whole, part = F.regexp_extract(plain, _PLAIN, 2), F.regexp_extract(plain, _PLAIN, 3)
-    digits = F.concat(F.when(whole == "", "0").otherwise(whole), F.when(part == "", "").otherwise(F.concat(F.lit("."), part)))
-    signed = F.when((F.regexp_extract(plain, _PLAIN, 1) == "-") & (digits != "0"), F.concat(F.lit("-"), digits)).otherwise(digits)
-    return F.when(number, F.when(plain.rlike(_PLAIN), signed).otherwise(plain))
+    power = F.lower(text).contains("e")
+    plain = F.when(power, F.coalesce(text.try_cast(MONEY).cast("string"), F.upper(text))).otherwise(text)
+    digits = F.regexp_replace(plain, "^[+-]?0*", "")
+    digits = F.when(digits.contains("."), F.regexp_replace(digits, r"\.?0*$", "")).otherwise(digits)
+    digits = F.when((digits == "") | digits.startswith("."), F.concat(F.lit("0"), digits)).otherwise(digits)
+    negative = plain.startswith("-") & (digits != "0")
+    return F.when(number, F.when(negative, F.concat(F.lit("-"), digits)).otherwise(digits))
 
 
 def iso_date(c: Column) -> Column:
