@@ -8,8 +8,9 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from tallyspark.llm import line_dedup, perplexity, simhash_dedup, substring_dedup
+from tallyspark.llm import line_dedup, perplexity, shingle_dedup, simhash_dedup, substring_dedup
 from tallyspark.llm.components import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -120,6 +121,47 @@ def test_index_finds_every_link(spark, monkeypatch, chunk, stretch):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+# Near copies of the pipeline
+
+def slow_similar(texts):
+    """Components of Jaccard similarity >= 0.8 over five-word shingles, by all pairs."""
+    sets = []
+    for t in texts:
+        words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({" ".join(words[k:k + 5]) for k in range(max(1, len(words) - 4))} if words else set())
+    root = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            x, y = sets[a], sets[b]
+            if x == y or (x and y and 5 * len(x & y) >= 4 * len(x | y)):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def test_near_copies_of_the_pipeline_stage(spark):
+    """Changed words far beyond three bits; groups, copies, short and odd texts."""
+    import corpus_pipeline
+    draw = random.Random(11)
+    texts = [None, "", " ", "one two", "One two", "one two three four five", "one two three four six"]
+    for k in range(25):
+        base = [f"w{draw.randrange(5000)}" for _ in range(draw.choice([40, 150, 400]))]
+        texts.append(" ".join(base))
+        for _ in range(draw.randrange(1, 4)):
+            words = list(base)
+            for _ in range(max(1, len(base) // draw.choice([60, 50, 35, 20]))):
+                words[draw.randrange(len(words))] = "changed"
+            texts.append(" ".join(words))
+    texts.append(texts[8].upper())
+    root = slow_similar(texts)
+    got = {r.doc_id: r.component_id for r in shingle_dedup.similar_documents(documents(spark, texts)).collect()}
+    assert got == dict(enumerate(root))
+    bits = {r.doc_id: r.component_id for r in simhash_dedup.near_duplicates(documents(spark, texts)).collect()}
+    assert sum(bits[i] == i for i in bits) > len(set(root))  # three bits leave near copies
+    docs = documents(spark, texts).withColumn("source", F.lit("s")).withColumn("n_chars", F.lit(1))
+    assert {r.doc_id for r in corpus_pipeline.dedup_near(spark, docs, "").collect()} == set(root)
+
+
 # Line dedup
 
 def slow_lines(rows, m):
