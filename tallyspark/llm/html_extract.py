@@ -3,9 +3,10 @@
 A page is walked once into text blocks, each with its root-to-leaf tag path (block tags with their
 class). Per path the text length and the punctuation are summed over its blocks and divided by their
 number; both ratios are smoothed over neighbouring blocks with a Gaussian, fused by their product,
-and a path is content if the mean of its blocks reaches ``LAMBDA`` standard deviations. The element
-that holds nearly all text of the content paths is the article; its blocks are the result, except
-those inside elements that by name are menus, headers, footers, notices, adverts, forms or comments.
+and a path is content if the mean of its blocks reaches ``LAMBDA`` standard deviations. The deepest element
+that holds nearly all text of the content paths is widened to hold all content around it, within an enclosing ``article``
+or ``main`` if there is one, and then to the nearest such element; without one the result runs from the first content
+to the last, with headings just before it. The blocks of the article are the result, except those inside elements that by name are menus, headers, footers, notices, adverts, forms or comments.
 
 Defined results: null or empty html gives an empty text. Character references are decoded, white
 space inside a block becomes one space, blocks are joined by ``\\n`` in page order. Unclosed tags,
@@ -46,6 +47,8 @@ BOILERPLATE_NAMES = re.compile(
 LAYOUT_NAMES = re.compile(r"(?:has|with|without|no|show|hide)[_-]", re.I)
 HEADING_NAMES = re.compile(r"(?:article|entry|post|story|content)[_-]header$", re.I)
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
 LAMBDA = 0.5
 SIGMA = 1.0
 ARTICLE_SHARE = 0.8
@@ -168,8 +171,8 @@ def smooth(values: list[float]) -> list[float]:
     return out
 
 
-def content_paths(blocks: list[tuple[Element, str]]) -> set[str]:
-    """Paths whose smoothed, fused ratios reach the threshold."""
+def content_paths(blocks: list[tuple[Element, str]]) -> tuple[set[str], set[str]]:
+    """Paths whose smoothed, fused ratios reach the threshold, and those whose own ratios do."""
     total: dict[str, list[float]] = {}
     for element, text in blocks:
         sums = total.setdefault(element.path, [0, 0, 0])
@@ -186,7 +189,35 @@ def content_paths(blocks: list[tuple[Element, str]]) -> set[str]:
         by_path.setdefault(element.path, []).append(value)
     scores = {path: sum(v) / len(v) for path, v in by_path.items()}
     best = max(scores.values())
-    return {path for path, v in scores.items() if v >= min(best, LAMBDA * deviation)}
+    paths = {path for path, v in scores.items() if v >= min(best, LAMBDA * deviation)}
+    plain = {path for path, (n, m, k) in total.items() if n / k * ((1 + m) / k) >= LAMBDA * deviation}
+    return paths, plain
+
+
+def up_to(element: Element | None, kinds: tuple[str, ...]) -> list[Element]:
+    """The element and those around it, inside out, that are of these tags."""
+    out = []
+    while element:
+        if element.tag in kinds:
+            out.append(element)
+        element = element.up
+    return out
+
+
+def inside(element: Element | None, around: Element) -> bool:
+    while element and element.depth > around.depth:
+        element = element.up
+    return element is around
+
+
+def common(a: Element, b: Element) -> Element:
+    """The deepest element that holds both."""
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.up
+        else:
+            b = b.up
+    return a
 
 
 def main_text(page: str | None) -> str:
@@ -195,7 +226,7 @@ def main_text(page: str | None) -> str:
     blocks = [(e, t) for e, t in blocks_of(page) if not e.bad]
     if not blocks:
         return ""
-    paths = content_paths(blocks)
+    paths, plain = content_paths(blocks)
     weight: dict[Element, int] = {}
     chosen = 0
     for element, text in blocks:
@@ -206,14 +237,25 @@ def main_text(page: str | None) -> str:
                 weight[node] = weight.get(node, 0) + len(text)
                 node = node.up
     holders = [e for e, n in weight.items() if n >= ARTICLE_SHARE * chosen and e.tag != "p"]
-    article = max(holders, key=lambda e: e.depth)
-
-    def inside(element: Element | None) -> bool:
-        while element and element is not article:
-            element = element.up
-        return element is not None
-
-    return "\n".join(text for element, text in blocks if inside(element))
+    holder = max(holders, key=lambda e: e.depth)
+    # content outside the holder belongs to the article if its own ratios say so, not only its neighbours'
+    content = [e.path in paths and e.path in plain for e, _ in blocks]
+    around = up_to(holder, ("article", "main"))
+    article = holder
+    for (element, _), good in zip(blocks, content, strict=True):
+        if good and (not around or inside(element, around[-1])):
+            article = common(article, element)
+    named = up_to(article, ("article",)) or up_to(article, ("main",))
+    if named:
+        article = named[0]
+        return "\n".join(text for element, text in blocks if inside(element, article))
+    # no element that by its name is the article: from the first content to the last, headings before it included
+    held = [k for k, (element, _) in enumerate(blocks)
+            if inside(element, holder) or (content[k] and inside(element, article))]
+    first, last = held[0], held[-1]
+    while first and blocks[first - 1][0].tag in HEADINGS:
+        first -= 1
+    return "\n".join(text for _, text in blocks[first:last + 1])
 
 
 def extract_main_text(pages: DataFrame, markup: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -105,6 +105,26 @@ def test_pages_keep_their_article(spark, sf):
         assert r.text == "\n".join(b for b in blocks if b)
 
 
+LEAD = "A lead of one sentence, set before the body of this page."
+LONG_BODY = "".join(f"<p>Paragraph {k} of the long text, which goes on, and on; it ends here.</p>" for k in range(12))
+LONG_WANT = "\n".join(f"Paragraph {k} of the long text, which goes on, and on; it ends here." for k in range(12))
+SHORT = "<p>A section of its own, with a sentence, or two; no more than that.</p>"
+SHORT_WANT = "A section of its own, with a sentence, or two; no more than that."
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<nav>Menu</nav><article><h1>Title</h1><p>{LEAD}</p><div class=body>{LONG_BODY}</div></article><footer>F</footer>",
+     f"Title\n{LEAD}\n{LONG_WANT}"),
+    (f"<main><section><h2>One</h2>{LONG_BODY}</section><section><h2>Two</h2>{SHORT}</section></main>", f"One\n{LONG_WANT}\nTwo\n{SHORT_WANT}"),
+    (f"<article><div class=a>{SHORT}</div><blockquote>{LONG_BODY}</blockquote><p>End.</p></article>", f"{SHORT_WANT}\n{LONG_WANT}\nEnd."),
+    (f"<body><div>Home Shop Contact</div><h1>Title</h1><div class=top>{SHORT}</div><div class=body>{LONG_BODY}</div><div class=last>{SHORT}"
+     "</div><div>Copyright 2020.</div>", f"Title\n{SHORT_WANT}\n{LONG_WANT}\n{SHORT_WANT}"),
+    (f"<div>Home Shop</div><table><tr><td>{SHORT}</td></tr><tr><td class=x>{LONG_BODY}</td></tr></table>", f"{SHORT_WANT}\n{LONG_WANT}"),
+])
+def test_nothing_of_the_article_is_dropped(page, want):
+    assert html_extract.main_text(page) == want
+
+
 # Language ID
 
 def test_language_accuracy(spark, sf):
