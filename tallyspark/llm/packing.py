@@ -13,13 +13,14 @@ on stretches of ``STRETCH`` tokens and carries the last, unfinished windows on.
 the shard's number in their upper bits. A shard's rest is cut into powers of two when that is cheaper
 than padding.
 
-Defined results: null and empty texts are the end id alone. Repeated rows are packed each. A text
+Defined results: an added token of the vocabulary file (``<|endoftext|>``) is its one id. Null and empty texts are the end id alone. Repeated rows are packed each. A text
 of any length is packed whole. Null ids stay null. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -57,18 +58,25 @@ class Encoder:
     """Ids of whole texts.
 
     The vocabulary is that of a ``tokenizers`` file; ``tiktoken`` merges it, which gives the same ids in
-    about a sixth of the time. Strings of special tokens are ordinary text.
+    about a sixth of the time. ``whole_ids`` gives the file's added tokens their one id wherever a text holds
+    them, as the library does; for ``ids`` they are ordinary text.
     """
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         letters = byte_letters()
-        special = {t["content"] for t in model["added_tokens"]}
+        if odd := [t["content"] for t in model["added_tokens"]
+                   if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]]:
+            raise ValueError(f"added tokens that are not matched as plain strings: {odd}")
+        special = {t["content"]: t["id"] for t in model["added_tokens"]}
+        self.added = special
+        self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") \
+            if special else None
         ranks = {bytes(letters[c] for c in piece): i for piece, i in model["model"]["vocab"].items()
                  if piece not in special}
         self.coder = tiktoken.Encoding("byte-level", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-        self.ends = np.zeros(max(ranks.values()) + 1, bool)
+        self.ends = np.zeros(max([*ranks.values(), *special.values()]) + 1, bool)
         for piece, i in ranks.items():
             self.ends[i] = piece.endswith((b".", b"!", b"?", b"\n"))
 
@@ -78,6 +86,19 @@ class Encoder:
         found.append(END_ID)
         return np.array(found, "<u4")
 
+    def whole_ids(self, text: str | None) -> np.ndarray:
+        """The ids of the whole text with added tokens as one id each, then the end id."""
+        if not text or not self.at_added or not self.at_added.search(text):
+            return self.ids(text)
+        found: list[int] = []
+        for part in self.at_added.split(text):
+            if part in self.added:
+                found.append(self.added[part])
+            elif part:
+                found += self.coder.encode_ordinary(part)
+        found.append(END_ID)
+        return np.array(found, "<u4")
+
 
 def cut(places: np.ndarray, costs: np.ndarray, window: int = WINDOW) -> list[int]:
     """Indexes of ``places`` (rising token positions, the first one 0, no gap over ``window``) to cut at.
@@ -194,7 +215,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load(tokenizer_path)
         shard = TaskContext.get().partitionId()
-        stream = ((i, encoder.ids(t)) for ids, texts in chunks(batches) for i, t in zip(ids, texts, strict=True))
+        stream = ((i, encoder.whole_ids(t)) for ids, texts in chunks(batches) for i, t in zip(ids, texts, strict=True))
         rows: list[tuple] = []
         for piece in shard_pieces(stream, encoder.ends, shard):
             rows.append(piece)

@@ -258,6 +258,19 @@ def test_encoder_equals_library():
         assert encoder.ids(t)[:-1].tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+def test_added_tokens_are_one_id(spark):
+    """The library as it is, without a switch."""
+    library = Tokenizer.from_file(BPE_PATH)
+    draw, encoder = random.Random(6), packing.load(BPE_PATH)
+    alphabet = [" ", "  ", "\n", "\t", "a", "er", "'s", "the", "é", "日", "12", "!", "<|", "|>", "<|endoftext|>", "<|endoftext|>"]
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "<|endoftext|><|endoftext|>", "<|endof<|endoftext|>text|>"]
+    texts += ["".join(draw.choice(alphabet) for _ in range(draw.randrange(12))) for _ in range(2000)]
+    for t in texts:
+        assert encoder.whole_ids(t)[:-1].tolist() == library.encode(t, add_special_tokens=False).ids
+    want = {i: library.encode(t, add_special_tokens=False).ids + [1] for i, t in enumerate(texts)}
+    check_pieces(packing.pack_documents(documents(spark, texts), BPE_PATH).collect(), want)
+
+
 def test_stretches_do_not_change_what_is_packed():
     draw = random.Random(4)
     ends = np.array([False, False, False, True])
