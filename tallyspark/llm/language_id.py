@@ -6,9 +6,10 @@ dictionary; the language with the smallest total wins. Byte counts of short text
 text's words that a dictionary holds counts as a fraction of one byte less. ``score`` is the share of
 bytes saved against the runner-up scaled to 0..1; a score under ``min_score`` is rejected.
 
-Training takes rows with a text and a language, at most about ``SAMPLE_PER_LANGUAGE`` texts of at most
-``SAMPLE_TEXT_BYTES`` bytes per language (a documented bound: chosen by a hash of the id, whole texts),
-until a dictionary holds ``DICTIONARY_BYTES``. Prediction reads all of every text.
+Training takes rows with a text and a language, whatever its length: at most ``SAMPLE_PER_LANGUAGE`` texts per
+language (a documented bound: chosen by a hash of id and text, rows that repeat count once) until a dictionary
+holds ``DICTIONARY_BYTES``. Of a text of more than ``SAMPLE_CHARS`` characters a slice of that length, at a place given
+by its hash, goes into the dictionary. Prediction reads all of every text.
 
 Defined results: null text or no letter gives ``und``, score 0, rejected. Equal sizes go to the
 language that sorts first. Nothing labelled: everything is ``und``. Repeated rows count each. Null
@@ -30,7 +31,7 @@ from tallyspark.llm.common import chunks, record_batch
 
 UNKNOWN = "und"
 SAMPLE_PER_LANGUAGE = 250
-SAMPLE_TEXT_BYTES = 4_000
+SAMPLE_CHARS = 4_000
 DICTIONARY_BYTES = 96 << 10
 MAX_LANGUAGES = 400
 BLOCK_CHARS = 1800
@@ -54,26 +55,39 @@ def letters_only(text: str) -> str:
     return NOT_LETTERS.sub(" ", text.lower()).strip()
 
 
-def dictionaries(labelled: DataFrame, key: str, text: str, lang: str) -> dict[str, bytes]:
-    """Language to dictionary content, from a bounded sample of ``labelled``."""
-    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()
-                          & (F.octet_length(text) <= SAMPLE_TEXT_BYTES) & (F.octet_length(text) > 0))
-    rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"),
-                       F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)).alias("order"))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+def sampled(labelled: DataFrame, key: str, text: str, lang: str) -> dict[str, list[str]]:
+    """Language to at most ``SAMPLE_PER_LANGUAGE`` texts, or slices of long ones, in the order of their hashes."""
+    size = F.char_length(text)
+    at = F.when(size <= SAMPLE_CHARS, 1).otherwise(
+        F.lit(1) + F.pmod(F.xxhash64(F.lit(1), F.col(key), F.col(text)), size - SAMPLE_CHARS + 1).cast("int"))
+    rows = labelled.where(F.col(lang).isNotNull() & (size > 0)).select(
+        F.col(lang).alias("lang"), F.substring(F.col(text), at, F.lit(SAMPLE_CHARS)).alias("text"),
+        F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(1 << 30)).alias("order"))
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(
+        F.approx_count_distinct("order", 0.02).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages: raise MAX_LANGUAGES and watch the broadcast")
     if not counts:
         return {}
+    # about a third more than wanted, so that the top of the order is there; rows that repeat count once
     share = F.create_map(*[F.lit(x) for k, n in counts.items()
-                           for x in (k, int(min(1.0, SAMPLE_PER_LANGUAGE / n) * (1 << 30)))])
-    sample = rows.where(F.col("order") < share[F.col("lang")]).collect()
+                           for x in (k, int(min(1.0, 1.35 * SAMPLE_PER_LANGUAGE / max(1, n)) * (1 << 30)))])
+    few = rows.where(F.col("order") < share[F.col("lang")]).groupBy("lang", "order").agg(F.min("text").alias("text"))
+    top = few.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct("order", "text"))), 1, SAMPLE_PER_LANGUAGE)
+                                  .getField("text").alias("texts"))
+    return {r.lang: r.texts for r in top.collect()}
+
+
+def dictionaries(labelled: DataFrame, key: str, text: str, lang: str) -> dict[str, bytes]:
+    """Language to dictionary content, from a bounded sample of ``labelled``."""
+    sample = sampled(labelled, key, text, lang)
+    limit = min(DICTIONARY_BYTES, (32 << 20) // max(1, len(sample)))
     out: dict[str, bytes] = {}
-    limit = min(DICTIONARY_BYTES, (32 << 20) // len(counts))
-    for r in sorted(sample, key=lambda r: (r.order, r.text)):
-        have = out.get(r.lang, b"")
-        if len(have) < limit:
-            out[r.lang] = have + letters_only(r.text).encode() + b" "
+    for name, texts in sample.items():
+        for t in texts:
+            have = out.get(name, b"")
+            if len(have) < limit:
+                out[name] = have + letters_only(t).encode() + b" "
     return dict(sorted(out.items()))
 
 

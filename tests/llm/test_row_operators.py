@@ -127,6 +127,23 @@ def test_nothing_of_the_article_is_dropped(page, want):
 
 # Language ID
 
+def test_languages_of_long_texts_only(spark):
+    """Languages whose labelled texts are all long, labelled rows without an id, copies of one text."""
+    german, english = "der die das und nicht mit auch sich ", "the and of with from that this have "
+    train = [(None, german * 400 + f"nummer{k} " * 5, "de") for k in range(20)] + [(k, english * 400 + f"number{k} ", "en") for k in range(20)]
+    train += [(None, "le la les des une avec pour dans ", "fr")] * 3000
+    train += [(None, f"le chat et le chien sont dans la maison avec des enfants {k}", "fr") for k in range(900)]
+    labelled = spark.createDataFrame([(i, t, k, "x", "y") for i, t, k in train], DOCS)
+    found = language_id.dictionaries(labelled, "doc_id", "text", "lang")
+    assert set(found) == {"de", "en", "fr"} and b"chien" in found["fr"]
+    assert found["fr"].count(b"le la les") == 1 or found["fr"].count(b"le la les") == 0
+    got = language_id.identify(documents(spark, [german, english, german * 3000]), labelled).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in got] == ["de", "en", "de"]
+    sample = language_id.sampled(labelled, "doc_id", "text", "lang")
+    assert max(len(texts) for texts in sample.values()) <= language_id.SAMPLE_PER_LANGUAGE
+    assert max(len(t) for texts in sample.values() for t in texts) <= language_id.SAMPLE_CHARS
+
+
 def test_language_accuracy(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     held = language_id.held_out(docs["doc_id"])
