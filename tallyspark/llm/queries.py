@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import (
-    bit_sliced_topk, html_extract, language_id, line_dedup, packing, perplexity, sentencepiece_codec, simhash_dedup,
-    substring_dedup, url_filter,
+    bit_sliced_topk, html_extract, language_id, line_dedup, packing, perplexity, prefix_trie, sentencepiece_codec,
+    simhash_dedup, substring_dedup, url_filter,
 )
 from tallyspark.llm.common import table
 
@@ -62,6 +62,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.judge(table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -70,7 +74,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_html_extraction, op3_packing, op4_simhash_dedup, op5_language_id, op6_exact_topk,
-    op7_substring_dedup, op8_line_dedup, op9_sentencepiece, op10_quality_rules, pipeline)}
+    op7_substring_dedup, op8_line_dedup, op9_sentencepiece, op10_quality_rules, op13_prefix_trie, pipeline)}
 
 ORACLES = {
     "op1_url_filter": r"""
@@ -138,4 +142,44 @@ ORACLES = {
                CASE WHEN a IS NOT NULL THEN sha256(coalesce(kept, '')) END AS kept_sha256
         FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
     """,
+    "op13_prefix_trie": r"""
+        WITH RECURSIVE crc(b, x, k) AS (
+            SELECT b, b, 0 FROM range(256) r(b)
+            UNION ALL SELECT b, CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, k + 1 FROM crc WHERE k < 8),
+        crcs AS (SELECT list(x ORDER BY b) AS xs FROM crc WHERE k = 8),
+        t AS (
+            SELECT conv_id AS c, coalesce(text, '') AS text,
+                   md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS key, turn
+            FROM conversations WHERE conv_id IS NOT NULL),
+        p AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, key) AS pos FROM t),
+        convs AS (
+            SELECT c, max(pos) AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+                       string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                       lambda a, x: xor(xs[xor(a, x) % 256 + 1], a // 256)), 4294967295) % 6 AS h
+            FROM p, crcs GROUP BY c, xs),
+        s AS (
+            SELECT v.c, v.h, v.c - v.c % 100 AS host, least(v.h, coalesce(o.size, 0)) AS taken
+            FROM convs v LEFT JOIN convs o ON o.c = v.c - v.c % 100),
+        r AS (
+            SELECT s.c, pos AS d, key, text FROM s JOIN p ON p.c = s.host AND pos <= h
+            UNION ALL SELECT s.c, pos - h + taken, key, text FROM s JOIN p ON p.c = s.c AND pos > h),
+        w AS (
+            SELECT c, d, sha256(string_agg(key, '' ORDER BY d) OVER (
+                PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING)) AS node, length(text) AS n FROM r
+            UNION ALL SELECT c, 0, '', 0 FROM s),
+        ends AS (
+            SELECT node, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids
+            FROM w JOIN (SELECT c, max(d) AS d FROM w GROUP BY c) m USING (c, d) GROUP BY node),
+        nodes AS (SELECT node, d, min(c) AS conv_id, count(*) AS n_convs, any_value(n) AS n FROM w GROUP BY node, d),
+        ups AS (
+            SELECT x.node, x.d, x.conv_id, x.n_convs, x.n, y.node AS up, z.conv_id AS parent_conv_id
+            FROM nodes x LEFT JOIN w y ON y.c = x.conv_id AND y.d = x.d - 1 LEFT JOIN nodes z ON z.node = y.node),
+        kids AS (SELECT up AS node, count(*) AS n_children FROM ups WHERE up IS NOT NULL GROUP BY up),
+        sums AS (
+            SELECT a.node, count(*) FILTER (k.node IS NULL) AS n_leaves, sum((x.n_convs - 1) * x.n) AS saved
+            FROM nodes x JOIN w a ON a.c = x.conv_id AND a.d <= x.d LEFT JOIN kids k ON k.node = x.node GROUP BY a.node)
+        SELECT u.conv_id, u.d AS depth, u.parent_conv_id, u.n_convs, coalesce(k.n_children, 0) AS n_children,
+               sums.n_leaves, CAST(sums.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+        FROM ups u JOIN sums ON sums.node = u.node LEFT JOIN kids k ON k.node = u.node LEFT JOIN ends e ON e.node = u.node
+    """,
 }
