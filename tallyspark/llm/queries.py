@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm import (
     bit_sliced_topk, html_extract, language_id, line_dedup, packing, perplexity, prefix_trie, sentencepiece_codec,
-    simhash_dedup, substring_dedup, url_filter,
+    simhash_dedup, substring_dedup, token_alignment, url_filter,
 )
 from tallyspark.llm.common import table
 
@@ -62,6 +62,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.judge(table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                           public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
@@ -74,7 +79,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_html_extraction, op3_packing, op4_simhash_dedup, op5_language_id, op6_exact_topk,
-    op7_substring_dedup, op8_line_dedup, op9_sentencepiece, op10_quality_rules, op13_prefix_trie, pipeline)}
+    op7_substring_dedup, op8_line_dedup, op9_sentencepiece, op10_quality_rules, op12_token_alignment,
+    op13_prefix_trie, pipeline)}
 
 ORACLES = {
     "op1_url_filter": r"""
