@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import (
-    bit_sliced_topk, html_extract, language_id, line_dedup, packing, perplexity, prefix_trie, sentencepiece_codec,
-    simhash_dedup, substring_dedup, token_alignment, url_filter,
+    bit_sliced_topk, html_extract, language_id, line_dedup, packing, perplexity, prefix_trie,
+    quality_classifier, sentencepiece_codec, simhash_dedup, substring_dedup, token_alignment, url_filter,
 )
 from tallyspark.llm.common import table
 
@@ -62,6 +62,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexity.judge(table(spark, sf_dir, "documents"))
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = table(spark, sf_dir, "documents"), language_id.held_out(F.col("doc_id"))
+    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels").where(~held))
+    found = quality_classifier.score_documents(docs, model)
+    return found.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
                                            public_tokenizers.path("piece_bpe_32k.model"))
@@ -79,8 +86,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_html_extraction, op3_packing, op4_simhash_dedup, op5_language_id, op6_exact_topk,
-    op7_substring_dedup, op8_line_dedup, op9_sentencepiece, op10_quality_rules, op12_token_alignment,
-    op13_prefix_trie, pipeline)}
+    op7_substring_dedup, op8_line_dedup, op9_sentencepiece, op10_quality_rules,
+    op11_quality_classifier, op12_token_alignment, op13_prefix_trie, pipeline)}
 
 ORACLES = {
     "op1_url_filter": r"""
