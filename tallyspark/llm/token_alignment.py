@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from tallyspark.llm import packing
 from tallyspark.llm.common import chunks, record_batch, written
 
-CHUNK = 2 << 20
+#: Bytes of text aligned at once.
+CHUNK = 512 << 10
 WIDTH = 1 << 20  # ids of the second vocabulary lie below
 
 NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
@@ -58,24 +59,21 @@ class Tokens:
             self.bytes_a[i] = token
         self.bytes_b = [self._piece(i) for i in range(self.pieces.get_piece_size())]
         self.size_a, self.size_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
-        # decimal ids with what stands behind them in a group's text
-        self.written_a, self.written_b = ([f"{i}{mark}".encode() for mark in marks for i in range(len(t))]
-                                          for marks, t in ((",|", self.bytes_a), (",;", self.bytes_b)))
+        # decimal ids with what stands behind them in a group's text: first row within and at the end of a group, second row
+        self.written = [f"{i}{mark}".encode() for t, marks in ((self.bytes_a, ",|"), (self.bytes_b, ",;"))
+                        for mark in marks for i in range(len(t))]
 
     def _piece(self, i: int) -> bytes:
         piece = self.pieces.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.pieces.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def encode(self, texts: list[str | None]) -> list[tuple[list[int], list[int]]]:
-        out = []
-        for text, b in zip(texts, self.pieces.encode([t or "" for t in texts], num_threads=1), strict=True):
-            if not text:
-                out.append(([], []))
-                continue
-            whole, a = (" " + text).encode(), self.bpe.encode_ordinary(" " + text)
-            same = b"".join(map(self.bytes_a.__getitem__, a)) == whole == b"".join(map(self.bytes_b.__getitem__, b))
-            out.append((a, b) if same else ([], []))
-        return out
+    def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        none = np.zeros(0, np.int64)
+        if not text:
+            return none, none
+        whole, a, b = (" " + text).encode(), self.bpe.encode_ordinary(" " + text), self.pieces.encode(text)
+        same = b"".join(map(self.bytes_a.__getitem__, a)) == whole == b"".join(map(self.bytes_b.__getitem__, b))
+        return (np.array(a, np.int64), np.array(b, np.int64)) if same else (none, none)
 
 
 def group_labels(ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
@@ -94,12 +92,17 @@ def counts_by(index: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(index, minlength=n).astype(np.int64)
 
 
+def link_type(n_pairs: int) -> str:
+    return "<u2" if n_pairs <= 1 << 16 else "<u4"
+
+
 def align_chunk(tokens: Tokens, ids: list, texts: list[str | None], chunk: int) -> pa.RecordBatch:
     """One row: the chunk's distinct linked pairs with their number of documents, and what its documents need later."""
-    encoded = tokens.encode(texts)
+    encoded = [tokens.encode(t) for t in texts]
     n_docs = len(encoded)
     n_a, n_b = (np.array([len(e[k]) for e in encoded], np.int64) for k in (0, 1))
-    a, b = (np.fromiter((i for e in encoded for i in e[k]), np.int64, int(n.sum())) for k, n in ((0, n_a), (1, n_b)))
+    a, b = (np.concatenate([e[k] for e in encoded]) for k in (0, 1))
+    del encoded
     doc_a, doc_b = np.repeat(np.arange(n_docs), n_a), np.repeat(np.arange(n_docs), n_b)
     n_groups = np.zeros(n_docs, np.int64)
     digests = [""] * n_docs
@@ -116,16 +119,14 @@ def align_chunk(tokens: Tokens, ids: list, texts: list[str | None], chunk: int)
         of_a, of_b = np.cumsum(counts_by(group_a, rank[-1] + 1)), np.cumsum(counts_by(group_b, rank[-1] + 1))
         last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
         last_a[of_a - 1] = last_b[of_b - 1] = True
-        order = np.empty(len(a) + len(b), np.int64)
-        order[np.arange(len(a)) + np.r_[0, of_b][group_a]] = np.arange(len(a))
-        order[np.arange(len(b)) + of_a[group_b]] = len(a) + np.arange(len(b))
-        parts = [*map(tokens.written_a.__getitem__, (a + len(tokens.bytes_a) * last_a).tolist()),
-                 *map(tokens.written_b.__getitem__, (b + len(tokens.bytes_b) * last_b).tolist())]
-        parts = list(map(parts.__getitem__, order.tolist()))
+        codes = np.empty(len(a) + len(b), np.int64)
+        codes[np.arange(len(a)) + np.r_[0, of_b][group_a]] = a + len(tokens.bytes_a) * last_a
+        codes[np.arange(len(b)) + of_a[group_b]] = 2 * len(tokens.bytes_a) + b + len(tokens.bytes_b) * last_b
         stops = np.cumsum(n_a + n_b).tolist()
         for k, (start, stop) in enumerate(zip([0, *stops], stops)):
             if stop > start:
-                digests[k] = hashlib.sha256(b"".join(parts[start:stop])[:-1]).hexdigest()
+                digests[k] = hashlib.sha256(b"".join(map(tokens.written.__getitem__, codes[start:stop].tolist()))[:-1]).hexdigest()
+        del codes, label, group_a, group_b
         ends = np.union1d(ends_a, ends_b)
         at_a, at_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
         pairs, links = np.unique(a[at_a] * WIDTH + b[at_b], return_inverse=True)
@@ -133,14 +134,14 @@ def align_chunk(tokens: Tokens, ids: list, texts: list[str | None], chunk: int)
         n_links = counts_by(doc, n_docs)
         once = np.unique(doc * len(pairs) + links)  # a document counts a pair once
         docs = counts_by(once % len(pairs), len(pairs))
-    packed = zstandard.ZstdCompressor(level=1).compress(links.astype("<u4").tobytes())
+    packed = zstandard.ZstdCompressor(level=1).compress(links.astype(link_type(len(pairs))).tobytes())
     return record_batch(CHUNK_SCHEMA, [chunk], [pairs], [docs], [ids], [n_a], [n_b], [n_groups], [n_links], [digests], [packed])
 
 
 def finish_chunk(row: dict) -> pa.RecordBatch:
     """The documents of a chunk whose pairs have their corpus-wide counts."""
     n_links = np.array(row["n_links"], np.int64)
-    links = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["links"]), "<u4")
+    links = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["links"]), link_type(len(row["pairs"])))
     count, best = np.zeros(len(row["pairs"]), np.int64), np.zeros(len(row["pairs"]), np.int64)
     at = np.array(row["at"] or [], np.int64)
     count[at], best[at] = row["count"] or [], row["best"] or []
