@@ -9,12 +9,15 @@ the rows that are surely among the best are kept, the boundary narrowed. What qu
 moved is bounded by the norms of the parts cut off; every row within that bound of the boundary
 is resolved exactly by its integer inner product.
 
-Queries come in blocks of ``QUERIES_PER_BLOCK``, one pass over the index each; a block of them is what
-is broadcast. Every row is indexed, so recall is 1; nothing is approximated in the result.
+Rows or queries with a component too large for 64-bit products (``narrow_limit``) go another way: floating-point products with their
+error bounds select the rows that may be among the best, whose products are then summed in whole numbers.
+
+Queries come in blocks of ``QUERIES_PER_BLOCK``, one pass over the index each; a block of them is what is broadcast. Of several blocks
+each is collected, searched and written before the next one. Every row is indexed, so recall is 1; nothing is approximated in the result.
 
 Defined results: null vectors and vectors with a null or non-finite component take no part. Vectors
-score only against vectors of the same length. Integers are held within +-2**26, so a
-component beyond +-65,536 counts as that. Ties go to the smaller id; rows that repeat an id stand for themselves
+score only against vectors of the same length. A score beyond the range of a long is the end of that range, and ranks as it;
+a component beyond +-1e300 counts as that. Ties go to the smaller id; rows that repeat an id stand for themselves
 (a query's own id is never its candidate; ties of the same id keep one row each). Rows with a null id take no part.
 """
 
@@ -30,7 +33,8 @@ from pyspark.sql import functions as F
 from tallyspark.llm.common import record_batch, written
 
 SCALE = 1024
-LIMIT = 1 << 26
+LARGEST = 1e300
+LONG = (1 << 63) - 1
 ROWS_PER_BLOCK = 1 << 15
 QUERIES_PER_BLOCK = 2048
 #: Bits kept of a component (with its sign) and of a weight, from the top.
@@ -42,12 +46,15 @@ HITS_ARROW = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("scor
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, v) with ``v`` an array of integers, of the rows that take part."""
+    """(id, v) with ``v`` an array of whole numbers, of the rows that take part."""
     x = F.col(vector)
     fine = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     rows = vectors.where(F.col(key).isNotNull() & x.isNotNull() & fine & (F.size(x) > 0))
-    whole = F.transform(x, lambda e: F.floor(F.greatest(F.lit(-float(LIMIT)), F.least(
-        F.lit(float(LIMIT)), e.cast("double") * SCALE))).cast("int"))
+    def floor(e):  # a double of 2**53 or more is whole; floor() itself ends at the range of a long
+        scaled = F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), e.cast("double"))) * SCALE
+        return F.when(F.abs(scaled) < float(1 << 53), F.floor(scaled).cast("double")).otherwise(scaled)
+
+    whole = F.transform(x, floor)
     return rows.select(F.col(key).cast("long").alias("id"), whole.alias("v"))
 
 
@@ -58,10 +65,44 @@ def matrix(column: pa.ListArray) -> list[tuple[np.ndarray, np.ndarray]]:
     out = []
     for n in np.unique(lengths):
         rows = np.flatnonzero(lengths == n)
-        out.append((rows, flat[first[rows][:, None] + np.arange(n)].astype(np.int64)))
+        out.append((rows, flat[first[rows][:, None] + np.arange(n)]))
     return out
 
 
+def narrow_limit(dims: int) -> int:
+    """Products of components up to this, summed over ``dims``, fit a long."""
+    return 1 << ((62 - max(1, dims - 1).bit_length()) // 2)
+
+
+class WideRows:
+    """Rows of one block of which some component is too large for the index."""
+
+    def __init__(self, ids: np.ndarray, values: np.ndarray) -> None:
+        self.ids, self.values, self.dims = ids, values, values.shape[1]
+
+    def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        return exact_search(self.ids, self.values, query_id, query, k)
+
+
+def exact_search(ids: np.ndarray, values: np.ndarray, query_id: int, query: np.ndarray, k: int
+                 ) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, scores) of the best ``k`` rows by whole-number products, held within a long."""
+    at = np.flatnonzero(ids != query_id)
+    if len(at) > k:
+        with np.errstate(over="ignore", invalid="ignore"):
+            about = values[at] @ query
+            error = (np.abs(values[at]) @ np.abs(query)) * (len(query) + 2) * 2.0 ** -52
+        if np.isfinite(about).all() and np.isfinite(error).all():
+            held = np.clip(about, -float(LONG), float(LONG))  # what is cut off ranks alike
+            low = held - error
+            at = at[held + error >= np.partition(low, len(low) - k)[len(low) - k]]
+    asked = [int(x) for x in query]
+    scores = np.array([max(-LONG - 1, min(LONG, sum(int(a) * b for a, b in zip(row, asked, strict=True))))
+                       for row in values[at].tolist()], np.int64)
+    best = np.lexsort((ids[at], ~scores))[:k]
+    return ids[at][best], scores[best]
+
+
 def signed_powers(value: int) -> list[tuple[int, int]]:
     """(sign, exponent) with the fewest terms that sum to ``value``."""
     out, k = [], 0
@@ -177,6 +218,9 @@ class BitSlices:
 
     def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the best ``k`` rows other than the query's own."""
+        if np.abs(query).max(initial=0) > narrow_limit(self.dims):
+            return exact_search(self.ids, self.values.astype(np.float64), query_id, query, k)
+        query = query.astype(np.int64)
         others = int(np.count_nonzero(self.ids != query_id))
         if others > k:
             top = int(np.abs(query).max(initial=0)).bit_length() + 1
@@ -201,8 +245,16 @@ class BitSlices:
         return self.ids[at][best], scores[best]
 
 
-def index_blocks(batches: Iterator[pa.RecordBatch], rows: int = ROWS_PER_BLOCK) -> Iterator[BitSlices]:
-    """Bit-sliced blocks of at most ``rows`` rows."""
+def block_of(ids: np.ndarray, values: np.ndarray) -> Iterator[BitSlices | WideRows]:
+    narrow = np.abs(values).max(axis=1, initial=0.0) <= narrow_limit(values.shape[1])
+    if narrow.any():
+        yield BitSlices(ids[narrow], values[narrow].astype(np.int64))
+    if not narrow.all():
+        yield WideRows(ids[~narrow], values[~narrow])
+
+
+def index_blocks(batches: Iterator[pa.RecordBatch], rows: int = ROWS_PER_BLOCK) -> Iterator[BitSlices | WideRows]:
+    """Bit-sliced blocks of at most ``rows`` rows; rows with too large components apart."""
     held: dict[int, list] = {}
     for batch in batches:
         ids = batch.column(0).to_numpy()
@@ -211,11 +263,11 @@ def index_blocks(batches: Iterator[pa.RecordBatch], rows: int = ROWS_PER_BLOCK)
             for start in range(0, len(at), rows):
                 waiting.append((ids[at[start:start + rows]], values[start:start + rows]))
                 if sum(len(i) for i, _ in waiting) >= rows:
-                    yield BitSlices(np.concatenate([i for i, _ in waiting]), np.concatenate([v for _, v in waiting]))
+                    yield from block_of(np.concatenate([i for i, _ in waiting]), np.concatenate([v for _, v in waiting]))
                     waiting.clear()
     for waiting in held.values():
         if waiting:
-            yield BitSlices(np.concatenate([i for i, _ in waiting]), np.concatenate([v for _, v in waiting]))
+            yield from block_of(np.concatenate([i for i, _ in waiting]), np.concatenate([v for _, v in waiting]))
 
 
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100, key: str = "vec_id", vector: str = "embedding",
@@ -235,7 +287,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, key: str = "vec_id"
         held = spark.sparkContext.broadcast([(r.id, r.v) for r in own.collect()])
 
         def search(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            asked = [(i, np.array(v, np.int64)) for i, v in held.value]
+            asked = [(i, np.array(v, np.float64)) for i, v in held.value]
             for index in index_blocks(batches):
                 found = [(i, *index.search(i, q, k)) for i, q in asked if len(q) == index.dims]
                 if found:
@@ -243,7 +295,11 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, key: str = "vec_id"
                         HITS_ARROW, np.repeat([f[0] for f in found], [len(f[1]) for f in found]),
                         np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found]))
 
-        parts.append(rows.mapInArrow(search, HITS))
+        part = rows.mapInArrow(search, HITS)
+        if blocks > 1:
+            part = written(part, "hits")
+            held.unpersist()
+        parts.append(part)
     hits = parts[0]
     for part in parts[1:]:
         hits = hits.union(part)

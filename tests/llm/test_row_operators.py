@@ -1,5 +1,6 @@
 """URL filters, HTML extraction, language ID, SentencePiece, packing and top-k against brute force."""
 
+import math
 import random
 import zlib
 from collections import defaultdict
@@ -332,3 +333,24 @@ def test_top_k_small(spark):
     assert bit_sliced_topk.top_k(spark.createDataFrame([], schema)).count() == 0
     few = spark.createDataFrame([(0, [1.0, 0.5]), (1, [1e30, -1e30]), (2, [0.0, 0.0])], schema)
     assert [(r["rank"], r.vec_id) for r in bit_sliced_topk.top_k(few).orderBy("rank").collect()] == [(1, 1), (2, 2)]
+
+
+def test_top_k_beyond_the_index(spark):
+    """Components of 1e5 to 1e12, alone and among small ones; scores that leave the range of a long."""
+    draw = np.random.default_rng(4)
+    rows = [(i, (draw.normal(size=5) * 10.0 ** draw.choice([0, 2, 5, 6, 12], p=[.4, .2, .2, .1, .1])).tolist()) for i in range(400)]
+    rows += [(500 + i, rows[i][1]) for i in range(30)] + [(1000, [100000.0] + [0.0] * 4), (1001, [200000.0] + [0.0] * 4)]
+    want = []
+    for q, x in rows:
+        if q % 10:
+            continue
+        scores = [(max(-(1 << 63), min((1 << 63) - 1, sum(math.floor(1024 * a) * math.floor(1024 * b) for a, b in zip(x, y)))), i)
+                  for i, y in rows if i != q]
+        best = sorted(scores, key=lambda s: (-s[0], s[1]))[:10]
+        want += [(q, k, i, s) for k, (s, i) in enumerate(best, 1)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert sorted(map(tuple, bit_sliced_topk.top_k(vectors, every=10).collect())) == sorted(want)
+    assert sorted(map(tuple, bit_sliced_topk.top_k(vectors, every=10, queries_per_block=15).collect())) == sorted(want)
+    few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [100000.0, 0.0]), (2, [200000.0, 0.0])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in bit_sliced_topk.top_k(few).orderBy("rank").collect()] == [
+        (2, 209_715_200_000), (1, 104_857_600_000)]
