@@ -22,19 +22,41 @@ def once(df: DataFrame, *names: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """Where intermediate tables go: ``spark.checkpoint.dir``, else a folder of the warehouse.
 
-    Both are storage that the driver and all executors share; nothing depends on the kind of master.
+    On a cluster this must be storage that all executors reach; with neither set to a place on such storage
+    there (the warehouse's default is a local folder) intermediate tables could not be read back, so that is refused.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_intermediate"
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if given:
+        return given
+    place = spark.conf.get("spark.sql.warehouse.dir")
+    local_master = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+    if not local_master and place.startswith("file:") and place.endswith("/spark-warehouse"):
+        raise ValueError("set spark.checkpoint.dir: intermediate tables need storage that all executors share")
+    return place + "/_intermediate"
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame as a Parquet table in the shared folder, read back: lineage ends there.
 
-    The table goes when the application ends.
+    The table goes when the application ends, or with ``drop_written``.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    place, system = _place(spark, path)
+    system.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def drop_written(df: DataFrame) -> None:
+    """Delete the table behind a frame that ``written`` returned; whoever reads it must be done."""
+    place, system = _place(df.sparkSession, df._written_path)
+    system.delete(place, True)
+    system.cancelDeleteOnExit(place)
