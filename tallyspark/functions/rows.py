@@ -60,3 +60,40 @@ def drop_written(df: DataFrame) -> None:
     place, system = _place(df.sparkSession, df._written_path)
     system.delete(place, True)
     system.cancelDeleteOnExit(place)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared folder; it goes when the application ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    place, system = _place(spark, path)
+    system.mkdirs(place)
+    system.deleteOnExit(place)
+    return path
+
+
+class Folder:
+    """Small files on the storage that Spark uses, handled by the driver."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def names(self) -> list[str]:
+        place, system = _place(self.spark, self.path)
+        return sorted(s.getPath().getName() for s in system.listStatus(place)) if system.exists(place) else []
+
+    def read(self, name: str) -> str:
+        return self.spark.read.text(f"{self.path}/{name}", wholetext=True).head()[0]
+
+    def write(self, name: str, text: str) -> None:
+        """The file appears whole under its name, in place of an older one."""
+        draft, system = _place(self.spark, f"{self.path}/.{uuid.uuid4().hex}")
+        out = system.create(draft, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        final, _ = _place(self.spark, f"{self.path}/{name}")
+        system.delete(final, False)
+        system.rename(draft, final)
+
+    def delete(self, name: str) -> None:
+        place, system = _place(self.spark, f"{self.path}/{name}")
+        system.delete(place, True)

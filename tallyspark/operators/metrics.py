@@ -23,8 +23,12 @@ def first_decisions(events: DataFrame) -> DataFrame:
 
 def workflow_metrics(items: DataFrame, events: DataFrame) -> DataFrame:
     """items(invoice_id, status) and the log → one row of counts and nullable rates."""
-    df = items.select("invoice_id", "status").join(
-        first_decisions(events).drop("human_actions"), "invoice_id", "left")
+    return rates(items.select("invoice_id", "status").join(
+        first_decisions(events).drop("human_actions"), "invoice_id", "left"))
+
+
+def rates(df: DataFrame) -> DataFrame:
+    """Items with status, first decision and human marks → one row of counts and nullable rates."""
     auto, held = F.col("first_decision") == "posted", F.col("first_decision") == "held"
 
     def n(cond, name):

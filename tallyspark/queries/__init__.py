@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("bindings", "decisions", "messages", "anchors", "log")
+_MODULES = ("bindings", "decisions", "messages", "anchors", "log", "incremental")
 
 
 def _load():
