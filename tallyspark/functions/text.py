@@ -49,17 +49,17 @@ NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]{1,4})?$"
 
 
 def amount_key(c: Column) -> Column:
-    """Normalised text of an amount: equal for equal numbers of any size, null for what is no number."""
+    """Normalised text of an amount: equal for equal numbers of any size, null for what is no number.
+
+    Every step reads the one before it once, so the expression stays small; pin ``c`` if it is large itself.
+    """
     text = strip(c)
-    number = text.rlike(NUMBER)
     # exponents are rare; written out they compare like plain numbers, as far as a decimal holds them
-    power = F.lower(text).contains("e")
-    plain = F.when(power, F.coalesce(text.try_cast(MONEY).cast("string"), F.upper(text))).otherwise(text)
-    digits = F.regexp_replace(plain, "^[+-]?0*", "")
-    digits = F.when(digits.contains("."), F.regexp_replace(digits, r"\.?0*$", "")).otherwise(digits)
-    digits = F.when((digits == "") | digits.startswith("."), F.concat(F.lit("0"), digits)).otherwise(digits)
-    negative = plain.startswith("-") & (digits != "0")
-    return F.when(number, F.when(negative, F.concat(F.lit("-"), digits)).otherwise(digits))
+    plain = F.when(F.lower(text).contains("e"), F.coalesce(text.try_cast(MONEY).cast("string"), F.upper(text))).otherwise(text)
+    steps = ((r"^\+", ""), (r"^(-?)0+", "$1"), (r"(\.[0-9]*?)0+$", "$1"), (r"\.$", ""), (r"^(-?)(?=\.|$)", "$10"), (r"^-0$", "0"))
+    for pattern, replacement in steps:  # sign, leading and trailing zeros, a zero before the point, no minus zero
+        plain = F.regexp_replace(plain, pattern, replacement)
+    return F.when(text.rlike(NUMBER), plain)
 
 
 def iso_date(c: Column) -> Column:
