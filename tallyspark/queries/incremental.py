@@ -1,6 +1,6 @@
-"""The forms that follow a growing input: streams, sinks and tables updated batch by batch.
+"""Forms for growing input: streams, sinks, tables updated batch by batch, indexes in place of scans.
 
-Each query deals a given table out to batches, takes them one after the other and must end where the query over
+Most of these queries deal a given table out to batches, take them one after the other and must end where the query over
 the whole table does: the reference SQL is that query's.
 """
 
@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import constants as K
 from ..functions.rows import scratch, written
-from ..operators import incremental
+from ..operators import categorize, dictionary, incremental, word_index
 from ..sources import buckets, inbox, ledger_sink, mailbox, seen
 from ..streaming import duplicates as stream_guard
+from .anchors import document_pages, document_values
 from .core import ORACLES, QUERIES, bind, query, table
 from .decisions import _GUARD_SQL
 from .messages import _cursor, _labelled
@@ -151,3 +153,19 @@ def spot_check_followed(spark, sf):
         held = written(incremental.merge_samples(held.unionByName(
             incremental.merge_samples(posted.where(_part("invoice_id") == k)))), "sample")
     return held
+
+
+@_same_as("locate_values")
+def locate_values_indexed(spark, sf):
+    """Values by their rarest word in the document's positional index."""
+    return word_index.locate_indexed(document_values(spark, sf), document_pages(spark, sf)).select(
+        "doc_id", "target_id", "page_number", F.array_join("word_indices", ",").alias("word_indices"))
+
+
+@_same_as("category_candidates")
+def category_candidates_by_dictionary(spark, sf):
+    """The keyword dictionary as a table."""
+    words = spark.createDataFrame([(w, k, c) for k, (c, ws) in enumerate(K.CATEGORY_KEYWORDS.items()) for w in ws],
+                                  "word string, ordinal int, category string")
+    return categorize.candidate_rows(dictionary.score_with_dictionary(
+        bind(spark, sf, "purchases"), words, "invoice_id", "text"), "invoice_id")
