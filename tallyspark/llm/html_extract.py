@@ -27,10 +27,11 @@ from pyspark.sql import functions as F
 
 #: HTML element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math textarea select object canvas".split())
+RAW = frozenset("script style noscript template iframe svg textarea select object canvas".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small "
-    "span strike strong sub sup time tt u var nobr center".split())
+    "span strike strong sub sup time tt u var nobr center "
+    "math semantics mrow mi mo mn ms mtext msub msup msubsup mfrac msqrt mroot mover munder munderover mstyle".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
           "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}}
@@ -44,6 +45,12 @@ BOILERPLATE_NAMES = re.compile(
     r"subscribe|subscription|signup|login|search|widgets?|pagination|pager|toolbar|skip|hidden|complementary|"
     r"contentinfo)(?=$|[\s_-])", re.I)
 
+#: Words that also name a page's layout: a holder of an ``article`` or ``main`` is not named a sidebar for being one.
+LAYOUT_WORDS = re.compile(r"(?:^|[_-])(?:nav|navbar|navigation|menus?|sidebars?|aside|header|masthead|footers?|banners?|toolbar|hidden)(?:$|[_-])", re.I)
+#: Words that, as a part of the name of one paragraph within an article, may be what it is about.
+TOPIC_WORDS = re.compile(r"(?:^|[_-])(?:nav|navigation|menus?|search|related|header|footers?|share|sharing|social|sidebars?|alerts?|widgets?)(?:$|[_-])", re.I)
+PARAGRAPHS = frozenset("p li dd td blockquote pre figcaption".split())
+
 LAYOUT_NAMES = re.compile(r"(?:has|with|without|no|show|hide)[_-]", re.I)
 HEADING_NAMES = re.compile(r"(?:article|entry|post|story|content)[_-]header$", re.I)
 
@@ -58,23 +65,52 @@ TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
     r"<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|"
     r"<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
-NAMING = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-UNSEEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+UNSEEN_STYLE = re.compile(r"display\s*:\s*none", re.I)
 WHITE = re.compile(r"\s+")
 
 
 class Element:
-    __slots__ = ("up", "tag", "path", "bad", "depth")
+    """``own``: what its tag (2) or its names (1) say against its text; ``bad``: whether it or one around it has that mark."""
+
+    __slots__ = ("up", "tag", "path", "own", "depth")
 
-    def __init__(self, up: Element | None, tag: str, names: str, bad: bool) -> None:
-        self.up, self.tag, self.depth = up, tag, up.depth + 1 if up else 0
+    def __init__(self, up: Element | None, tag: str, names: str, own: int) -> None:
+        self.up, self.tag, self.depth, self.own = up, tag, up.depth + 1 if up else 0, own
         self.path = (up.path + "/" if up else "") + tag + ("." + names if names else "")
-        self.bad = bad or bool(up and up.bad)
+
+    @property
+    def bad(self) -> bool:
+        node = self
+        while node:
+            if node.own:
+                return True
+            node = node.up
+        return False
+
+
+def attributes(attrs: str) -> dict[str, str]:
+    return {name.lower(): v1 or v2 or v3 for name, v1, v2, v3 in reversed(ATTRIBUTE.findall(attrs))}
+
+
+def unseen(attrs: dict[str, str]) -> bool:
+    """An element that its attributes hide; words in a value, of a title for instance, do not."""
+    return "hidden" in attrs or attrs.get("aria-hidden", "").strip().lower() == "true" or bool(UNSEEN_STYLE.search(attrs.get("style", "")))
+
+
+def inline_end(page: str, tag: str, at: int) -> int:
+    """Where an inline element that began before ``at`` ends, elements of its tag inside it counted."""
+    depth = 1
+    for m in re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>", re.I).finditer(page, at):
+        depth += -1 if m[1] else not m[0].endswith("/>")
+        if not depth:
+            return m.end()
+    return at
 
 
 def blocks_of(page: str) -> list[tuple[Element, str]]:
     """(element, text) of every block that has text, in page order."""
-    here, out, parts, at = Element(None, "", "", False), [], [], 0
+    here, out, parts, at = Element(None, "", "", 0), [], [], 0
 
     def flush() -> None:
         if parts:
@@ -110,9 +146,10 @@ def blocks_of(page: str) -> list[tuple[Element, str]]:
             parts.append(" ")
             continue
         if tag in INLINE:
-            if attrs and (UNSEEN.search(attrs) or named_boilerplate(naming(attrs), True)):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else at
+            if attrs:
+                given = attributes(attrs)
+                if unseen(given) or named_boilerplate(naming(given), True):
+                    at = inline_end(page, tag, at)
             continue
         if tag in VOID:
             parts.append(" ")
@@ -131,32 +168,45 @@ def blocks_of(page: str) -> list[tuple[Element, str]]:
             while here.up and here.tag == "head":
                 here = here.up
         in_article = "/article" in here.path or "/main" in here.path
-        bad = tag in BOILERPLATE_TAGS or (tag == "header" and not in_article)
+        own = 2 if tag in BOILERPLATE_TAGS or (tag == "header" and not in_article) else 0
         names = ""
         if attrs:
-            names = naming(attrs)
-            bad = bad or (tag not in ("html", "body", "main", "article") and named_boilerplate(names, in_article)) \
-                or bool(UNSEEN.search(attrs))
-        here = Element(here, tag, names, bad)
+            given = attributes(attrs)
+            names = naming(given)
+            if unseen(given):
+                own = 2
+            elif not own and tag not in ("html", "body", "main", "article"):
+                own = int(named_boilerplate(names, in_article, in_article and tag in PARAGRAPHS))
+        if tag in ("article", "main"):  # the names of what holds it spoke of the page's layout
+            node = here
+            while node:
+                if node.own == 1 and LAYOUT_WORDS.search(node.path.rpartition("/")[2].replace(" ", "_")):
+                    node.own = 0
+                node = node.up
+        here = Element(here, tag, names, own)
     if at < len(page):
         parts.append(page[at:])
     flush()
     return out
 
 
-def naming(attrs: str) -> str:
-    """Classes, id and role."""
-    return " ".join(v1 or v2 or v3 for _, v1, v2, v3 in NAMING.findall(attrs))
+def naming(attrs: dict[str, str]) -> str:
+    """Classes, id and role, in the order given."""
+    return " ".join(attrs[name] for name in attrs if name in ("class", "id", "role"))
+
 
+def named_boilerplate(names: str, in_article: bool, paragraph: bool = False) -> bool:
+    """Whether an element's names say that it holds no article text; layout names such as ``has-sidebar`` do not.
 
-def named_boilerplate(names: str, in_article: bool) -> bool:
-    """Whether an element's names say that it holds no article text; layout names such as ``has-sidebar`` do not."""
+    Of a ``paragraph`` of an article a word within a longer name, as in ``related-work``, says nothing.
+    """
     for name in names.split():
         if LAYOUT_NAMES.match(name):
             continue
         found = BOILERPLATE_NAMES.search(name)
         heading = HEADING_NAMES.match(name) or (in_article and name.lower().endswith("header"))
-        if found and not heading:
+        topic = paragraph and ("-" in name or "_" in name) and TOPIC_WORDS.search(name)
+        if found and not heading and not topic:
             return True
     return False
 
@@ -226,6 +276,9 @@ def main_text(page: str | None) -> str:
     blocks = [(e, t) for e, t in blocks_of(page) if not e.bad]
     if not blocks:
         return ""
+    # what stands beside the page's articles is none of them, however long
+    within = [(e, t) for e, t in blocks if up_to(e, ("article", "main"))]
+    blocks = within or blocks
     paths, plain = content_paths(blocks)
     weight: dict[Element, int] = {}
     chosen = 0

@@ -354,3 +354,22 @@ def test_top_k_beyond_the_index(spark):
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [100000.0, 0.0]), (2, [200000.0, 0.0])], "vec_id long, embedding array<double>")
     assert [(r.vec_id, r.score) for r in bit_sliced_topk.top_k(few).orderBy("rank").collect()] == [
         (2, 209_715_200_000), (1, 104_857_600_000)]
+
+
+SENTENCE = "This is a sentence of the article, with commas, and it goes on for a while. " * 3
+
+
+@pytest.mark.parametrize("page, want", [
+    ('<div class="page sidebar-right"><article><p>{}</p></article><div class="sidebar">no</div></div>', ["{}"]),
+    ('<div class="left-nav-layout"><main><p>{}</p></main></div>', ["{}"]),
+    ('<article><p title="a hidden gem">{}</p></article>', ["{}"]),
+    ('<article><p>{0}</p><p class="related-work">{0}</p><li class="menu-item">{0}</li><p class="search-method">{0}</p></article>', ["{0}"] * 4),
+    ('<article><p>{} x <span class="ad"><span>Buy</span> ADVERT</span> y.</p></article>', ["{} x y."]),
+    ('<article><p>{} <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>', ["{} x=2 holds."]),
+    ('<body><article><p>Short one.</p></article><div><p>{0}</p><p>{0}</p></div></body>', ["Short one."]),
+    ('<article><p hidden>no</p><p aria-hidden=true>no</p><p style="display: none">no</p><p>{}</p><div class="related-posts"><p>no</p></div></article>',
+     ["{}"]),
+    ('<div class="menu">no</div><div class="comments"><article><p>{0}</p></article></div><article><p>{0}</p></article>', ["{}"]),
+])
+def test_names_do_not_cost_article_text(page, want):
+    assert html_extract.main_text(page.format(SENTENCE)) == "\n".join(w.format(SENTENCE.strip()) for w in want)
