@@ -1,73 +1,66 @@
 """Operator 10, quality rules with n-gram perplexity.
 
 Base rules fail documents of fewer than 50 words or with more than half of their words in repeated
-three-word windows. The rest is judged by the perplexity of a modified Kneser-Ney model of characters:
-n-grams of ``ORDER`` characters inside words (padded at the start, with an end mark), per language.
-
-Spark counts the n-grams of every document, derives the continuation counts of the lower orders,
-and reduces each order to at most ``2 ** SLOT_BITS`` hash slots: that bounds the model, whatever the
-corpus (colliding n-grams of a very large one share their count). Discounts and back-off weights are
-computed from these slots; the model is sorted hash arrays, searched by bisection. Words are scored
-once per task and cached within a bound. A language's band runs from its median log-perplexity down
-and up by ``WIDTH`` times the distance to its 5 % and 95 % points, over documents that pass the base rules.
+three-word windows. The rest is judged by the perplexity of a modified Kneser-Ney model of characters, per
+language: n-grams of ``ORDER`` characters over a text's words joined by single spaces, so that they cross
+word ends (padded at the start, with an end mark).
+
+No document is judged by a model that has seen it: texts are dealt to two folds by a hash of the text (copies
+share a fold), and each fold is scored by the model counted on the other one. Only documents that pass the base rules
+are counted. Two values of a document are judged: the log-perplexity of all its characters, and that of the first characters
+of its words after the first, given the end of the word before (the joints: words in a wrong order show there). A band
+belongs to the documents that one model judges: from their median value down and up by ``WIDTH`` (joints: ``JOINT_WIDTH``)
+times the distance to the quartiles, which stay where they are while junk is under a quarter; ``1 + 4 / sqrt(n)`` times wider
+for the uncertain quartiles of n documents.
+
+Steps: tasks reduce their documents to bags (one row per few megabytes of one language and fold: distinct n-grams,
+and compressed counts per document). Spark sums the n-grams, derives the continuation counts, discounts, context weights
+and probabilities of all orders by joins on the n-grams themselves. The model is kept as hash arrays: its entries are cut
+by hash range into rows of about ``SHARD`` sorted 64-bit hashes with their values; as many rows as the corpus needs, nothing of it
+passes through the driver. The distinct n-grams that documents ask for meet the row of their range and are found by bisection;
+those that are new there ask for their shorter forms and contexts. Each bag then gets the values of its n-grams by a join.
 
 Defined results: a null or empty text has no words and fails the base rules. A null language is a
-language of its own. Null ids and repeated rows are judged like any others. No rows: no rows.
+language of its own. Null ids and repeated rows are judged like any others. Where a fold's model has no text, all its
+documents have equal perplexities and stay. No rows: no rows. U+0000 counts as U+FFFF.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import CACHE_ENTRIES, chunks, record_batch, runs, words_of, written
+from tallyspark.llm.common import CHUNK_BYTES, record_batch, runs, words_of, written
 
 ORDER = 5
-SLOT_BITS = 21
 MIN_WORDS = 50
-WIDTH = 4.0
+WIDTH, JOINT_WIDTH = 10.0, 6.0  # from measured rejection of planted shuffled texts and of labelled documents
 START, END = "\x02", "\x03"
 SYMBOLS = [b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">"]
 SPACES = [b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r"]
 VOCABULARY = 1 << 21  # characters, for the uniform base distribution
-
-BASE = ("doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-        "n_repeat_words long, base_failed boolean, log_perplexity double")
-BASE_ARROW = pa.schema([
-    ("doc_id", pa.int64()), ("lang", pa.string()), ("n_words", pa.int64()), ("word_chars", pa.int64()),
-    ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()),
-    ("base_failed", pa.bool_()), ("log_perplexity", pa.float64())])
-GRAMS_ARROW = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("n", pa.int64())])
-SLOTS_ARROW = pa.schema([("lang", pa.string()), ("slot", pa.int64()), ("context", pa.int64()), ("suffix", pa.int64()),
-                         ("n", pa.int64())])
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-
-
-def gram_slots(codes: np.ndarray, seed: int) -> np.ndarray:
-    """Slot of each row of character codes; the seed tells languages and orders apart."""
-    out = np.full(len(codes), seed, np.uint64)
-    for k in range(codes.shape[1]):
-        out = (out ^ codes[:, k].astype(np.uint64)) * _MULTIPLIER
-        out ^= out >> np.uint64(29)
-    return (out * _MULTIPLIER) >> np.uint64(64 - SLOT_BITS)
-
-
-def seed_of(lang: str | None, order: int) -> int:
-    value = 1469598103934665603 + order
-    for b in (lang or "\x00").encode():
-        value = ((value ^ b) * 1099511628211) & 0xFFFFFFFFFFFFFFFF
-    return value
-
-
-def codes_of(grams: list[str]) -> np.ndarray:
-    """One row of character codes per n-gram; all of the same length."""
-    return np.array(grams, dtype=f"<U{len(grams[0])}").view(np.uint32).reshape(len(grams), -1)
+SHARD = 1 << 16  # entries of one hash array
+HELD_BYTES = 6 * CHUNK_BYTES  # text that waits in a task for its bag
+
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+BASE = f"doc_id long, {', '.join(c + ' long' for c in COUNTS)}, base_failed boolean, model string, log_perplexity double, joint_perplexity double"
+BASE_ARROW = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in COUNTS), ("base_failed", pa.bool_()),
+                        ("model", pa.string()), ("log_perplexity", pa.float64()), ("joint_perplexity", pa.float64())])
+BAG = ("bag long, model string, teaches string, grams array<string>, trained array<long>, joints array<boolean>, ids array<long>, "
+       + "".join(f"{c} array<long>, " for c in COUNTS) + "base_failed array<boolean>, symbols array<long>, packed binary")
+BAG_ARROW = pa.schema([
+    ("bag", pa.int64()), ("model", pa.string()), ("teaches", pa.string()), ("grams", pa.list_(pa.string())),
+    ("trained", pa.list_(pa.int64())), ("joints", pa.list_(pa.bool_())), ("ids", pa.list_(pa.int64())), *((c, pa.list_(pa.int64())) for c in COUNTS),
+    ("base_failed", pa.list_(pa.bool_())), ("symbols", pa.list_(pa.int64())), ("packed", pa.binary())])
+FOUND_ARROW = pa.schema([("model", pa.string()), ("kind", pa.int32()), ("part", pa.string()), ("value", pa.float64())])
 
 
 def base_counts(text: bytes | None, words: list[bytes], ids: dict) -> tuple[int, int, int, int]:
@@ -102,192 +95,6 @@ def base_counts(text: bytes | None, words: list[bytes], ids: dict) -> tuple[int,
     return chars, symbols, len(lines) - len(set(lines)), repeats
 
 
-def count_grams(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """(lang, gram, n) over all documents; words are counted per task first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush() -> Iterator[pa.RecordBatch]:
-            for k, words in held.items():
-                grams: Counter = Counter()
-                for word, n in words.items():
-                    padded = START * (ORDER - 1) + word.decode() + END
-                    for i in range(len(padded) - ORDER + 1):
-                        grams[padded[i:i + ORDER]] += n
-                    if len(grams) >= CACHE_ENTRIES * 2:
-                        yield record_batch(GRAMS_ARROW, [k] * len(grams), list(grams), list(grams.values()))
-                        grams.clear()
-                yield record_batch(GRAMS_ARROW, [k] * len(grams), list(grams), list(grams.values()))
-            held.clear()
-
-        held: dict[str | None, Counter] = {}
-        for langs, texts in chunks(batches):
-            for k, t in zip(langs, texts, strict=True):
-                if t:
-                    held.setdefault(k, Counter()).update(t.split())
-            if sum(map(len, held.values())) >= CACHE_ENTRIES * 2:
-                yield from flush()
-        yield from flush()
-
-    rows = docs.select(F.col(lang).alias("lang"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-
-class Model:
-    """Sorted slots per order: the discounted share of an n-gram, and of contexts their back-off weight.
-
-    For n-grams of the highest order that the corpus has, ``known`` holds the whole probability, so that
-    they take one search; the others are put together from the orders.
-    """
-
-    def __init__(self) -> None:
-        self.shares: list[tuple[np.ndarray, np.ndarray]] = []
-        self.backoffs: list[tuple[np.ndarray, np.ndarray]] = []
-        self.known: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0))
-
-    def add_order(self, langs: np.ndarray, slots: np.ndarray, contexts: np.ndarray, suffixes: np.ndarray,
-                  counts: np.ndarray) -> None:
-        """The next higher order; its n-grams back off to their suffixes in the one before."""
-        discount = np.zeros(len(counts))
-        for k in np.unique(langs):
-            here = langs == k
-            n1, n2, n3, n4 = (max(1, int((counts[here] == c).sum())) for c in (1, 2, 3, 4))
-            y = n1 / (n1 + 2 * n2)
-            three = [min(max(c - (c + 1) * y * b / a, 0.1), c) for c, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-            discount[here] = np.asarray(three)[np.minimum(counts[here], 3) - 1]
-        known, at = np.unique(contexts, return_inverse=True)
-        total = np.bincount(at, counts, len(known))
-        back = np.bincount(at, discount, len(known)) / total
-        order = np.argsort(slots)
-        share = (counts - discount) / total[at]
-        below = self.find(self.known, suffixes, 1.0 / VOCABULARY)
-        self.shares.append((slots[order], share.astype(np.float32)[order]))
-        self.backoffs.append((known, back.astype(np.float32)))
-        self.known = (slots[order], (share + back[at] * below).astype(np.float32)[order])
-
-    @staticmethod
-    def find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray, missing: float) -> np.ndarray:
-        slots, values = table
-        if not len(slots):
-            return np.full(len(keys), missing)
-        at = np.minimum(np.searchsorted(slots, keys), len(slots) - 1)
-        return np.where(slots[at] == keys, values[at], missing).astype(np.float64)
-
-    def word_scores(self, words: list[str], lang: str | None) -> np.ndarray:
-        """Log-probability of each word, end mark included."""
-        padded = [START * (ORDER - 1) + w + END for w in words]
-        lengths = np.fromiter(map(len, padded), np.int64, len(padded)) - (ORDER - 1)
-        codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
-        first = np.concatenate([[0], np.cumsum(lengths + ORDER - 1)])[:-1]
-        at = np.repeat(first, lengths) + (np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths))
-        grams = codes[at[:, None] + np.arange(ORDER)]
-        p = self.find(self.known, gram_slots(grams, seed_of(lang, ORDER)), 0.0)
-        new = np.flatnonzero(p == 0)
-        if len(new):
-            p[new] = self.back_off(grams[new], lang)
-        return np.add.reduceat(np.log(p), np.cumsum(lengths) - lengths)
-
-
-    def back_off(self, grams: np.ndarray, lang: str | None) -> np.ndarray:
-        """Probabilities of n-grams that may be new, from the lowest order upward."""
-        p = np.full(len(grams), 1.0 / VOCABULARY)
-        for n in range(1, ORDER + 1):
-            part = grams[:, ORDER - n:]
-            slots = gram_slots(part, seed_of(lang, n))
-            context = gram_slots(part[:, :-1], seed_of(lang, -n))
-            p = self.find(self.shares[n - 1], slots, 0.0) + self.find(self.backoffs[n - 1], context, 1.0) * p
-        return p
-
-
-def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
-    """Modified Kneser-Ney over the counts of all of ``docs``."""
-    levels = [written(count_grams(docs, text, lang), "grams")]
-    for _ in range(ORDER - 1):  # how many different characters stand before an n-gram
-        levels.append(levels[-1].groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(
-            F.count("*").alias("n")))
-    model = Model()
-    for level in reversed(levels):
-        model.add_order(*collect_slots(level))
-    return model
-
-
-def collect_slots(level: DataFrame) -> tuple[np.ndarray, ...]:
-    """Language number, slots of n-gram, context and suffix, count: at most ``2 ** SLOT_BITS`` rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs, grams, n = (c.to_pylist() for c in batch.columns)
-            for k in set(langs):
-                own = [i for i, x in enumerate(langs) if x == k]
-                codes = codes_of([grams[i] for i in own])
-                order = codes.shape[1]
-                yield record_batch(
-                    SLOTS_ARROW, [k] * len(own), gram_slots(codes, seed_of(k, order)).astype(np.int64),
-                    gram_slots(codes[:, :-1], seed_of(k, -order)).astype(np.int64),
-                    gram_slots(codes[:, 1:], seed_of(k, order - 1)).astype(np.int64), [n[i] for i in own])
-
-    rows = level.mapInArrow(run, "lang string, slot long, context long, suffix long, n long")
-    got = rows.groupBy("slot").agg(F.min("lang").alias("lang"), F.min("context").alias("context"),
-                                   F.min("suffix").alias("suffix"), F.sum("n").alias("n")).toArrow()
-    langs = got["lang"].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-    return langs, *(got[c].to_numpy().astype(t) for c, t in (
-        ("slot", np.uint64), ("context", np.uint64), ("suffix", np.uint64), ("n", np.int64)))
-
-
-def measure(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """Base counts and log-perplexity per symbol of every document."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = WordScores(held.value)
-        for keys, langs, texts in chunks(batches):
-            split = [words_of(t) for t in texts]
-            scores.learn(langs, split)
-            ids: dict = Numbers(count())
-            rows = []
-            for k, language, t, words in zip(keys, langs, texts, split, strict=True):
-                n = len(words)
-                chars, symbols, dup, repeats = base_counts(t, words, ids)
-                failed = n < MIN_WORDS or 100 * repeats > 50 * n
-                value = -sum(map(scores.of(language).__getitem__, words)) / (chars + n) if n else None
-                rows.append((k, language, n, chars, symbols, dup, repeats, failed, value))
-            yield record_batch(BASE_ARROW, *map(list, zip(*rows, strict=True)))
-
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(lang).alias("lang"),
-                       F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(run, BASE)
-
-
-class WordScores:
-    """Log-probabilities of the words of a chunk; words seen before stay for two generations of bounded size."""
-
-    def __init__(self, model: Model) -> None:
-        self.model = model
-        self.now: dict[str | None, dict[bytes, float]] = {}
-        self.before: dict[str | None, dict[bytes, float]] = {}
-
-    def of(self, lang: str | None) -> dict[bytes, float]:
-        return self.now.setdefault(lang, {})
-
-    def learn(self, langs: list[str | None], split: list[list[bytes]]) -> None:
-        """Make every word of these documents known: new ones are scored together."""
-        if sum(map(len, self.now.values())) >= CACHE_ENTRIES:
-            self.before, self.now = self.now, {}
-        wanted: dict[str | None, set[bytes]] = {}
-        for lang, words in zip(langs, split, strict=True):
-            wanted.setdefault(lang, set()).update(words)
-        for lang, words in wanted.items():
-            known, old, fresh = self.of(lang), self.before.get(lang, {}), []
-            for word in words:
-                if word not in known:
-                    if word in old:
-                        known[word] = old[word]
-                    else:
-                        fresh.append(word)
-            for i in range(0, len(fresh), 20_000):
-                part = fresh[i:i + 20_000]
-                known.update(zip(part, self.model.word_scores([w.decode() for w in part], lang).tolist(), strict=True))
-
-
 class Numbers(dict):
     """Numbers for words in order of appearance."""
 
@@ -300,27 +107,284 @@ class Numbers(dict):
         return value
 
 
-def bands(measured: DataFrame, width: float = WIDTH) -> DataFrame:
-    """(lang, low, high): the log-perplexities that a language's documents may have."""
-    points = measured.where(~F.col("base_failed")).groupBy("lang").agg(
-        F.percentile_approx("log_perplexity", [0.05, 0.5, 0.95], 10_000).alias("p"))
-    spread = F.lit(0.01)
-    return points.select(
-        F.col("lang").alias("band_lang"),
-        (F.col("p")[1] - width * F.greatest(F.col("p")[1] - F.col("p")[0], spread)).alias("low"),
-        (F.col("p")[1] + width * F.greatest(F.col("p")[2] - F.col("p")[1], spread)).alias("high"))
+# Bags of n-grams
+
+def model_name(lang: str | None, fold: int) -> str:
+    return f"{fold}" if lang is None else f"{fold}:{lang}"
+
+
+def fold_of(text: bytes | None) -> int:
+    return xxhash.xxh64_intdigest(text or b"") & 1
+
+
+def gram_keys(codes: np.ndarray, n: int) -> tuple[np.ndarray, int]:
+    """A number for every window of ``n`` codes, equal for equal windows, and the numbers' bound."""
+    seen = np.unique(codes)
+    number = np.searchsorted(seen, codes)
+    key, bound = number[:len(codes) - n + 1].astype(np.int64), len(seen)
+    for k in range(1, n):
+        if bound * len(seen) >= 1 << 62:  # many different characters: number the shorter windows first
+            shorter, key = np.unique(key, return_inverse=True)
+            bound = len(shorter)
+        key = key * len(seen) + number[k:len(codes) - n + 1 + k]
+        bound *= len(seen)
+    return key, bound
+
+
+def bag_counts(texts: list[str], order: int = ORDER) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct n-grams of some texts; of each (document, n-gram) pair the two indexes and the count, sorted."""
+    whole = "".join(START * (order - 1) + t + END for t in texts).replace("\x00", "\uffff")
+    codes = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    stops = np.cumsum(lengths + order - 1)
+    key, bound = gram_keys(codes, order)
+    inner = np.ones(len(key), bool)  # windows that cross from one text into the next do not count
+    for k in range(1, order):
+        inner[stops[:-1] - k] = False
+    at = np.flatnonzero(inner)
+    key, doc = key[at], np.repeat(np.arange(len(texts)), lengths)
+    if bound * len(texts) >= 1 << 62:
+        shorter, key = np.unique(key, return_inverse=True)
+        bound = len(shorter)
+    pair = np.sort(doc * bound + key)
+    first = runs(pair)
+    counts = np.diff(np.r_[first, len(pair)])
+    doc, mine = pair[first] // bound, pair[first] % bound
+    distinct, gram = np.unique(mine, return_inverse=True)
+    place = np.empty(len(distinct), np.int64)
+    place[np.searchsorted(distinct, key)] = at
+    grams = codes[place[:, None] + np.arange(order)]
+    return np.ascontiguousarray(grams).view(f"<U{order}").ravel().tolist(), doc, gram, counts
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Whole numbers byte plane by byte plane: small ones compress well."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unplanes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
+
+
+def fill_bag(bag: int, lang: str | None, fold: int, rows: list[tuple]) -> pa.RecordBatch:
+    ids, texts, numbers, failed = zip(*rows, strict=True)
+    filled = [i for i, t in enumerate(texts) if t]
+    grams, packed, trained = [], b"", np.zeros(0, np.int64)
+    if filled:
+        grams, doc, gram, counts = bag_counts([texts[i] for i in filled])
+        doc = np.array(filled)[doc]
+        teaches = ~np.array(failed, bool)[doc]
+        trained = np.bincount(gram, counts * teaches, len(grams)).astype(np.int64)
+        packed = zstandard.ZstdCompressor(level=1).compress(
+            planes(np.diff(doc * len(grams) + gram, prepend=0)) + planes(counts))
+    return record_batch(BAG_ARROW, [bag], [model_name(lang, fold)], [model_name(lang, 1 - fold)], [grams], [trained],
+                        [[g[-2] == " " for g in grams]], [ids],
+                        *([list(c)] for c in zip(*numbers, strict=True)), [failed],
+                        [[len(t) + 1 if t else 0 for t in texts]], [packed])
+
+
+def bag_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """One row per few megabytes of documents of one language and fold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list[tuple]] = {}
+        size: dict[tuple, int] = {}
+        bag = count(TaskContext.get().partitionId() << 32)
+        ids = Numbers(count())
+        for batch in batches:
+            for k, language, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words, group = words_of(t), (language, fold_of(t))
+                if len(ids) > 1 << 20:
+                    ids = Numbers(count())
+                numbers = base_counts(t, words, ids)
+                failed = len(words) < MIN_WORDS or 100 * numbers[-1] > 50 * len(words)
+                held.setdefault(group, []).append((k, b" ".join(words).decode(), (len(words), *numbers), failed))
+                size[group] = size.get(group, 0) + len(t or b"") + 64
+                full = [group] if size[group] >= CHUNK_BYTES else list(held) if sum(size.values()) >= HELD_BYTES else []
+                for g in full:
+                    del size[g]
+                    yield fill_bag(next(bag), *g, held.pop(g))
+        for g in list(held):
+            yield fill_bag(next(bag), *g, held.pop(g))
+
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(lang).alias("lang"),
+                       F.col(text).cast("binary").alias("text"))
+    return rows.mapInArrow(run, BAG)
+
+
+# The model
+
+def hashed(model: Column, kind: Column, part: Column) -> Column:
+    return F.xxhash64(model, kind, part)
+
+
+def discounts(level: DataFrame) -> DataFrame:
+    """(model, d1, d2, d3): what an n-gram of count 1, 2, 3 and more gives to the shorter ones."""
+    n = [F.greatest(F.lit(1), F.count_if(F.col("n") == k)) for k in (1, 2, 3, 4)]
+    seen = level.groupBy("model").agg(*(x.alias(f"n{k}") for k, x in enumerate(n, 1)))
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    return seen.select("model", *(
+        F.least(F.greatest(k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"), F.lit(0.1)), F.lit(float(k))).alias(f"d{k}")
+        for k in (1, 2, 3)))
+
+
+def train(bags: DataFrame, order: int = ORDER) -> DataFrame:
+    """(model, kind, part, value): of kind k the probability of an n-gram of k characters, of kind -k the
+    weight that its context of k - 1 characters leaves to the shorter ones."""
+    pairs = bags.select(F.col("teaches").alias("model"), F.explode(F.arrays_zip("grams", "trained")).alias("x"))
+    level = written(pairs.where("x.trained > 0").groupBy("model", F.col("x.grams").alias("part")).agg(
+        F.sum("x.trained").alias("n")), "grams")
+    levels = [level]
+    for _ in range(order - 1):  # how many different characters stand before an n-gram
+        level = written(level.groupBy("model", F.expr("substring(part, 2)").alias("part")).agg(F.count("*").alias("n")), "grams")
+        levels.append(level)
+    out, below = None, None
+    for k, level in enumerate(reversed(levels), 1):
+        less = level.join(discounts(level), "model").select(
+            "model", "part", "n", F.substring("part", 1, k - 1).alias("context"), F.expr("substring(part, 2)").alias("suffix"),
+            F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")).alias("d"))
+        contexts = written(less.groupBy("model", "context").agg(
+            F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("back")), "contexts")
+        less = less.join(contexts, ["model", "context"])
+        if below is None:
+            less = less.withColumn("lower", F.lit(1.0 / VOCABULARY))
+        else:
+            less = less.join(below.select("model", F.col("part").alias("suffix"), F.col("value").alias("lower")),
+                             ["model", "suffix"])
+        below = written(less.select("model", "part", (
+            (F.col("n") - F.col("d")) / F.col("total") + F.col("back") * F.col("lower")).alias("value")), "shares")
+        part = below.select("model", F.lit(k).alias("kind"), "part", "value").unionByName(
+            contexts.select("model", F.lit(-k).alias("kind"), F.col("context").alias("part"), F.col("back").alias("value")))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def shard_of(h: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(h, 64 - bits) if bits else F.lit(0).cast("long")
+
+
+def hash_arrays(entries: DataFrame, bits: int) -> DataFrame:
+    """(shard, entries): the hashes of one range in order, with their values."""
+    h = hashed(F.col("model"), F.col("kind"), F.col("part"))
+    return entries.select(h.alias("h"), "value").groupBy(shard_of(F.col("h"), bits).alias("shard")).agg(
+        F.sort_array(F.collect_list(F.struct("h", "value"))).alias("entries"))
+
+
+def find(asked: DataFrame, arrays: DataFrame, bits: int) -> DataFrame:
+    """The distinct (model, kind, part) rows of ``asked`` with their value, null if the model has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                wanted, entries = row["wanted"].flatten(), row["entries"].flatten()
+                h, model, kind, part = wanted.flatten()
+                if not len(entries):
+                    yield record_batch(FOUND_ARROW, model, kind, part, pa.nulls(len(part), pa.float64()))
+                    continue
+                known, values = (x.to_numpy(zero_copy_only=False) for x in entries.flatten())
+                h = h.to_numpy(zero_copy_only=False)
+                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                yield record_batch(FOUND_ARROW, model, kind, part, pa.array(values[at], mask=known[at] != h))
+
+    h = hashed(F.col("model"), F.col("kind"), F.col("part"))
+    rows = asked.select(h.alias("h"), "model", "kind", "part").groupBy(shard_of(F.col("h"), bits).alias("shard")).agg(
+        F.collect_list(F.struct("h", "model", "kind", "part")).alias("wanted"))
+    return rows.join(arrays, "shard", "left").select("wanted", "entries").mapInArrow(
+        run, "model string, kind int, part string, value double")
+
+
+def gram_values(asked: DataFrame, entries: DataFrame, order: int = ORDER) -> DataFrame:
+    """(model, part, value): log-probabilities of distinct n-grams, by the model's hash arrays."""
+    asked = written(asked, "asked")
+    size = max(asked.count(), entries.count())
+    bits = max(0, (size // SHARD).bit_length())
+    arrays = written(hash_arrays(entries, bits), "arrays")
+    got = written(find(asked.withColumn("kind", F.lit(order)), arrays, bits), "found")
+    new = got.where("value IS NULL").select("model", "part")
+    parts = [(k, F.substring("part", order - k + 1, k)) for k in range(1, order)]
+    parts += [(-k, F.substring("part", order - k + 1, k - 1)) for k in range(1, order + 1)]
+    spread = new.select("model", "part", F.explode(F.array(*(
+        F.struct(F.lit(kind).alias("kind"), x.alias("short")) for kind, x in parts))).alias("x")).select(
+        "model", "part", "x.kind", "x.short")
+    shorter = written(find(spread.select("model", "kind", F.col("short").alias("part")).distinct(), arrays, bits)
+                      .where("value IS NOT NULL").withColumnRenamed("part", "short"), "shorter")
+    values = spread.join(shorter, ["model", "kind", "short"], "left").groupBy("model", "part").agg(*(
+        F.max(F.when(F.col("kind") == kind, F.col("value"))).alias(f"{'share' if kind > 0 else 'back'}{abs(kind)}")
+        for kind, _ in parts))
+    p = F.lit(1.0 / VOCABULARY)
+    for k in range(1, order + 1):  # a known n-gram's value holds the shorter ones; a new one leaves all to them
+        p = F.coalesce(F.col(f"back{k}"), F.lit(1.0)) * p
+        p = F.coalesce(F.col(f"share{k}"), p) if k < order else p
+    return written(got.where("value IS NOT NULL").select("model", "part", F.log("value").alias("value")).unionByName(
+        values.select("model", "part", F.log(p).alias("value"))), "values")
+
+
+# Judging
+
+def finish_bag(row: dict) -> pa.RecordBatch:
+    """The documents of a bag whose n-grams have their values."""
+    n = len(row["ids"])
+    sums, joint_sums, joints = np.zeros(n), np.zeros(n), np.zeros(n)
+    if row["packed"]:
+        values = np.zeros(len(row["at"]))
+        values[np.array(row["at"], np.int64)] = row["value"]
+        data = zstandard.ZstdDecompressor().decompress(row["packed"])
+        pair, counts = np.cumsum(unplanes(data[:len(data) // 2])), unplanes(data[len(data) // 2:])
+        doc, gram = pair // len(values), pair % len(values)
+        total, at_joint = counts * values[gram], np.array(row["joints"])[gram]
+        sums = np.bincount(doc, total, n)
+        joint_sums, joints = np.bincount(doc, total * at_joint, n), np.bincount(doc, counts * at_joint, n)
+    means = ([-float(x) / k if k else None for x, k in zip(*pairs, strict=True)]
+             for pairs in ((sums, row["symbols"]), (joint_sums, joints)))
+    return record_batch(BASE_ARROW, row["ids"], *(row[c] for c in COUNTS), row["base_failed"], [row["model"]] * n, *means)
+
+
+def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """Base counts of every document and its log-perplexity per symbol by the model of the other fold."""
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                yield finish_bag(batch.slice(k, 1).to_pylist()[0])
+
+    bags = written(bag_documents(docs, key, text, lang), "bags")
+    asked = bags.select("model", F.explode("grams").alias("part")).distinct()
+    values = gram_values(asked, train(bags))
+    h = F.xxhash64("model", "part").alias("h")
+    wanted = bags.select("bag", "model", F.posexplode("grams").alias("at", "part")).select(h, "bag", "at")
+    answers = wanted.join(values.select(h, "value"), "h").groupBy("bag").agg(
+        F.collect_list(F.struct("at", "value")).alias("x")).select(
+        "bag", F.col("x.at").cast("array<long>").alias("at"), F.col("x.value").alias("value"))
+    rest = bags.select("bag", "model", "joints", "ids", *COUNTS, "base_failed", "symbols", "packed")
+    return rest.join(answers, "bag", "left").mapInArrow(finish, BASE)
+
+
+def bands(measured: DataFrame, width: float = WIDTH, joint_width: float = JOINT_WIDTH) -> DataFrame:
+    """(model, low, high, joint_low, joint_high): the values that the documents judged by a model may have."""
+    points = measured.where(~F.col("base_failed")).groupBy("model").agg(*(
+        F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000).alias(c) for c in ("log_perplexity", "joint_perplexity")),
+        (1 + 4 / F.sqrt(F.count("*"))).alias("unsure"))
+
+    def limits(c: str, by: float) -> tuple[Column, Column]:
+        low, middle, high = (F.col(c)[k] for k in range(3))
+        spread, by = F.lit(0.01), by * F.col("unsure")
+        return middle - by * F.greatest(middle - low, spread), middle + by * F.greatest(high - middle, spread)
+
+    low, high = limits("log_perplexity", width)
+    joint_low, joint_high = limits("joint_perplexity", joint_width)
+    return points.select("model", low.alias("low"), high.alias("high"), joint_low.alias("joint_low"),
+                         joint_high.alias("joint_high"))
 
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
-          width: float = WIDTH) -> DataFrame:
-    """Base counts, perplexity and the verdict ``kept`` of every document."""
-    measured = written(measure(docs, train(docs, text, lang), key, text, lang), "measured")
-    limits = bands(measured, width)
-    judged = measured.join(limits, F.col("lang").eqNullSafe(F.col("band_lang")), "left")
-    inside = F.col("log_perplexity").between(F.col("low"), F.col("high"))
+          width: float = WIDTH, joint_width: float = JOINT_WIDTH) -> DataFrame:
+    """Base counts, perplexities and the verdict ``kept`` of every document."""
+    measured = written(measure(docs, key, text, lang), "measured")
+    judged = measured.join(bands(measured, width, joint_width), "model", "left")
+    inside = (F.col("log_perplexity").between(F.col("low"), F.col("high"))
+              & F.col("joint_perplexity").between(F.col("joint_low"), F.col("joint_high")))
     return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        "doc_id", *COUNTS, "base_failed",
         (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"),
-        F.exp("log_perplexity").alias("perplexity"))
-
-
+        F.exp("log_perplexity").alias("perplexity"), F.exp("joint_perplexity").alias("joint_perplexity"))
