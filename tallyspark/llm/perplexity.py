@@ -38,6 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.functions.rows import drop_written
 from tallyspark.llm.common import CHUNK_BYTES, record_batch, runs, words_of, written
 
 ORDER = 5
@@ -48,6 +49,7 @@ SYMBOLS = [b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">"]
 SPACES = [b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r"]
 VOCABULARY = 1 << 21  # characters, for the uniform base distribution
 SHARD = 1 << 16  # entries of one hash array
+BAG_BYTES = 2 * CHUNK_BYTES  # text of a bag
 HELD_BYTES = 6 * CHUNK_BYTES  # text that waits in a task for its bag
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -117,18 +119,24 @@ def fold_of(text: bytes | None) -> int:
     return xxhash.xxh64_intdigest(text or b"") & 1
 
 
-def gram_keys(codes: np.ndarray, n: int) -> tuple[np.ndarray, int]:
-    """A number for every window of ``n`` codes, equal for equal windows, and the numbers' bound."""
+def gram_keys(codes: np.ndarray, n: int) -> tuple[np.ndarray, int, np.ndarray | None]:
+    """A number for every window of ``n`` codes, equal for equal windows, and the numbers' bound.
+
+    Also the codes that its digits stand for, in a base of their number; none if there are too many for that.
+    """
     seen = np.unique(codes)
-    number = np.searchsorted(seen, codes)
-    key, bound = number[:len(codes) - n + 1].astype(np.int64), len(seen)
+    number = np.zeros(int(seen[-1]) + 1, np.int64)
+    number[seen] = np.arange(len(seen))
+    number = number[codes]
+    key, bound, digits = number[:len(codes) - n + 1].copy(), len(seen), seen
     for k in range(1, n):
         if bound * len(seen) >= 1 << 62:  # many different characters: number the shorter windows first
             shorter, key = np.unique(key, return_inverse=True)
-            bound = len(shorter)
-        key = key * len(seen) + number[k:len(codes) - n + 1 + k]
+            bound, digits = len(shorter), None
+        key *= len(seen)
+        key += number[k:len(codes) - n + 1 + k]
         bound *= len(seen)
-    return key, bound
+    return key, bound, digits
 
 
 def bag_counts(texts: list[str], order: int = ORDER) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -137,7 +145,7 @@ def bag_counts(texts: list[str], order: int = ORDER) -> tuple[list[str], np.ndar
     codes = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     stops = np.cumsum(lengths + order - 1)
-    key, bound = gram_keys(codes, order)
+    key, bound, digits = gram_keys(codes, order)
     inner = np.ones(len(key), bool)  # windows that cross from one text into the next do not count
     for k in range(1, order):
         inner[stops[:-1] - k] = False
@@ -145,15 +153,18 @@ def bag_counts(texts: list[str], order: int = ORDER) -> tuple[list[str], np.ndar
     key, doc = key[at], np.repeat(np.arange(len(texts)), lengths)
     if bound * len(texts) >= 1 << 62:
         shorter, key = np.unique(key, return_inverse=True)
-        bound = len(shorter)
+        bound, digits = len(shorter), None
     pair = np.sort(doc * bound + key)
     first = runs(pair)
     counts = np.diff(np.r_[first, len(pair)])
     doc, mine = pair[first] // bound, pair[first] % bound
     distinct, gram = np.unique(mine, return_inverse=True)
-    place = np.empty(len(distinct), np.int64)
-    place[np.searchsorted(distinct, key)] = at
-    grams = codes[place[:, None] + np.arange(order)]
+    if digits is None:
+        place = np.empty(len(distinct), np.int64)
+        place[np.searchsorted(distinct, key)] = at
+        grams = codes[place[:, None] + np.arange(order)]
+    else:
+        grams = digits[distinct[:, None] // len(digits) ** np.arange(order - 1, -1, -1) % len(digits)]
     return np.ascontiguousarray(grams).view(f"<U{order}").ravel().tolist(), doc, gram, counts
 
 
@@ -200,7 +211,7 @@ def bag_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", lang
                 failed = len(words) < MIN_WORDS or 100 * numbers[-1] > 50 * len(words)
                 held.setdefault(group, []).append((k, b" ".join(words).decode(), (len(words), *numbers), failed))
                 size[group] = size.get(group, 0) + len(t or b"") + 64
-                full = [group] if size[group] >= CHUNK_BYTES else list(held) if sum(size.values()) >= HELD_BYTES else []
+                full = [group] if size[group] >= BAG_BYTES else list(held) if sum(size.values()) >= HELD_BYTES else []
                 for g in full:
                     del size[g]
                     yield fill_bag(next(bag), *g, held.pop(g))
@@ -228,17 +239,22 @@ def discounts(level: DataFrame) -> DataFrame:
         for k in (1, 2, 3)))
 
 
-def train(bags: DataFrame, order: int = ORDER) -> DataFrame:
-    """(model, kind, part, value): of kind k the probability of an n-gram of k characters, of kind -k the
-    weight that its context of k - 1 characters leaves to the shorter ones."""
-    pairs = bags.select(F.col("teaches").alias("model"), F.explode(F.arrays_zip("grams", "trained")).alias("x"))
-    level = written(pairs.where("x.trained > 0").groupBy("model", F.col("x.grams").alias("part")).agg(
+def count_grams(bags: DataFrame) -> DataFrame:
+    """(model, teaches, part, n): the distinct n-grams that each model is asked for, and how often they teach the other one."""
+    pairs = bags.select("model", "teaches", F.explode(F.arrays_zip("grams", "trained")).alias("x"))
+    return written(pairs.groupBy("model", "teaches", F.col("x.grams").alias("part")).agg(
         F.sum("x.trained").alias("n")), "grams")
+
+
+def train(counted: DataFrame, order: int = ORDER) -> tuple[DataFrame, list[DataFrame]]:
+    """(model, kind, part, value): of kind k the probability of an n-gram of k characters, of kind -k the
+    weight that its context of k - 1 characters leaves to the shorter ones. Also the written tables behind it."""
+    level = counted.where("n > 0").select(F.col("teaches").alias("model"), "part", "n")
     levels = [level]
     for _ in range(order - 1):  # how many different characters stand before an n-gram
         level = written(level.groupBy("model", F.expr("substring(part, 2)").alias("part")).agg(F.count("*").alias("n")), "grams")
         levels.append(level)
-    out, below = None, None
+    out, below, behind = None, None, levels[1:]
     for k, level in enumerate(reversed(levels), 1):
         less = level.join(discounts(level), "model").select(
             "model", "part", "n", F.substring("part", 1, k - 1).alias("context"), F.expr("substring(part, 2)").alias("suffix"),
@@ -253,10 +269,11 @@ def train(bags: DataFrame, order: int = ORDER) -> DataFrame:
                              ["model", "suffix"])
         below = written(less.select("model", "part", (
             (F.col("n") - F.col("d")) / F.col("total") + F.col("back") * F.col("lower")).alias("value")), "shares")
+        behind += [contexts, below]
         part = below.select("model", F.lit(k).alias("kind"), "part", "value").unionByName(
             contexts.select("model", F.lit(-k).alias("kind"), F.col("context").alias("part"), F.col("back").alias("value")))
         out = part if out is None else out.unionByName(part)
-    return out
+    return out, behind
 
 
 def shard_of(h: Column, bits: int) -> Column:
@@ -294,30 +311,46 @@ def find(asked: DataFrame, arrays: DataFrame, bits: int) -> DataFrame:
         run, "model string, kind int, part string, value double")
 
 
-def gram_values(asked: DataFrame, entries: DataFrame, order: int = ORDER) -> DataFrame:
-    """(model, part, value): log-probabilities of distinct n-grams, by the model's hash arrays."""
-    asked = written(asked, "asked")
-    size = max(asked.count(), entries.count())
+def back_off(new: DataFrame, k: int, look_up) -> DataFrame:
+    """(model, part, value): probabilities of n-grams of ``k`` characters that the model does not hold."""
+    context, suffix = F.substring("part", 1, k - 1), F.expr("substring(part, 2)")
+    asked = new.select("model", F.lit(-k).alias("kind"), context.alias("part"))
+    if k > 1:
+        asked = asked.unionByName(new.select("model", F.lit(k - 1).alias("kind"), suffix.alias("part")))
+    found = look_up(asked.distinct())
+    back = found.where(F.col("kind") == -k).select("model", F.col("part").alias("context"), F.col("value").alias("back"))
+    out = new.select("model", "part", context.alias("context"), suffix.alias("suffix")).join(back, ["model", "context"])
+    if k == 1:
+        out = out.withColumn("lower", F.lit(1.0 / VOCABULARY))
+    else:
+        shorter = found.where(F.col("kind") == k - 1)
+        known = shorter.where("value IS NOT NULL").select("model", "part", "value").unionByName(
+            back_off(shorter.where("value IS NULL").select("model", "part"), k - 1, look_up))
+        out = out.join(known.select("model", F.col("part").alias("suffix"), F.col("value").alias("lower")), ["model", "suffix"])
+    return out.select("model", "part", (F.coalesce("back", F.lit(1.0)) * F.col("lower")).alias("value"))
+
+
+def gram_values(counted: DataFrame, order: int = ORDER) -> DataFrame:
+    """(model, part, value): log-probabilities of the distinct n-grams asked for, by the model's hash arrays."""
+    entries, behind = train(counted, order)
+    size = max(counted.count(), entries.count())
     bits = max(0, (size // SHARD).bit_length())
     arrays = written(hash_arrays(entries, bits), "arrays")
-    got = written(find(asked.withColumn("kind", F.lit(order)), arrays, bits), "found")
-    new = got.where("value IS NULL").select("model", "part")
-    parts = [(k, F.substring("part", order - k + 1, k)) for k in range(1, order)]
-    parts += [(-k, F.substring("part", order - k + 1, k - 1)) for k in range(1, order + 1)]
-    spread = new.select("model", "part", F.explode(F.array(*(
-        F.struct(F.lit(kind).alias("kind"), x.alias("short")) for kind, x in parts))).alias("x")).select(
-        "model", "part", "x.kind", "x.short")
-    shorter = written(find(spread.select("model", "kind", F.col("short").alias("part")).distinct(), arrays, bits)
-                      .where("value IS NOT NULL").withColumnRenamed("part", "short"), "shorter")
-    values = spread.join(shorter, ["model", "kind", "short"], "left").groupBy("model", "part").agg(*(
-        F.max(F.when(F.col("kind") == kind, F.col("value"))).alias(f"{'share' if kind > 0 else 'back'}{abs(kind)}")
-        for kind, _ in parts))
-    p = F.lit(1.0 / VOCABULARY)
-    for k in range(1, order + 1):  # a known n-gram's value holds the shorter ones; a new one leaves all to them
-        p = F.coalesce(F.col(f"back{k}"), F.lit(1.0)) * p
-        p = F.coalesce(F.col(f"share{k}"), p) if k < order else p
-    return written(got.where("value IS NOT NULL").select("model", "part", F.log("value").alias("value")).unionByName(
-        values.select("model", "part", F.log(p).alias("value"))), "values")
+    for table in behind:
+        drop_written(table)
+    used = [arrays]
+
+    def look_up(asked: DataFrame) -> DataFrame:
+        used.append(written(find(asked, arrays, bits), "found"))
+        return used[-1]
+
+    got = look_up(counted.select("model", F.lit(order).alias("kind"), "part"))
+    values = got.where("value IS NOT NULL").select("model", "part", "value").unionByName(
+        back_off(got.where("value IS NULL").select("model", "part"), order, look_up))
+    out = written(values.select(F.xxhash64("model", "part").alias("h"), F.log("value").alias("value")), "values")
+    for table in used:
+        drop_written(table)
+    return out
 
 
 # Judging
@@ -349,11 +382,12 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
                 yield finish_bag(batch.slice(k, 1).to_pylist()[0])
 
     bags = written(bag_documents(docs, key, text, lang), "bags")
-    asked = bags.select("model", F.explode("grams").alias("part")).distinct()
-    values = gram_values(asked, train(bags))
-    h = F.xxhash64("model", "part").alias("h")
-    wanted = bags.select("bag", "model", F.posexplode("grams").alias("at", "part")).select(h, "bag", "at")
-    answers = wanted.join(values.select(h, "value"), "h").groupBy("bag").agg(
+    counted = count_grams(bags)
+    values = gram_values(counted)
+    drop_written(counted)
+    wanted = bags.select("bag", "model", F.posexplode("grams").alias("at", "part")).select(
+        F.xxhash64("model", "part").alias("h"), "bag", "at")
+    answers = wanted.join(values, "h").groupBy("bag").agg(
         F.collect_list(F.struct("at", "value")).alias("x")).select(
         "bag", F.col("x.at").cast("array<long>").alias("at"), F.col("x.value").alias("value"))
     rest = bags.select("bag", "model", "joints", "ids", *COUNTS, "base_failed", "symbols", "packed")
