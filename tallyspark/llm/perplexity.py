@@ -49,6 +49,7 @@ SYMBOLS = [b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">"]
 SPACES = [b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r"]
 VOCABULARY = 1 << 21  # characters, for the uniform base distribution
 SHARD = 1 << 16  # entries of one hash array
+STEP = 1 << 24  # parts of a nat in which log-probabilities are added up, so that sums have no order
 BAG_BYTES = 2 * CHUNK_BYTES  # text of a bag
 HELD_BYTES = 6 * CHUNK_BYTES  # text that waits in a task for its bag
 
@@ -331,7 +332,7 @@ def back_off(new: DataFrame, k: int, look_up) -> DataFrame:
 
 
 def gram_values(counted: DataFrame, order: int = ORDER) -> DataFrame:
-    """(model, part, value): log-probabilities of the distinct n-grams asked for, by the model's hash arrays."""
+    """(h, cost): hash of each distinct n-gram asked for, and its log-probability by the model's hash arrays in ``-1 / STEP``."""
     entries, behind = train(counted, order)
     size = max(counted.count(), entries.count())
     bits = max(0, (size // SHARD).bit_length())
@@ -347,7 +348,7 @@ def gram_values(counted: DataFrame, order: int = ORDER) -> DataFrame:
     got = look_up(counted.select("model", F.lit(order).alias("kind"), "part"))
     values = got.where("value IS NOT NULL").select("model", "part", "value").unionByName(
         back_off(got.where("value IS NULL").select("model", "part"), order, look_up))
-    out = written(values.select(F.xxhash64("model", "part").alias("h"), F.log("value").alias("value")), "values")
+    out = written(values.select(F.xxhash64("model", "part").alias("h"), F.round(-F.log("value") * STEP).cast("long").alias("cost")), "values")
     for table in used:
         drop_written(table)
     return out
@@ -360,15 +361,16 @@ def finish_bag(row: dict) -> pa.RecordBatch:
     n = len(row["ids"])
     sums, joint_sums, joints = np.zeros(n), np.zeros(n), np.zeros(n)
     if row["packed"]:
-        values = np.zeros(len(row["at"]))
-        values[np.array(row["at"], np.int64)] = row["value"]
+        answers = np.array(row["answers"], np.int64)
+        costs = np.zeros(len(answers), np.int64)
+        costs[answers >> 32] = answers & 0xFFFFFFFF
         data = zstandard.ZstdDecompressor().decompress(row["packed"])
         pair, counts = np.cumsum(unplanes(data[:len(data) // 2])), unplanes(data[len(data) // 2:])
-        doc, gram = pair // len(values), pair % len(values)
-        total, at_joint = counts * values[gram], np.array(row["joints"])[gram]
+        doc, gram = pair // len(costs), pair % len(costs)
+        total, at_joint = counts * costs[gram], np.array(row["joints"])[gram]
         sums = np.bincount(doc, total, n)
         joint_sums, joints = np.bincount(doc, total * at_joint, n), np.bincount(doc, counts * at_joint, n)
-    means = ([-float(x) / k if k else None for x, k in zip(*pairs, strict=True)]
+    means = ([float(x) / STEP / k if k else None for x, k in zip(*pairs, strict=True)]
              for pairs in ((sums, row["symbols"]), (joint_sums, joints)))
     return record_batch(BASE_ARROW, row["ids"], *(row[c] for c in COUNTS), row["base_failed"], [row["model"]] * n, *means)
 
@@ -387,9 +389,9 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     drop_written(counted)
     wanted = bags.select("bag", "model", F.posexplode("grams").alias("at", "part")).select(
         F.xxhash64("model", "part").alias("h"), "bag", "at")
+    # index and cost in one number; a cost stays under 2 ** 32: no weight is under 0.1 / 2 ** 63
     answers = wanted.join(values, "h").groupBy("bag").agg(
-        F.collect_list(F.struct("at", "value")).alias("x")).select(
-        "bag", F.col("x.at").cast("array<long>").alias("at"), F.col("x.value").alias("value"))
+        F.collect_list(F.shiftleft(F.col("at").cast("long"), 32) + F.col("cost")).alias("answers"))
     rest = bags.select("bag", "model", "joints", "ids", *COUNTS, "base_failed", "symbols", "packed")
     return rest.join(answers, "bag", "left").mapInArrow(finish, BASE)
 
