@@ -6,7 +6,7 @@ numbering are the only exchanges.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rows import written
@@ -109,6 +109,17 @@ def process(messages: DataFrame, answers: DataFrame | None = None,
     return outcomes(settle(judged), posted)
 
 
+def counted(done: DataFrame) -> tuple[DataFrame, Observation]:
+    """Outcome rows and the run's counters, which the first action over the rows fills in the same pass."""
+    counts = Observation()
+    return done.observe(
+        counts, F.count(F.lit(1)).alias("documents"),
+        *(F.count_if(F.col("status") == status).alias(status) for status in ("posted", "held", "failed")),
+        F.count_if(F.col("duplicate_of").isNotNull()).alias("duplicates"),
+        F.count_if(F.col("error_kind") == "extraction_failed").alias("extraction_failed"),
+        F.count_if(F.col("error_kind") == "stage_failure").alias("stage_failure")), counts
+
+
 def exceptions_of(done: DataFrame, at: Column | None = None) -> DataFrame:
     """Exception rows of a run: hold flags, duplicate holds and failures.
 

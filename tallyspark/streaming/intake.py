@@ -24,6 +24,8 @@ SEEN = "message_id string, batch_id bigint"
 POSTED = ("invoice_id string, created_at timestamp, vendor_name string,"
           " total_amount decimal(38,10), total_amount_raw string, invoice_date string,"
           " status string, batch_id bigint")
+COUNTERS = ("documents bigint, posted bigint, held bigint, failed bigint, duplicates bigint, extraction_failed bigint,"
+            " stage_failure bigint, batch_id bigint")
 LEDGER = "idempotency_key string, sheet_row_ref string, deduped boolean, batch_id bigint"
 
 
@@ -83,7 +85,12 @@ def run_batch(batch: DataFrame, batch_id: int, root: str, mailbox: bool = False,
     posted = intake.posted_view(state(spark, root, "items", POSTED, batch_id))
     done = intake.process(fresh.withColumn("created_at", F.col("received_at")), posted=posted)
     # the written table is the batch's result; everything after reads it back
-    items = _write(done.drop("received_at"), root, "items", batch_id)
+    done, counts = intake.counted(done.drop("received_at"))
+    items = _write(done, root, "items", batch_id)
+    names = [c.split()[0] for c in COUNTERS.split(", ")][:-1]
+    got = counts.get  # filled by the write, with no second look at the rows
+    _write(spark.createDataFrame([tuple(got.get(c, 0) for c in names)], ", ".join(f"{c} bigint" for c in names)),
+           root, "counters", batch_id)
     # repeats stand in the table for the events' sake; only new rows are ledger rows
     recorded = state(spark, root, "ledger", LEDGER, batch_id).filter("not deduped")
     filed = _write(intake.file_rows(items, recorded, recorded.agg(F.count(F.lit(1)).alias("n"))),
@@ -113,4 +120,10 @@ def outcome_counts(spark: SparkSession, root: str) -> DataFrame:
     return state(spark, root, "items", POSTED).groupBy("status").count()
 
 
-__all__ = ["start", "run_batch", "state", "outcome_counts"]
+def run_counters(spark: SparkSession, root: str) -> DataFrame:
+    """The counters of all batches, added up from one small row each; the items are not read."""
+    rows = state(spark, root, "counters", COUNTERS)
+    return rows.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in rows.columns if c != "batch_id"))
+
+
+__all__ = ["start", "run_batch", "state", "outcome_counts", "run_counters"]

@@ -215,6 +215,8 @@ def test_stream_matches_batch_and_is_idempotent(spark, tmp_path):
     stream.run_batch(late, 1, root, mailbox=True)
     assert {r.status: r["count"] for r in stream.outcome_counts(spark, root).collect()} == {
         "posted": 1, "held": 2, "failed": 1}
+    counters = stream.run_counters(spark, root).head().asDict()
+    assert counters == {"documents": 4, "posted": 1, "held": 2, "failed": 1, "duplicates": 1, "extraction_failed": 1, "stage_failure": 0}
     ledger = stream.state(spark, root, "ledger", stream.LEDGER).collect()
     assert [r.sheet_row_ref for r in ledger] == ["Ledger!A1:F1"]
     routed = stream.state(spark, root, "routed", "message_id string, dest string, batch_id bigint").collect()
@@ -224,6 +226,32 @@ def test_stream_matches_batch_and_is_idempotent(spark, tmp_path):
     assert "body" not in dropped.columns and dropped.count() == 1
 
 
+def test_counters_without_batches(spark, tmp_path):
+    assert set(stream.run_counters(spark, str(tmp_path)).head().asDict().values()) == {0}
+
+
+def test_run_counters_equal_the_counts(spark):
+    """Observed in the pass that collects the rows, and equal to counting them again."""
+    rows = [("a", "posted", None, None), ("b", "held", "a", None), ("c", "held", None, None), ("d", "failed", None, "stage_failure"),
+            ("e", "failed", None, "extraction_failed"), ("e", "failed", None, "extraction_failed"), (None, None, None, None)]
+    for data in (rows, []):
+        done, counts = intake.counted(spark.createDataFrame(
+            data, "invoice_id string, status string, duplicate_of string, error_kind string").repartition(3))
+        assert len(done.collect()) == len(data)
+        got = counts.get
+        for name, want in {"documents": len(data), **{s: sum(r[1] == s for r in data) for s in ("posted", "held", "failed")},
+                           "duplicates": sum(r[2] is not None for r in data),
+                           **{k: sum(r[3] == k for r in data) for k in ("extraction_failed", "stage_failure")}}.items():
+            assert got.get(name, 0) == want
+    ids = [None, "1", "1", "2", "3"]
+    messages = spark.createDataFrame([(i,) for i in ids], "message_id string")
+    for known in ([], ["1", "1", "9"], [None, "3"]):
+        seen = spark.createDataFrame([(i,) for i in known], "message_id string")
+        fresh, counts = inbox.unseen_counted(messages, seen)
+        assert sorted(map(str, fresh.collect())) == sorted(map(str, inbox.unseen(messages, seen).collect()))
+        assert counts.get == inbox.fetch_counts(messages, seen).head().asDict()
+
+
 def test_unreadable_state_stops_the_stream(spark, tmp_path):
     assert stream.state(spark, str(tmp_path), "ledger", stream.LEDGER).count() == 0
     (tmp_path / "ledger" / "batch_id=0").mkdir(parents=True)
