@@ -353,6 +353,17 @@ def test_verdicts_by_definition(spark):
     assert any(not k for k, *_ in want.values()) and sum(k for k, *_ in want.values()) > 50
 
 
+def test_equal_perplexities_stay(spark):
+    """A band around equal values keeps them; rows that repeat, ids or not, get one verdict; long texts and odd ids pass through."""
+    text = " ".join(f"word{k % 60} and" for k in range(60))
+    rows = [(1, text, "en"), (1, text, "en"), (None, text, "en"), (2, text, "en"), (3, text + " " + text[::-1] * 400, "fr"), (None, None, None)]
+    got = perplexity.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(got) == len(rows)
+    same = [r for r in got if r.n_words == 120]
+    assert len(same) == 4 and len({r.perplexity for r in same}) == 1
+    assert all(r.kept == (not r.base_failed) for r in got)
+
+
 def test_hash_arrays_of_many_ranges(spark, monkeypatch):
     """The same values, however many hash arrays the model has."""
     draw = random.Random(5)

@@ -60,6 +60,20 @@ def test_url_rules(spark):
     assert {r.verdict for r in url_filter.judge_urls(pages, [], default="block").collect()} == {"block"}
 
 
+def test_pages_with_clashing_columns(spark):
+    """Columns of a table that bear the names of results change nothing."""
+    names = ["host", "path", "rule", "verdict", "text", "n_chars", "id", "value"]
+    pages = [(k, u, f"<html><body><article><p>Page {k} of a book with a few words in it.</p></article></body></html>" if k % 3 else None)
+             for k, u in enumerate(URLS)]
+    plain = spark.createDataFrame(pages, "page_id long, url string, html string")
+    odd = spark.createDataFrame([(*p, *([f"no {p[0]}"] * len(names))) for p in pages],
+                                "page_id long, url string, html string, " + ", ".join(f"{n} string" for n in names))
+    for run in (lambda t: url_filter.judge_urls(t, URL_RULES).select("page_id", "host", "path", "rule", "verdict"),
+                lambda t: html_extract.extract_main_text(t).select("page_id", "url", "text", "n_chars")):
+        assert sorted(map(str, run(odd).collect())) == sorted(map(str, run(plain).collect()))
+        assert run(odd.limit(0)).count() == 0
+
+
 def test_url_rules_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "RULES_PER_BLOCK", 1)
     pages = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
