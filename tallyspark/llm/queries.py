@@ -141,12 +141,17 @@ ORACLES = {
         WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents),
         l AS (SELECT doc_id, unnest(a) AS line, unnest(range(len(a))) AS i FROM d),
         p AS (
-            SELECT doc_id, i, line, lead(line) OVER w AS line2, lead(i) OVER w AS i2
+            SELECT doc_id, i, line, row_number() OVER w AS s, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+                   sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) OVER w AS c
             FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+        w AS ( -- the shortest stretches of eight words from or up to a line
+            SELECT a.doc_id, a.s, b.s AS e FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.s BETWEEN a.s AND a.s + 7
+            WHERE b.c - a.c + a.n >= 8 AND least(b.c - b.n - a.c + a.n, b.c - a.c) < 8),
         k AS (
-            SELECT doc_id, i, i2, row_number() OVER (PARTITION BY line, line2 ORDER BY doc_id, i) AS k
-            FROM p WHERE line2 IS NOT NULL),
-        gone AS (SELECT doc_id, i FROM k WHERE k > 1 UNION SELECT doc_id, i2 FROM k WHERE k > 1),
+            SELECT doc_id, s, e, row_number() OVER (PARTITION BY key ORDER BY doc_id, s) AS k
+            FROM (SELECT w.doc_id, w.s, w.e, string_agg(p.line, chr(10) ORDER BY p.s) AS key
+                  FROM w JOIN p ON p.doc_id = w.doc_id AND p.s BETWEEN w.s AND w.e GROUP BY w.doc_id, w.s, w.e)),
+        gone AS (SELECT DISTINCT p.doc_id, p.i FROM k JOIN p ON p.doc_id = k.doc_id AND p.s BETWEEN k.s AND k.e WHERE k.k > 1),
         kept AS (
             SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.i) AS kept, count(*) AS n
             FROM l ANTI JOIN gone ON l.doc_id = gone.doc_id AND l.i = gone.i GROUP BY l.doc_id)

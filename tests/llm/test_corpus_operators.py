@@ -165,29 +165,36 @@ def test_near_copies_of_the_pipeline_stage(spark):
 # Line dedup
 
 def slow_lines(rows, m):
-    seen, gone = set(), {}
+    """All maximal runs of lines that start earlier as well, by comparing every two places; runs of m words count."""
+    seen, gone = {}, {}
     for i, text in sorted((r for r in rows if r[0] is not None and r[1] is not None), key=lambda r: r[0]):
-        at = [k for k, line in enumerate(text.split("\n")) if WORD.search(line)]
-        lines = text.split("\n")
-        for k in range(len(at) - m + 1):
-            run = tuple(lines[x] for x in at[k:k + m])
-            if run in seen:
-                gone.setdefault(i, set()).update(at[k:k + m])
-            seen.add(run)
+        at = [(k, line) for k, line in enumerate(text.split("\n")) if WORD.search(line)]
+        lines = [line for _, line in at]
+        sizes = [len(WORD.findall(line)) for line in lines]
+        for k, line in enumerate(lines):
+            longest = 0
+            for other, p in seen.setdefault(line, []):
+                n = 0
+                while k + n < len(lines) and p + n < len(other) and lines[k + n] == other[p + n]:
+                    n += 1
+                longest = max(longest, n)
+            if longest and sum(sizes[k:k + longest]) >= m:
+                gone.setdefault(i, set()).update(x for x, _ in at[k:k + longest])
+            seen[line].append((lines, k))
     return [(i, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(i, ()))) for i, t in rows]
 
 
-@pytest.mark.parametrize("m", [1, 2, 3, 5])
+@pytest.mark.parametrize("m", [1, 2, 3, 5, 11])
 def test_line_runs(spark, m):
     draw = random.Random(m)
-    rows = [(i, "\n".join(draw.choice(["a", "b", "c", "", " ", f"l{draw.randrange(30)}"]) for _ in range(draw.randrange(25))))
+    rows = [(i, "\n".join(draw.choice(["a", "b", "c c", "", " ", f"l{draw.randrange(30)}", "one long line " * draw.randrange(1, 5)]) for _ in range(draw.randrange(25))))
             for i in range(60)]
-    rows += [(60, None), (61, ""), (62, "x\nx\nx\nx\nx\nx"), (63, rows[3][1]), (None, rows[3][1]), (64, "l1\n" * 3000)]
+    rows += [(60, None), (61, ""), (62, "x\nx\nx\nx\nx\nx"), (63, rows[3][1]), (None, rows[3][1]), (64, "l1\n" * 300)]
     docs = documents(spark, [t for _, t in rows], [i for i, _ in rows])
     want = sorted(slow_lines(rows, m), key=str)
-    assert sorted(((r.doc_id, r.text) for r in line_dedup.remove_repeated_lines(docs, min_lines=m).collect()), key=str) == want
-    assert sorted(((r.doc_id, r.text) for r in line_dedup.clean(docs, min_lines=m).collect()), key=str) == want
-    assert line_dedup.remove_repeated_lines(docs.limit(0), min_lines=m).count() == 0
+    assert sorted(((r.doc_id, r.text) for r in line_dedup.remove_repeated_lines(docs, min_words=m).collect()), key=str) == want
+    assert sorted(((r.doc_id, r.text) for r in line_dedup.clean(docs, min_words=m).collect()), key=str) == want
+    assert line_dedup.remove_repeated_lines(docs.limit(0), min_words=m).count() == 0
 
 
 # Substring dedup
@@ -401,7 +408,7 @@ def test_stages(spark, sf):
         seen.append(docs)
     texts = [{r.doc_id: r.text for r in d.collect()} for d in seen]
     assert len(texts[1]) >= 0.97 * len(texts[0])
-    assert texts[2] == dict(slow_lines(sorted(texts[1].items()), line_dedup.MIN_LINES))
+    assert texts[2] == dict(slow_lines(sorted(texts[1].items()), line_dedup.MIN_WORDS))
     ids = sorted(texts[2])
     assert set(texts[3]) == {ids[r] for r in slow_similar([texts[2][i] for i in ids])}
     want = slow_substrings(sorted(texts[3].items()))
