@@ -307,6 +307,59 @@ def test_mime_tree(spark):
     assert [r.filename for r in mime.attachments(parts).orderBy("part_order").collect()] == [
         "n.txt", "b.PDF"]
     assert mime.first_pdf_attachment(parts).collect()[0].filename == "b.PDF"
+
+
+def slow_parts(payload):
+    """Pre-order walk of one payload by the json module; the complaints are not part of it."""
+    try:
+        stack = [json.loads(payload or "")]
+    except ValueError:
+        return [("", "", None, None)]
+    out = []
+    while stack:
+        node = stack.pop()
+        if not isinstance(node, dict):
+            out.append(("", "", None, None))
+            continue
+        text = lambda owner, name: (owner.get(name) if isinstance(owner, dict) and isinstance(owner.get(name), str) else None) or None
+        out.append((text(node, "mimeType") or "", text(node, "filename") or "", text(node.get("body"), "attachmentId"),
+                    text(node.get("body"), "data")))
+        stack.extend(reversed(node["parts"] if isinstance(node.get("parts"), list) else []))
+    return out
+
+
+def test_mime_trees_of_any_shape(spark):
+    draw = random.Random(5)
+    odd = [None, 3, "x", [], [1], {}, {"a": 1}, True, ""]
+
+    def node(depth):
+        out = {name: draw.choice(["text/plain", "é\n", *odd]) for name in ("mimeType", "filename") if draw.random() < 0.7}
+        if draw.random() < 0.7:
+            out["body"] = draw.choice([{"data": draw.choice(["eA", *odd]), "attachmentId": draw.choice(["a", *odd])}, *odd])
+        if draw.random() < 0.8:
+            out["parts"] = draw.choice([[node(depth - 1) if depth else draw.choice(odd) for _ in range(draw.randrange(14))], *odd[:1]])
+        return out
+
+    deep = {"mimeType": "text/plain"}
+    for k in range(23):
+        deep = {"mimeType": f"m/{k}", "parts": [deep, None, 3]}
+    payloads = [json.dumps(x) for x in [deep, *(node(k % 4) for k in range(40)), *odd]] + [None, "", "no json", "[1"]
+    payloads += payloads[:2]
+    rows = spark.createDataFrame([(f"m{k}", p) for k, p in enumerate(payloads)], "message_id string, payload string")
+    want = {(f"m{k}", i): part for k, p in enumerate(payloads) for i, part in enumerate(slow_parts(p))}
+    out = mime.walk_payloads(rows)
+    assert "InPandas" not in out._jdf.queryExecution().toString()
+    got = out.collect()
+    assert {(r.message_id, r.part_order): (r.mime_type, r.filename, r.attachment_id, r.data_b64url) for r in got} == want
+    assert len(got) == len(want) and mime.walk_payloads(rows.limit(0)).count() == 0
+
+
+def test_mime_payload_beyond_the_parser(spark):
+    rows = spark.range(2).select(F.col("id").cast("string").alias("message_id"), F.concat(
+        F.lit('{"mimeType":"text/plain","body":{"data":"'), F.repeat(F.lit("eA"), F.when(F.col("id") == 0, 10_500_000).otherwise(5)),
+        F.lit('"}}')).alias("payload"))
+    got = mime.walk_payloads(rows).selectExpr("message_id", "part_order", "length(data_b64url) n", "error").collect()
+    assert sorted(map(tuple, got)) == [("0", 0, 21_000_000, None), ("1", 0, 10, None)]
     bad = spark.sql("select X'ff41' as b").select(utf8_text(F.col("b"))).collect()[0][0]
     assert bad == "�A"
 
