@@ -32,3 +32,8 @@ def test_annotations_do_not_parse_documents_again(spark):
     assert plan_of(read.select(F.inline("annotations"))).count("parsejson(") == 1
     found = {r.message_id: (r.extract_error, len(r.citations)) for r in citations.annotated(read).collect()}
     assert found == {"a": (False, 1), "b": (True, 1)}
+
+
+def test_a_run_carries_no_raw_cells(spark):
+    done = intake.process(messages(spark, [("a", DOCUMENT % "1")]))
+    assert "annotations" not in done.columns and done.count() == 1
