@@ -4,6 +4,7 @@
 from tallyspark.functions import rows
 from tallyspark.operators import citations, word_index
 from tallyspark.plans import intake
+from tallyspark.sources import buckets
 
 CELL = "doc_id string, target_id string, cell string, value_override string, confidence double"
 DOCUMENT = '{"metadata":{"vendor_name":{"value":"A","word_indices":[%s]},"total_amount":"1.00"},"line_items":[{"raw_description":"Part","total":"1.00"}]}'
@@ -63,3 +64,14 @@ def test_pages_that_come_twice_do_not_mix(spark):
     places = rows.written(word_index.asked_postings(word_index.squashed_pages(pages), runs), "places")
     proposed = word_index.candidates(runs, places, word_index.token_counts(places))
     assert proposed.count() and not word_index.exact_hits(proposed, places).count()
+
+
+def test_versions_travel_without_their_content(spark, tmp_path):
+    versions = spark.createDataFrame([("a", 1, "x", 5, "s"), ("a", 2, "y", 6, "t"), ("b", 1, "z", 7, "u")],
+                                     "invoice_id string, updated_at int, status string, created_at int, source_text string")
+    packed = buckets.version_rows(versions)
+    assert "content" not in packed.schema.simpleString()
+    table = buckets.BucketTable(spark, str(tmp_path), "invoice_id", buckets.merge_versions, buckets=2)
+    table.update(packed, 0)
+    assert sorted(map(tuple, buckets.latest_of(table.rows()).collect())) == [("a", 5, "s", 2, "y"), ("b", 7, "u", 1, "z")]
+    assert {r.invoice_id: r.first is None for r in table.rows().collect()} == {"a": False, "b": True}
