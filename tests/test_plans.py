@@ -75,3 +75,12 @@ def test_versions_travel_without_their_content(spark, tmp_path):
     table.update(packed, 0)
     assert sorted(map(tuple, buckets.latest_of(table.rows()).collect())) == [("a", 5, "s", 2, "y"), ("b", 7, "u", 1, "z")]
     assert {r.invoice_id: r.first is None for r in table.rows().collect()} == {"a": False, "b": True}
+
+
+def test_a_table_that_grows_is_dealt_to_more_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(buckets, "TASK_ROWS", 20)
+    children = spark.createDataFrame([(f"i{k}", f"c{k}") for k in range(400)], "invoice_id string, id string")
+    table = buckets.BucketTable(spark, str(tmp_path), "invoice_id", buckets.merge_children, buckets=2)
+    table.update(buckets.child_rows(children, 0), 0)
+    sizes = [r["count"] for r in table.rows().groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 400 and len(sizes) > 8 and max(sizes) < 100
