@@ -1,6 +1,5 @@
 """Plans and rows of steps whose cost grew with repeated work."""
 
-
 from pyspark.sql import functions as F
 
 from tallyspark.functions import rows
