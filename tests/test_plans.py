@@ -85,3 +85,17 @@ def test_a_table_that_grows_is_dealt_to_more_tasks(spark, tmp_path, monkeypatch)
     table.update(buckets.child_rows(children, 0), 0)
     sizes = [r["count"] for r in table.rows().groupBy(F.input_file_name()).count().collect()]
     assert sum(sizes) == 400 and len(sizes) > 8 and max(sizes) < 100
+
+
+def test_parts_of_buckets_do_not_meet_in_a_task(spark, tmp_path, monkeypatch):
+    """A task writes one part of one bucket: with hashed parts some tasks got several and others none."""
+    monkeypatch.setattr(buckets, "TASK_ROWS", 20)
+    children = spark.createDataFrame([(f"i{k}", f"c{k}") for k in range(400)], "invoice_id string, id string")
+    table = buckets.BucketTable(spark, str(tmp_path), "invoice_id", buckets.merge_children, buckets=4)
+    for turn in range(2):
+        table.update(buckets.child_rows(children, turn), turn)
+        parts = 4 * -(-400 * (1 + turn) // (4 * 20))
+        sizes = [r["count"] for r in table.rows().groupBy(F.input_file_name()).count().collect()]
+        assert sum(sizes) == 400 and len(sizes) == parts
+    table.update(buckets.child_rows(spark.createDataFrame([(None, "c"), ("i1", "n")], "invoice_id string, id string"), 2), 2)
+    assert table.rows().count() == 401 and table.rows().where("id = 'n'").count() == 1
