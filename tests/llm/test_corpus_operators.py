@@ -162,6 +162,36 @@ def test_near_copies_of_the_pipeline_stage(spark):
     assert {r.doc_id for r in corpus_pipeline.dedup_near(spark, docs, "").collect()} == set(root)
 
 
+def test_links_of_operator_4_are_judged_by_the_stage(spark, monkeypatch):
+    """The stage takes the operator's links as candidates, keeps similar ones and no others."""
+    import corpus_pipeline
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(base), " ".join([*base[:-1], "changed"]), " ".join(base[:30]), "other words altogether", " ".join(base).upper(), None]
+    docs = documents(spark, texts).withColumn("source", F.lit("s")).withColumn("n_chars", F.lit(1)).unionByName(
+        documents(spark, texts[:1]).withColumn("doc_id", F.lit(None).cast("long")).withColumn("source", F.lit("s")).withColumn(
+            "n_chars", F.lit(1)))
+    judged, real = [], shingle_dedup.similar_documents
+
+    def similar(rows, **more):
+        judged.append({tuple(r) for r in more["candidates"].collect()})
+        return real(rows, **more)
+    monkeypatch.setattr(shingle_dedup, "similar_documents", similar)
+    bits = {r.doc_id: r.component_id for r in simhash_dedup.near_duplicates(docs).where("doc_id IS NOT NULL").collect()}
+    stay = {r.doc_id for r in corpus_pipeline.dedup_near(spark, docs, "").collect()}
+    assert judged == [{(a, b) for a, b in bits.items() if a != b}] and (4, 0) in judged[0]
+    assert stay == {None, 0, 2, 3, 5}
+
+
+def test_brought_candidates_are_judged(spark):
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(base), " ".join([*base[:-1], "changed"]), " ".join(base[:30])]
+    keyed = shingle_dedup.keyed_sets(documents(spark, texts), "doc_id", "text")
+    nodes = {r.doc_id: r.node for r in keyed.collect()}
+    given = spark.createDataFrame([(1, 0), (2, 0), (1, 1), (1, 9), (None, 0)], "a long, b long")
+    found = {tuple(r) for r in shingle_dedup.candidate_nodes(keyed, given).collect()}
+    assert found == {tuple(sorted((nodes[0], nodes[1])))}  # the short text by its size, the others for want of a partner
+
+
 # Line dedup
 
 def slow_lines(rows, m):
