@@ -14,7 +14,7 @@ times the distance to the quartiles, which stay where they are while junk is und
 for the uncertain quartiles of n documents.
 
 Steps: tasks reduce their documents to bags (one row per few megabytes of one language and fold: distinct n-grams,
-and compressed counts per document). Spark sums the n-grams, derives the continuation counts, discounts, context weights
+and compressed counts per n-gram and document). Spark sums the n-grams, derives the continuation counts, discounts, context weights
 and probabilities of all orders by joins on the n-grams themselves. The model is kept as hash arrays: its entries are cut
 by hash range into rows of about ``SHARD`` sorted 64-bit hashes with their values; as many rows as the corpus needs, nothing of it
 passes through the driver. The distinct n-grams that documents ask for meet the row of their range and are found by bisection;
@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.rows import drop_written
-from tallyspark.llm.common import CHUNK_BYTES, record_batch, runs, words_of, written
+from tallyspark.llm.common import CHUNK_BYTES, chunks, record_batch, runs, words_of, written
 
 ORDER = 5
 MIN_WORDS = 50
@@ -52,17 +52,19 @@ SHARD = 1 << 16  # entries of one hash array
 STEP = 1 << 24  # parts of a nat in which log-probabilities are added up, so that sums have no order
 BAG_BYTES = 2 * CHUNK_BYTES  # text of a bag
 HELD_BYTES = 6 * CHUNK_BYTES  # text that waits in a task for its bag
+SLICE = 1 << 20  # characters that are counted at once
+PART = 1 << 18  # pairs that are compressed and read at once
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 BASE = f"doc_id long, {', '.join(c + ' long' for c in COUNTS)}, base_failed boolean, model string, log_perplexity double, joint_perplexity double"
 BASE_ARROW = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in COUNTS), ("base_failed", pa.bool_()),
                         ("model", pa.string()), ("log_perplexity", pa.float64()), ("joint_perplexity", pa.float64())])
 BAG = ("bag long, model string, teaches string, grams array<string>, trained array<long>, joints array<boolean>, ids array<long>, "
-       + "".join(f"{c} array<long>, " for c in COUNTS) + "base_failed array<boolean>, symbols array<long>, packed binary")
+       + "".join(f"{c} array<long>, " for c in COUNTS) + "base_failed array<boolean>, symbols array<long>, packed array<binary>")
 BAG_ARROW = pa.schema([
     ("bag", pa.int64()), ("model", pa.string()), ("teaches", pa.string()), ("grams", pa.list_(pa.string())),
     ("trained", pa.list_(pa.int64())), ("joints", pa.list_(pa.bool_())), ("ids", pa.list_(pa.int64())), *((c, pa.list_(pa.int64())) for c in COUNTS),
-    ("base_failed", pa.list_(pa.bool_())), ("symbols", pa.list_(pa.int64())), ("packed", pa.binary())])
+    ("base_failed", pa.list_(pa.bool_())), ("symbols", pa.list_(pa.int64())), ("packed", pa.list_(pa.binary()))])
 FOUND_ARROW = pa.schema([("model", pa.string()), ("kind", pa.int32()), ("part", pa.string()), ("value", pa.float64())])
 
 
@@ -120,53 +122,89 @@ def fold_of(text: bytes | None) -> int:
     return xxhash.xxh64_intdigest(text or b"") & 1
 
 
-def gram_keys(codes: np.ndarray, n: int) -> tuple[np.ndarray, int, np.ndarray | None]:
-    """A number for every window of ``n`` codes, equal for equal windows, and the numbers' bound.
+def slices(texts: list[str], limit: int) -> Iterator[tuple[int, list[str]]]:
+    """Consecutive texts of about ``limit`` characters together, with the number of texts before them."""
+    start, size = 0, 0
+    for k, t in enumerate(texts):
+        if size and size + len(t) > limit:
+            yield start, texts[start:k]
+            start, size = k, 0
+        size += len(t) + ORDER
+    if start < len(texts):
+        yield start, texts[start:]
 
-    Also the codes that its digits stand for, in a base of their number; none if there are too many for that.
-    """
-    seen = np.unique(codes)
-    number = np.zeros(int(seen[-1]) + 1, np.int64)
-    number[seen] = np.arange(len(seen))
-    number = number[codes]
-    key, bound, digits = number[:len(codes) - n + 1].copy(), len(seen), seen
+
+def text_codes(texts: list[str], order: int) -> np.ndarray:
+    """Code points of some texts, each padded at its start and ended."""
+    whole = "".join(START * (order - 1) + t + END for t in texts).replace("\x00", "\uffff")
+    return np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+
+
+def gram_numbers(codes: np.ndarray, n: int, seen: np.ndarray) -> np.ndarray:
+    """A number for every window of ``n`` codes: its codes' places in ``seen`` as digits; there must be room for them."""
+    place = np.zeros(int(seen[-1]) + 1, np.int32)
+    place[seen] = np.arange(len(seen))
+    place = place[codes]
+    key = place[:len(codes) - n + 1].astype(np.int64)
     for k in range(1, n):
-        if bound * len(seen) >= 1 << 62:  # many different characters: number the shorter windows first
-            shorter, key = np.unique(key, return_inverse=True)
-            bound, digits = len(shorter), None
         key *= len(seen)
-        key += number[k:len(codes) - n + 1 + k]
-        bound *= len(seen)
-    return key, bound, digits
+        key += place[k:len(codes) - n + 1 + k]
+    return key
 
 
-def bag_counts(texts: list[str], order: int = ORDER) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct n-grams of some texts; of each (document, n-gram) pair the two indexes and the count, sorted."""
-    whole = "".join(START * (order - 1) + t + END for t in texts).replace("\x00", "\uffff")
-    codes = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    stops = np.cumsum(lengths + order - 1)
-    key, bound, digits = gram_keys(codes, order)
-    inner = np.ones(len(key), bool)  # windows that cross from one text into the next do not count
-    for k in range(1, order):
-        inner[stops[:-1] - k] = False
-    at = np.flatnonzero(inner)
-    key, doc = key[at], np.repeat(np.arange(len(texts)), lengths)
-    if bound * len(texts) >= 1 << 62:
-        shorter, key = np.unique(key, return_inverse=True)
-        bound, digits = len(shorter), None
-    pair = np.sort(doc * bound + key)
+def counted_pairs(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (document, key) pairs in order, and how often each comes."""
+    distinct, number = np.unique(key, return_inverse=True)
+    pair = doc * len(distinct) + number
+    pair.sort()
     first = runs(pair)
     counts = np.diff(np.r_[first, len(pair)])
-    doc, mine = pair[first] // bound, pair[first] % bound
-    distinct, gram = np.unique(mine, return_inverse=True)
-    if digits is None:
-        place = np.empty(len(distinct), np.int64)
-        place[np.searchsorted(distinct, key)] = at
-        grams = codes[place[:, None] + np.arange(order)]
-    else:
-        grams = digits[distinct[:, None] // len(digits) ** np.arange(order - 1, -1, -1) % len(digits)]
-    return np.ascontiguousarray(grams).view(f"<U{order}").ravel().tolist(), doc, gram, counts
+    pair = pair[first]
+    return (pair // len(distinct)).astype(np.int32), distinct[pair % len(distinct)], counts.astype(np.int32)
+
+
+def bag_counts(texts: list[str], order: int = ORDER) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct n-grams of some texts; of each (document, n-gram) pair the two indexes and the count, sorted.
+
+    Texts are counted slice by slice: only their pairs are held for a whole bag, in twelve bytes each.
+    """
+    seen = np.zeros(0, np.uint32)
+    for _, part in slices(texts, SLICE):
+        seen = np.union1d(seen, text_codes(part, order))
+    half = next(h for h in range(order, 0, -1) if len(seen) ** h < 1 << 62)  # digits that fit one number
+    if half < order:  # many different characters: both halves of a window get names
+        names = ([], [])
+        for _, part in slices(texts, SLICE):
+            for of, n in zip(names, (half, order - half), strict=True):
+                of.append(np.unique(gram_numbers(text_codes(part, order), n, seen)))
+        heads, tails = (np.unique(np.concatenate(of)) for of in names)
+    found = []
+    for before, part in slices(texts, SLICE):
+        codes = text_codes(part, order)
+        lengths = np.fromiter(map(len, part), np.int64, len(part)) + 1
+        if half == order:
+            key = gram_numbers(codes, order, seen)
+        else:
+            tail = np.searchsorted(tails, gram_numbers(codes[half:], order - half, seen))
+            key = np.searchsorted(heads, gram_numbers(codes, half, seen)[:len(tail)]) * len(tails) + tail
+        inner = np.ones(len(key), bool)  # windows that cross from one text into the next do not count
+        stops = np.cumsum(lengths + order - 1)
+        for k in range(1, order):
+            inner[stops[:-1] - k] = False
+        doc, mine, counts = counted_pairs(np.repeat(np.arange(len(part)), lengths), key[inner])
+        found.append([doc + np.int32(before), mine, counts])
+    distinct = np.unique(np.concatenate([np.unique(mine) for _, mine, _ in found]))
+    for row in found:
+        row[1] = np.searchsorted(distinct, row[1]).astype(np.int32)
+    digits = np.empty((len(distinct), order), np.int64)
+    sides = [(distinct, 0, order)] if half == order else [
+        (heads[distinct // len(tails)], 0, half), (tails[distinct % len(tails)], half, order)]
+    for rest, start, stop in sides:
+        for k in range(stop - 1, start - 1, -1):
+            digits[:, k] = rest % len(seen)
+            rest = rest // len(seen)
+    grams = np.ascontiguousarray(seen[digits]).view(f"<U{order}").ravel().tolist()
+    return grams, *(np.concatenate(c) for c in zip(*found, strict=True))
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -181,20 +219,57 @@ def unplanes(data: bytes) -> np.ndarray:
 def fill_bag(bag: int, lang: str | None, fold: int, rows: list[tuple]) -> pa.RecordBatch:
     ids, texts, numbers, failed = zip(*rows, strict=True)
     filled = [i for i, t in enumerate(texts) if t]
-    grams, packed, trained = [], b"", np.zeros(0, np.int64)
+    grams, packed, trained = [], [], np.zeros(0, np.int64)
     if filled:
         grams, doc, gram, counts = bag_counts([texts[i] for i in filled])
-        doc = np.array(filled)[doc]
-        teaches = ~np.array(failed, bool)[doc]
-        trained = np.bincount(gram, counts * teaches, len(grams)).astype(np.int64)
-        packed = zstandard.ZstdCompressor(level=1).compress(
-            planes(np.diff(doc * len(grams) + gram, prepend=0)) + planes(counts))
+        doc = np.array(filled, np.int32)[doc]
+        trained = np.bincount(gram, counts * ~np.array(failed, bool)[doc], len(grams)).astype(np.int64)
+        packed = pack_pairs(doc, gram, counts, trained, len(ids))
     return record_batch(BAG_ARROW, [bag], [model_name(lang, fold)], [model_name(lang, 1 - fold)], [grams], [trained],
                         [[g[-2] == " " for g in grams]], [ids],
                         *([list(c)] for c in zip(*numbers, strict=True)), [failed],
                         [[len(t) + 1 if t else 0 for t in texts]], [packed])
 
 
+def by_use(trained: np.ndarray) -> np.ndarray:
+    """The n-grams of a bag, those that are used most first."""
+    return np.argsort(-trained, kind="stable")
+
+
+def pack_pairs(doc: np.ndarray, gram: np.ndarray, counts: np.ndarray, trained: np.ndarray, n: int) -> list[bytes]:
+    """Pairs and counts, compressed part by part: n-gram by n-gram, as frequent ones leave small gaps and lie together."""
+    place = np.empty(len(trained), np.int64)
+    place[by_use(trained)] = np.arange(len(trained))
+    pair = place[gram]
+    pair *= n
+    pair += doc
+    bits = int(counts.max()).bit_length()
+    if len(trained) * n < 1 << (63 - bits):  # the count rides along
+        pair <<= bits
+        pair |= counts
+        pair.sort()
+        counts = pair & ((1 << bits) - 1)
+        pair >>= bits
+    else:
+        order = np.argsort(pair, kind="stable")
+        pair, counts = pair[order], counts[order]
+    out, press = [], zstandard.ZstdCompressor(level=1)
+    for k in range(0, len(pair), PART):
+        mine = pair[k:k + PART]
+        out.append(press.compress(planes(np.diff(mine, prepend=pair[k - 1] if k else 0)) + planes(counts[k:k + PART])))
+    return out
+
+
+def unpack_pairs(packed: list[bytes], trained: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The documents, n-grams and counts of ``pack_pairs``, part by part."""
+    order, before, open_ = by_use(trained), 0, zstandard.ZstdDecompressor()
+    for part in packed:
+        data = open_.decompress(part)
+        pair = np.cumsum(unplanes(data[:len(data) // 2])) + before
+        before = pair[-1]
+        yield pair % n, order[pair // n], unplanes(data[len(data) // 2:])
+
+
 def bag_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """One row per few megabytes of documents of one language and fold."""
 
@@ -203,8 +278,8 @@ def bag_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", lang
         size: dict[tuple, int] = {}
         bag = count(TaskContext.get().partitionId() << 32)
         ids = Numbers(count())
-        for batch in batches:
-            for k, language, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for rows in chunks(batches):
+            for k, language, t in zip(*rows, strict=True):
                 words, group = words_of(t), (language, fold_of(t))
                 if len(ids) > 1 << 20:
                     ids = Numbers(count())
@@ -364,12 +439,12 @@ def finish_bag(row: dict) -> pa.RecordBatch:
         answers = np.array(row["answers"], np.int64)
         costs = np.zeros(len(answers), np.int64)
         costs[answers >> 32] = answers & 0xFFFFFFFF
-        data = zstandard.ZstdDecompressor().decompress(row["packed"])
-        pair, counts = np.cumsum(unplanes(data[:len(data) // 2])), unplanes(data[len(data) // 2:])
-        doc, gram = pair // len(costs), pair % len(costs)
-        total, at_joint = counts * costs[gram], np.array(row["joints"])[gram]
-        sums = np.bincount(doc, total, n)
-        joint_sums, joints = np.bincount(doc, total * at_joint, n), np.bincount(doc, counts * at_joint, n)
+        at_joints = np.array(row["joints"])
+        for doc, gram, counts in unpack_pairs(row["packed"], np.array(row["trained"], np.int64), n):
+            total, at_joint = counts * costs[gram], at_joints[gram]
+            sums += np.bincount(doc, total, n)
+            joint_sums += np.bincount(doc, total * at_joint, n)
+            joints += np.bincount(doc, counts * at_joint, n)
     means = ([float(x) / STEP / k if k else None for x, k in zip(*pairs, strict=True)]
              for pairs in ((sums, row["symbols"]), (joint_sums, joints)))
     return record_batch(BASE_ARROW, row["ids"], *(row[c] for c in COUNTS), row["base_failed"], [row["model"]] * n, *means)
@@ -392,7 +467,7 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     # index and cost in one number; a cost stays under 2 ** 32: no weight is under 0.1 / 2 ** 63
     answers = wanted.join(values, "h").groupBy("bag").agg(
         F.collect_list(F.shiftleft(F.col("at").cast("long"), 32) + F.col("cost")).alias("answers"))
-    rest = bags.select("bag", "model", "joints", "ids", *COUNTS, "base_failed", "symbols", "packed")
+    rest = bags.select("bag", "model", "trained", "joints", "ids", *COUNTS, "base_failed", "symbols", "packed")
     return rest.join(answers, "bag", "left").mapInArrow(finish, BASE)
 
 

@@ -192,6 +192,39 @@ def test_brought_candidates_are_judged(spark):
     assert found == {tuple(sorted((nodes[0], nodes[1])))}  # the short text by its size, the others for want of a partner
 
 
+# Bags of the quality rules
+
+def test_bags_are_counted_in_slices(monkeypatch):
+    """Pairs of a bag do not depend on the slices, memory does; they come back from the parts they are packed in."""
+    import tracemalloc
+
+    import numpy as np
+    draw = random.Random(3)
+    wide = ["".join(chr(draw.randrange(0x4E00, 0x9FFF)) for _ in range(700)) for _ in range(20)]
+    for texts in (["a", "abc abc\x00 é", "€ x", "a a a a a"], wide):
+        want = Counter()
+        for d, t in enumerate(texts):
+            whole = (perplexity.START * 4 + t + perplexity.END).replace("\x00", "\uffff")
+            want.update((d, whole[k:k + 5]) for k in range(len(whole) - 4))
+        for size in (1, 1 << 20):
+            monkeypatch.setattr(perplexity, "SLICE", size)
+            monkeypatch.setattr(perplexity, "PART", 3 * size)
+            grams, doc, gram, counts = perplexity.bag_counts(texts)
+            assert {(d, grams[g]): c for d, g, c in zip(doc.tolist(), gram.tolist(), counts.tolist(), strict=True)} == want
+            trained = np.bincount(gram, counts, len(grams)).astype(np.int64)
+            packed = perplexity.pack_pairs(doc, gram, counts, trained, len(texts))
+            back = {(d, grams[g]): c for part in perplexity.unpack_pairs(packed, trained, len(texts))
+                    for d, g, c in zip(*(x.tolist() for x in part), strict=True)}
+            assert back == want
+    monkeypatch.setattr(perplexity, "SLICE", 1 << 16)
+    texts = [" ".join(draw.choices(["one", "two", "three", "four"], k=100)) for _ in range(5000)]
+    tracemalloc.start()
+    perplexity.fill_bag(0, None, 0, [(k, t, (100, 0, 0, 0, 0), False) for k, t in enumerate(texts)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25 * sum(map(len, texts))  # 47 bytes a character where a bag was counted at once
+
+
 # Line dedup
 
 def slow_lines(rows, m):
