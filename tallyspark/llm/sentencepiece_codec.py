@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import islice
+from operator import add
 
 import ahocorasick
 import numpy as np
@@ -61,7 +63,10 @@ class Codec:
             self.unit = re.compile(r"(?s).+")
         else:
             self.unit = re.compile(r"▁*[^▁\n]+|\n|▁+")
-        self.pair_ok: dict[tuple[int, int], bool] = {}
+        self.four_bytes = [i.to_bytes(4, "little") for i in range(n)]
+        # what an id alone decodes to; byte ids have no entry: they are decoded together
+        self.text_of = {i: self.pieces[i].replace(SPACE, " ") if i in self.score else "" for i in range(n) if i not in self.byte_of}
+        self.pair_ok: dict[int, bool] = {}
         self.alone_ok: dict[int, bool] = {}
         self.atom_ids: dict[str, tuple[int, ...]] = {}
         self.packed: dict[str, bytes] = {}
@@ -81,12 +86,9 @@ class Codec:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
 
     def compatible(self, left: int, right: int) -> bool:
-        ok = self.pair_ok.get((left, right))
-        if ok is None:
-            if len(self.pair_ok) >= CACHE_ENTRIES:
-                self.pair_ok.clear()
-            ok = self.merge(self.pieces[left] + self.pieces[right]) == [left, right]
-            self.pair_ok[left, right] = ok
+        if len(self.pair_ok) >= CACHE_ENTRIES:
+            self.pair_ok.clear()
+        ok = self.pair_ok[left << 32 | right] = self.merge(self.pieces[left] + self.pieces[right]) == [left, right]
         return ok
 
     def reachable(self, token: int) -> bool:
@@ -100,20 +102,32 @@ class Codec:
         if len(atom) == 1 and atom not in self.ids:
             return tuple(self.byte_id[b] for b in atom.encode())
         last, length = [-1] * (len(atom) + 1), [0] * (len(atom) + 1)
+        known, done = self.pair_ok.get, -1
         for end, (token, n) in self.automaton.iter(atom):  # at each end, longest first
-            at = end + 1
-            if last[at] >= 0:
+            if end == done:
                 continue
+            at = end + 1
             before = at - n
-            if self.reachable(token) if before == 0 else last[before] >= 0 and self.compatible(last[before], token):
-                last[at], length[at] = token, n
+            if before:
+                left = last[before]
+                if left < 0:
+                    continue
+                ok = known(left << 32 | token)
+                if ok is None:
+                    ok = self.compatible(left, token)
+            else:
+                ok = self.reachable(token)
+            if ok:
+                last[at], length[at], done = token, n, end
         out, at = [], len(atom)
         while at:
             out.append(last[at])
             at -= length[at]
         return tuple(reversed(out))
 
-    def encode_unit(self, unit: str) -> list[int]:
+    def encode_unit(self, unit: str) -> Sequence[int]:
+        if self.joined.issuperset(map(add, unit, islice(unit, 1, None))):  # no safe cut; the caller keeps what it gets
+            return self.encode_atom(unit)
         out: list[int] = []
         start = 0
         for k in range(1, len(unit) + 1):
@@ -129,8 +143,12 @@ class Codec:
             out.extend(ids)
         return out
 
-    def decode_ids(self, ids: list[int]) -> str:
+    def decode_ids(self, ids: Sequence[int]) -> str:
         """Pieces joined, spaces restored, bytes read as UTF-8; control ids give nothing."""
+        try:
+            return "".join(map(self.text_of.__getitem__, ids))
+        except KeyError:  # byte ids
+            pass
         out: list[str] = []
         held = bytearray()
         for i in ids:
@@ -147,32 +165,34 @@ class Codec:
         return "".join(out).replace(SPACE, " ")
 
     def _fill(self, units: list[str]) -> None:
-        if len(self.packed) >= CACHE_ENTRIES:
+        """Ids of new units, and what they decode to where that is not the unit itself."""
+        new = set(units).difference(self.packed)
+        if len(self.packed) + len(new) > 2 * CACHE_ENTRIES:  # no text is kept with the ids, so there is room
             self.packed.clear()
             self.decoded.clear()
-        for unit in units:
-            if unit not in self.packed:
-                ids = self.encode_unit(unit)
-                self.packed[unit] = np.array(ids, "<u4").tobytes()
-                self.decoded[unit] = self.decode_ids(ids)
+            new = set(units)
+        for unit in new:
+            ids = self.encode_unit(unit)
+            self.packed[unit] = b"".join(map(self.four_bytes.__getitem__, ids))
+            decoded = self.decode_ids(ids)
+            if decoded != unit.replace(SPACE, " "):
+                self.decoded[unit] = decoded
 
     def encode_packed(self, text: str) -> tuple[bytes, str]:
         """(ids as little-endian unsigned 32-bit integers with begin and end, decoded text)."""
         ids, decoded = b"", ""
         if text:
             units = self.unit.findall(SPACE + text.replace(" ", SPACE))
-            try:
-                ids = b"".join(map(self.packed.__getitem__, units))
-                decoded = "".join(map(self.decoded.__getitem__, units))
-            except KeyError:
-                parts, words = [], []
-                for k in range(0, len(units), 50_000):  # the cache never holds more than this beyond its bound
-                    self._fill(units[k:k + 50_000])
-                    parts += map(self.packed.__getitem__, units[k:k + 50_000])
-                    words += map(self.decoded.__getitem__, units[k:k + 50_000])
-                ids, decoded = b"".join(parts), "".join(words)
-            decoded = decoded[1:]  # the dummy prefix
-        return np.array([self.begin], "<u4").tobytes() + ids + np.array([self.end], "<u4").tobytes(), decoded
+            parts, words = [], []
+            for k in range(0, len(units), 50_000):  # no more than the cache holds
+                mine = units[k:k + 50_000]
+                self._fill(mine)
+                parts += map(self.packed.__getitem__, mine)
+                if self.decoded:
+                    mine = [self.decoded.get(u, u) for u in mine]
+                words += mine
+            ids, decoded = b"".join(parts), "".join(words).replace(SPACE, " ")[1:]  # without the dummy prefix
+        return self.four_bytes[self.begin] + ids + self.four_bytes[self.end], decoded
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_packed(text)[0], "<u4").tolist()

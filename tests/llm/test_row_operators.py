@@ -210,6 +210,17 @@ def test_codec_rows(spark, monkeypatch):
     assert small.encode_packed(LONG) == sentencepiece_codec.load(SP_PATH).encode_packed(LONG)
 
 
+def test_codec_keeps_text_only_where_it_differs(monkeypatch):
+    """Units that decode to themselves are kept once, so twice as many fit; the bound holds."""
+    codec = sentencepiece_codec.Codec(SP_PATH)
+    assert codec.encode_packed("plain words, \U0001F642 and a\n\ttab")[1] == "plain words, \U0001F642 and a\n\ttab"
+    assert codec.packed and not codec.decoded and not codec.atom_ids.keys() & codec.packed.keys() - {"\n"}
+    monkeypatch.setattr(sentencepiece_codec, "CACHE_ENTRIES", 50)
+    for k in range(300):
+        codec.encode_packed(f"word{k} of w{k * k}")
+        assert len(codec.packed) <= 100
+
+
 # Packing
 
 def slow_cut(places, costs, window):
