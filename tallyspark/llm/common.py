@@ -24,22 +24,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Cut lineage: write ``df`` as a Parquet table in the shared folder and read it back."""
     drop_finished_shuffles(df.sparkSession)
-    return rows.written(df, name)
+    return rows.written(df, name, **options)
 
 
 _collected = 0.0
 
 
-def drop_finished_shuffles(spark: SparkSession) -> None:
+def drop_finished_shuffles(spark: SparkSession, at_once: bool = False) -> None:
     """Let Spark's cleaner delete shuffle files of earlier steps: it does so when their plans are collected.
 
-    Steps of a second or two leave little behind, so this runs every few seconds at most.
+    Steps of a second or two leave little behind, so this runs every few seconds at most, or ``at_once`` before large steps.
     """
     global _collected
-    if time.monotonic() - _collected > 3:
+    if at_once or time.monotonic() - _collected > 3:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         _collected = time.monotonic()

@@ -14,11 +14,12 @@ times the distance to the quartiles, which stay where they are while junk is und
 for the uncertain quartiles of n documents.
 
 Steps: tasks reduce their documents to bags (one row per few megabytes of one language and fold: distinct n-grams,
-and compressed counts per n-gram and document). Spark sums the n-grams, derives the continuation counts, discounts, context weights
+how often they are learned from, and the compressed words). Spark sums the n-grams, derives the continuation counts, discounts, context weights
 and probabilities of all orders by joins on the n-grams themselves. The model is kept as hash arrays: its entries are cut
 by hash range into rows of about ``SHARD`` sorted 64-bit hashes with their values; as many rows as the corpus needs, nothing of it
 passes through the driver. The distinct n-grams that documents ask for meet the row of their range and are found by bisection;
-those that are new there ask for their shorter forms and contexts. Each bag then gets the values of its n-grams by a join.
+those that are new there ask for their shorter forms and contexts. Each bag then asks every hash range once for the values of all its
+n-grams there (one packed row of sorted hashes, answered by one packed row of values), and its texts are read again.
 
 Defined results: a null or empty text has no words and fails the base rules. A null language is a
 language of its own. Null ids and repeated rows are judged like any others. Where a fold's model has no text, all its
@@ -39,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.rows import drop_written
-from tallyspark.llm.common import CHUNK_BYTES, chunks, record_batch, runs, words_of, written
+from tallyspark.llm.common import CHUNK_BYTES, chunks, drop_finished_shuffles, record_batch, runs, words_of, written
 
 ORDER = 5
 MIN_WORDS = 50
@@ -54,17 +55,21 @@ BAG_BYTES = 2 * CHUNK_BYTES  # text of a bag
 HELD_BYTES = 6 * CHUNK_BYTES  # text that waits in a task for its bag
 SLICE = 1 << 20  # characters that are counted at once
 PART = 1 << 18  # pairs that are compressed and read at once
+ROUNDS = 4  # bags are finished in so many parts: only one part's texts lie on disk twice
+ASKED = 1 << 22  # n-grams that all bags together may ask of one hash range
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 BASE = f"doc_id long, {', '.join(c + ' long' for c in COUNTS)}, base_failed boolean, model string, log_perplexity double, joint_perplexity double"
 BASE_ARROW = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in COUNTS), ("base_failed", pa.bool_()),
                         ("model", pa.string()), ("log_perplexity", pa.float64()), ("joint_perplexity", pa.float64())])
-BAG = ("bag long, model string, teaches string, grams array<string>, trained array<long>, joints array<boolean>, ids array<long>, "
-       + "".join(f"{c} array<long>, " for c in COUNTS) + "base_failed array<boolean>, symbols array<long>, packed array<binary>")
+BAG = ("bag long, model string, grams array<string>, trained array<long>, ids array<long>, "
+       + "".join(f"{c} array<long>, " for c in COUNTS) + "base_failed array<boolean>, texts binary")
 BAG_ARROW = pa.schema([
-    ("bag", pa.int64()), ("model", pa.string()), ("teaches", pa.string()), ("grams", pa.list_(pa.string())),
-    ("trained", pa.list_(pa.int64())), ("joints", pa.list_(pa.bool_())), ("ids", pa.list_(pa.int64())), *((c, pa.list_(pa.int64())) for c in COUNTS),
-    ("base_failed", pa.list_(pa.bool_())), ("symbols", pa.list_(pa.int64())), ("packed", pa.list_(pa.binary()))])
+    ("bag", pa.int64()), ("model", pa.string()), ("grams", pa.list_(pa.string())),
+    ("trained", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())), *((c, pa.list_(pa.int64())) for c in COUNTS),
+    ("base_failed", pa.list_(pa.bool_())), ("texts", pa.binary())])
+WANTED_ARROW = pa.schema([("shard", pa.int64()), ("bag", pa.int64()), ("n", pa.int64()), ("hashes", pa.binary())])
+ANSWERED_ARROW = pa.schema([("bag", pa.int64()), ("shard", pa.int64()), ("costs", pa.binary())])
 FOUND_ARROW = pa.schema([("model", pa.string()), ("kind", pa.int32()), ("part", pa.string()), ("value", pa.float64())])
 
 
@@ -163,48 +168,78 @@ def counted_pairs(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (pair // len(distinct)).astype(np.int32), distinct[pair % len(distinct)], counts.astype(np.int32)
 
 
+class GramKeys:
+    """Numbers for the n-grams of some texts, in the order of their characters; made slice by slice."""
+
+    def __init__(self, texts: list[str], order: int) -> None:
+        self.texts, self.order = texts, order
+        self.seen = np.zeros(0, np.uint32)
+        for _, part in slices(texts, SLICE):
+            self.seen = np.union1d(self.seen, text_codes(part, order))
+        # digits that fit one number; with many different characters both halves of a window get names
+        self.half = next(h for h in range(order, 0, -1) if len(self.seen) ** h < 1 << 62)
+        if self.half < order:
+            names = ([], [])
+            for _, part in slices(texts, SLICE):
+                for of, n in zip(names, (self.half, order - self.half), strict=True):
+                    of.append(np.unique(gram_numbers(text_codes(part, order), n, self.seen)))
+            self.heads, self.tails = (np.unique(np.concatenate(of)) for of in names)
+
+    def of_slices(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Per slice: texts before it, the number of windows of each of its texts, and the windows' numbers."""
+        order, half = self.order, self.half
+        for before, part in slices(self.texts, SLICE):
+            codes = text_codes(part, order)
+            lengths = np.fromiter(map(len, part), np.int64, len(part)) + 1
+            if half == order:
+                key = gram_numbers(codes, order, self.seen)
+            else:
+                tail = np.searchsorted(self.tails, gram_numbers(codes[half:], order - half, self.seen))
+                key = np.searchsorted(self.heads, gram_numbers(codes, half, self.seen)[:len(tail)]) * len(self.tails) + tail
+            inner = np.ones(len(key), bool)  # windows that cross from one text into the next do not count
+            stops = np.cumsum(lengths + order - 1)
+            for k in range(1, order):
+                inner[stops[:-1] - k] = False
+            yield before, lengths, key[inner]
+
+    def spelled(self, distinct: np.ndarray) -> list[str]:
+        digits = np.empty((len(distinct), self.order), np.int64)
+        sides = [(distinct, 0, self.order)] if self.half == self.order else [
+            (self.heads[distinct // len(self.tails)], 0, self.half), (self.tails[distinct % len(self.tails)], self.half, self.order)]
+        for rest, start, stop in sides:
+            for k in range(stop - 1, start - 1, -1):
+                digits[:, k] = rest % len(self.seen)
+                rest = rest // len(self.seen)
+        return np.ascontiguousarray(self.seen[digits]).view(f"<U{self.order}").ravel().tolist()
+
+
 def bag_counts(texts: list[str], order: int = ORDER) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """The distinct n-grams of some texts; of each (document, n-gram) pair the two indexes and the count, sorted.
 
     Texts are counted slice by slice: only their pairs are held for a whole bag, in twelve bytes each.
     """
-    seen = np.zeros(0, np.uint32)
-    for _, part in slices(texts, SLICE):
-        seen = np.union1d(seen, text_codes(part, order))
-    half = next(h for h in range(order, 0, -1) if len(seen) ** h < 1 << 62)  # digits that fit one number
-    if half < order:  # many different characters: both halves of a window get names
-        names = ([], [])
-        for _, part in slices(texts, SLICE):
-            for of, n in zip(names, (half, order - half), strict=True):
-                of.append(np.unique(gram_numbers(text_codes(part, order), n, seen)))
-        heads, tails = (np.unique(np.concatenate(of)) for of in names)
-    found = []
-    for before, part in slices(texts, SLICE):
-        codes = text_codes(part, order)
-        lengths = np.fromiter(map(len, part), np.int64, len(part)) + 1
-        if half == order:
-            key = gram_numbers(codes, order, seen)
-        else:
-            tail = np.searchsorted(tails, gram_numbers(codes[half:], order - half, seen))
-            key = np.searchsorted(heads, gram_numbers(codes, half, seen)[:len(tail)]) * len(tails) + tail
-        inner = np.ones(len(key), bool)  # windows that cross from one text into the next do not count
-        stops = np.cumsum(lengths + order - 1)
-        for k in range(1, order):
-            inner[stops[:-1] - k] = False
-        doc, mine, counts = counted_pairs(np.repeat(np.arange(len(part)), lengths), key[inner])
+    keys, found = GramKeys(texts, order), []
+    for before, lengths, key in keys.of_slices():
+        doc, mine, counts = counted_pairs(np.repeat(np.arange(len(lengths)), lengths), key)
         found.append([doc + np.int32(before), mine, counts])
     distinct = np.unique(np.concatenate([np.unique(mine) for _, mine, _ in found]))
     for row in found:
         row[1] = np.searchsorted(distinct, row[1]).astype(np.int32)
-    digits = np.empty((len(distinct), order), np.int64)
-    sides = [(distinct, 0, order)] if half == order else [
-        (heads[distinct // len(tails)], 0, half), (tails[distinct % len(tails)], half, order)]
-    for rest, start, stop in sides:
-        for k in range(stop - 1, start - 1, -1):
-            digits[:, k] = rest % len(seen)
-            rest = rest // len(seen)
-    grams = np.ascontiguousarray(seen[digits]).view(f"<U{order}").ravel().tolist()
-    return grams, *(np.concatenate(c) for c in zip(*found, strict=True))
+    return keys.spelled(distinct), *(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def bag_grams(texts: list[str], learned: np.ndarray, order: int = ORDER) -> tuple[list[str], np.ndarray]:
+    """The distinct n-grams of some texts, and how often each comes in the ``learned`` ones."""
+    keys, found = GramKeys(texts, order), []
+    for before, lengths, key in keys.of_slices():
+        key <<= 1
+        key |= np.repeat(learned[before:before + len(lengths)], lengths)
+        key.sort()
+        first = runs(key >> 1)
+        found.append((key[first] >> 1, np.add.reduceat(key & 1, first)))
+    distinct, at = np.unique(np.concatenate([mine for mine, _ in found]), return_inverse=True)
+    counts = np.concatenate([n for _, n in found])
+    return keys.spelled(distinct), np.bincount(at, counts, len(distinct)).astype(np.int64)
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -219,16 +254,12 @@ def unplanes(data: bytes) -> np.ndarray:
 def fill_bag(bag: int, lang: str | None, fold: int, rows: list[tuple]) -> pa.RecordBatch:
     ids, texts, numbers, failed = zip(*rows, strict=True)
     filled = [i for i, t in enumerate(texts) if t]
-    grams, packed, trained = [], [], np.zeros(0, np.int64)
+    grams, trained = [], np.zeros(0, np.int64)
     if filled:
-        grams, doc, gram, counts = bag_counts([texts[i] for i in filled])
-        doc = np.array(filled, np.int32)[doc]
-        trained = np.bincount(gram, counts * ~np.array(failed, bool)[doc], len(grams)).astype(np.int64)
-        packed = pack_pairs(doc, gram, counts, trained, len(ids))
-    return record_batch(BAG_ARROW, [bag], [model_name(lang, fold)], [model_name(lang, 1 - fold)], [grams], [trained],
-                        [[g[-2] == " " for g in grams]], [ids],
+        grams, trained = bag_grams([texts[i] for i in filled], ~np.array(failed, bool)[filled])
+    return record_batch(BAG_ARROW, [bag], [model_name(lang, fold)], [grams], [trained], [ids],
                         *([list(c)] for c in zip(*numbers, strict=True)), [failed],
-                        [[len(t) + 1 if t else 0 for t in texts]], [packed])
+                        [zstandard.ZstdCompressor(level=3).compress("\n".join(texts).encode())])  # joined words hold no \n
 
 
 def by_use(trained: np.ndarray) -> np.ndarray:
@@ -317,9 +348,10 @@ def discounts(level: DataFrame) -> DataFrame:
 
 def count_grams(bags: DataFrame) -> DataFrame:
     """(model, teaches, part, n): the distinct n-grams that each model is asked for, and how often they teach the other one."""
-    pairs = bags.select("model", "teaches", F.explode(F.arrays_zip("grams", "trained")).alias("x"))
-    return written(pairs.groupBy("model", "teaches", F.col("x.grams").alias("part")).agg(
-        F.sum("x.trained").alias("n")), "grams")
+    pairs = bags.select("model", F.explode(F.arrays_zip("grams", "trained")).alias("x"))
+    other = F.concat(F.translate(F.substring("model", 1, 1), "01", "10"), F.expr("substring(model, 2)"))
+    counted = pairs.groupBy("model", F.col("x.grams").alias("part")).agg(F.sum("x.trained").alias("n"))
+    return written(counted.withColumn("teaches", other), "grams")
 
 
 def train(counted: DataFrame, order: int = ORDER) -> tuple[DataFrame, list[DataFrame]]:
@@ -431,22 +463,73 @@ def gram_values(counted: DataFrame, order: int = ORDER) -> DataFrame:
 
 # Judging
 
+def gram_hashes(model: str, grams: list[str]) -> np.ndarray:
+    """What ``F.xxhash64("model", "part")`` gives, unsigned."""
+    seed = xxhash.xxh64_intdigest(model.encode(), 42)
+    return np.fromiter((xxhash.xxh64_intdigest(g.encode(), seed) for g in grams), np.uint64, len(grams))
+
+
+def ask_ranges(bags: DataFrame, bits: int) -> DataFrame:
+    """(shard, bag, n, hashes): what a bag asks of a hash range, its n-grams' hashes in order; packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
+                h = np.sort(gram_hashes(row["model"], row["grams"]))
+                shard = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+                edges = np.r_[runs(shard), len(h)].tolist()
+                steps = np.diff(h, prepend=np.uint64(0))  # the first of a range is reached from zero
+                steps[edges[:-1]] = h[edges[:-1]]
+                pairs = list(zip(edges[:-1], edges[1:], strict=True))
+                yield record_batch(WANTED_ARROW, shard[edges[:-1]], [row["bag"]] * len(pairs), [b - a for a, b in pairs],
+                                   [press.compress(planes(steps[a:b])) for a, b in pairs])
+
+    return bags.select("bag", "model", "grams").where("size(grams) > 0").mapInArrow(run, "shard long, bag long, n long, hashes binary")
+
+
+def answer_ranges(wanted: DataFrame, values: DataFrame, bits: int) -> DataFrame:
+    """(bag, shard, costs): the values of the n-grams in the order they were asked for, four bytes each; packed."""
+
+    def run(asked: pa.Table, known: pa.Table) -> pa.Table:
+        press, open_ = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        h = known["h"].to_numpy().view(np.uint64)
+        order = np.argsort(h)
+        h, costs = h[order], known["cost"].to_numpy()[order].astype("<u4")
+        out = []
+        for shard, bag, data in zip(*(asked[c].to_pylist() for c in ("shard", "bag", "hashes")), strict=True):
+            mine = np.cumsum(unplanes(open_.decompress(data)).view(np.uint64), dtype=np.uint64)
+            at = np.searchsorted(h, mine)
+            if not len(h) or at[-1] == len(h) or (h[at] != mine).any():
+                raise ValueError("an n-gram has no value")
+            out.append((bag, shard, press.compress(np.ascontiguousarray(costs[at].view(np.uint8).reshape(-1, 4).T).tobytes())))
+        return pa.Table.from_batches([record_batch(ANSWERED_ARROW, *map(list, zip(*out, strict=True)))] if out else [], ANSWERED_ARROW)
+
+    known = values.select(shard_of(F.col("h"), bits).alias("shard"), "h", "cost")
+    return wanted.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(run, "bag long, shard long, costs binary")
+
+
 def finish_bag(row: dict) -> pa.RecordBatch:
     """The documents of a bag whose n-grams have their values."""
-    n = len(row["ids"])
+    n, open_ = len(row["ids"]), zstandard.ZstdDecompressor()
+    texts = open_.decompress(row["texts"]).decode().split("\n")
     sums, joint_sums, joints = np.zeros(n), np.zeros(n), np.zeros(n)
-    if row["packed"]:
-        answers = np.array(row["answers"], np.int64)
-        costs = np.zeros(len(answers), np.int64)
-        costs[answers >> 32] = answers & 0xFFFFFFFF
-        at_joints = np.array(row["joints"])
-        for doc, gram, counts in unpack_pairs(row["packed"], np.array(row["trained"], np.int64), n):
-            total, at_joint = counts * costs[gram], at_joints[gram]
-            sums += np.bincount(doc, total, n)
-            joint_sums += np.bincount(doc, total * at_joint, n)
-            joints += np.bincount(doc, counts * at_joint, n)
+    filled = np.array([i for i, t in enumerate(texts) if t], np.int64)
+    if len(filled):
+        grams, doc, gram, counts = bag_counts([texts[i] for i in filled])
+        doc = filled[doc]
+        packed = [open_.decompress(x["costs"]) for x in sorted(row["answers"], key=lambda x: x["shard"])]
+        costs = np.empty(len(grams), np.int64)
+        costs[np.argsort(gram_hashes(row["model"], grams))] = np.concatenate([
+            np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view("<u4").ravel() for x in packed])
+        at_joints = np.array([g[-2] == " " for g in grams])
+        total, at_joint = counts * costs[gram], at_joints[gram]
+        sums = np.bincount(doc, total, n)
+        joint_sums = np.bincount(doc, total * at_joint, n)
+        joints = np.bincount(doc, counts * at_joint, n)
+    symbols = [len(t) + 1 if t else 0 for t in texts]
     means = ([float(x) / STEP / k if k else None for x, k in zip(*pairs, strict=True)]
-             for pairs in ((sums, row["symbols"]), (joint_sums, joints)))
+             for pairs in ((sums, symbols), (joint_sums, joints)))
     return record_batch(BASE_ARROW, row["ids"], *(row[c] for c in COUNTS), row["base_failed"], [row["model"]] * n, *means)
 
 
@@ -458,17 +541,27 @@ def measure(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
             for k in range(batch.num_rows):
                 yield finish_bag(batch.slice(k, 1).to_pylist()[0])
 
-    bags = written(bag_documents(docs, key, text, lang), "bags")
+    bags = written(bag_documents(docs, key, text, lang), "bags", compression="zstd")
     counted = count_grams(bags)
     values = gram_values(counted)
     drop_written(counted)
-    wanted = bags.select("bag", "model", F.posexplode("grams").alias("at", "part")).select(
-        F.xxhash64("model", "part").alias("h"), "bag", "at")
-    # index and cost in one number; a cost stays under 2 ** 32: no weight is under 0.1 / 2 ** 63
-    answers = wanted.join(values, "h").groupBy("bag").agg(
-        F.collect_list(F.shiftleft(F.col("at").cast("long"), 32) + F.col("cost")).alias("answers"))
-    rest = bags.select("bag", "model", "trained", "joints", "ids", *COUNTS, "base_failed", "symbols", "packed")
-    return rest.join(answers, "bag", "left").mapInArrow(finish, BASE)
+    drop_finished_shuffles(docs.sparkSession, at_once=True)
+    asked = bags.agg(F.sum(F.size("grams")).alias("n")).head().n or 0
+    bits = max(0, (values.count() // SHARD).bit_length(), (asked // ASKED).bit_length())
+    answers = written(answer_ranges(ask_ranges(bags, bits), values, bits), "answers")
+    drop_written(values)
+    drop_finished_shuffles(docs.sparkSession, at_once=True)
+    out = None
+    for k in range(ROUNDS):
+        rest, lists = (t.where(F.pmod(F.xxhash64("bag"), F.lit(ROUNDS)) == k) for t in (bags, answers))
+        lists = lists.groupBy("bag").agg(F.collect_list(F.struct("shard", "costs")).alias("answers"))
+        rest = rest.select("bag", "model", "ids", *COUNTS, "base_failed", "texts").join(lists, "bag", "left")
+        part = written(rest.mapInArrow(finish, BASE), "finished")
+        drop_finished_shuffles(docs.sparkSession, at_once=True)
+        out = part if out is None else out.unionByName(part)
+    drop_written(bags)
+    drop_written(answers)
+    return out
 
 
 def bands(measured: DataFrame, width: float = WIDTH, joint_width: float = JOINT_WIDTH) -> DataFrame:

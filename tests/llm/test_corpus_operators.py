@@ -225,6 +225,37 @@ def test_bags_are_counted_in_slices(monkeypatch):
     assert peak < 25 * sum(map(len, texts))  # 47 bytes a character where a bag was counted at once
 
 
+def test_bags_take_less_than_their_texts():
+    """A bag holds its words compressed and each n-gram once, no (document, n-gram) pairs; n-grams are those of ``bag_counts``."""
+    draw = random.Random(4)
+    words = ["".join(draw.choice("abcdefgh") for _ in range(draw.randrange(2, 8))) for _ in range(2000)]
+    rows = [(k, " ".join(draw.choices(words, k=300)), (300, 0, 0, 0, 0), k % 3 == 0) for k in range(400)] + [(None, "", (0, 0, 0, 0, 0), True)]
+    bag = perplexity.fill_bag(7, "xx", 1, rows).to_pylist()[0]
+    texts = [t for _, t, _, _ in rows if t]
+    grams, doc, gram, counts = perplexity.bag_counts(texts)
+    assert bag["grams"] == grams
+    assert bag["trained"] == np.bincount(gram, counts * (doc % 3 != 0), len(grams)).tolist()
+    packed = sum(len(x) for v in bag.values() for x in (v if isinstance(v, list) else [v]) if isinstance(x, bytes))
+    assert packed < 0.5 * sum(map(len, texts))  # 0.54 with pairs
+
+
+def test_bags_ask_each_range_once(spark):
+    """One packed row per bag and hash range goes out and comes back, not one per n-gram; values are Spark's for the same hashes."""
+    rows = [(k, f"some words of bag {k} and more of them", (9, 0, 0, 0, 0), False) for k in range(50)]
+    bags = spark.createDataFrame([perplexity.fill_bag(b, lang, 0, rows).to_pylist()[0] for b, lang in ((1, "xx"), (2, None))], perplexity.BAG)
+    parts = bags.select("model", F.explode("grams").alias("part"))
+    values = parts.select(F.xxhash64("model", "part").alias("h"), (F.crc32("part") % 1000).alias("cost"))
+    wanted = perplexity.ask_ranges(bags, 3)
+    assert wanted.count() <= 2 * 8 < parts.count() and wanted.agg(F.sum("n")).head()[0] == parts.count()
+    got = perplexity.answer_ranges(wanted, values, 3).orderBy("bag", "shard").collect()
+    import zlib
+    for bag in bags.collect():
+        order = np.argsort(perplexity.gram_hashes(bag.model, bag.grams))
+        want = [zlib.crc32(bag.grams[k].encode()) % 1000 for k in order]
+        mine = [np.frombuffer(perplexity.zstandard.ZstdDecompressor().decompress(r.costs), np.uint8).reshape(4, -1).T for r in got if r.bag == bag.bag]
+        assert np.ascontiguousarray(np.concatenate(mine)).view("<u4").ravel().tolist() == want
+
+
 # Line dedup
 
 def slow_lines(rows, m):
