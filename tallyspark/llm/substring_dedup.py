@@ -33,14 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import WordHashes, chunks, id_and_bytes, record_batch, runs, words_of, written
+from tallyspark.functions.rows import drop_written
+from tallyspark.llm.common import WordHashes, chunks, id_and_bytes, record_batch, words_of, written
 
 WINDOW = 20
 ANCHOR = 6
 SHIFT = 8  # a span is start << SHIFT | further windows
 
 PHRASES = pa.schema([("anchor", pa.int64()), ("phrase", pa.int64()), ("doc_id", pa.int64()), ("span", pa.int64())])
-COUNTS = pa.schema([("anchor", pa.int64()), ("n", pa.int64())])
 WINDOWS = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64())])
 DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()),
                      ("kept_sha256", pa.string())])
@@ -77,6 +77,12 @@ class Rolling:
         raw = (self.sums[stops] - self.sums[starts]) * self.down[starts]
         return mixed(raw + (stops - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
 
+    def of_all(self, length: int) -> np.ndarray:
+        """Hashes of all runs of ``length`` words, without gathering places."""
+        n = len(self.sums) - length
+        raw = (self.sums[length:] - self.sums[:n]) * self.down[:n]
+        return mixed(raw + np.uint64(length * 0xA0761D6478BD642F & (1 << 64) - 1))
+
 
 def least_in_span(values: np.ndarray, span: int) -> np.ndarray:
     """Index of the leftmost least value of ``values[i:i + span]`` for each i."""
@@ -84,8 +90,9 @@ def least_in_span(values: np.ndarray, span: int) -> np.ndarray:
     have = 1
     while have < span:
         step = min(have, span - have)
-        a, b = at[:-step], at[step:]
-        at = np.where(values[b] < values[a], b, a)
+        less = values[step:] < values[:-step]
+        at = np.where(less, at[step:], at[:-step])
+        values = np.where(less, values[step:], values[:-step])
         have += step
     return at
 
@@ -104,39 +111,32 @@ class Parsed:
         self.rolling = [Rolling(flat, base) for base in BASES]
         self.total = total
 
-    def phrases(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Per phrase: row of its document, anchor hash, phrase hash, first window, further windows."""
-        last = self.total - WINDOW
-        if last < 0:
-            return (np.zeros(0, np.int64),) * 5
-        at = np.arange(self.total - ANCHOR + 1)
-        grams = self.rolling[0].of(at, at + ANCHOR)
+    def anchored(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Per phrase: row of its document, anchor hash, places of its first and its last window."""
+        if self.total < WINDOW:
+            return (np.zeros(0, np.int64),) * 4
+        grams = self.rolling[0].of_all(ANCHOR)
         anchors = least_in_span(grams, WINDOW - ANCHOR + 1)
         per_doc = np.maximum(self.lengths - WINDOW + 1, 0)
         doc = np.repeat(np.arange(len(per_doc)), per_doc)
         start = np.arange(len(doc)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc) + self.firsts[doc]
         own = anchors[start]
         if not len(own):
-            return (np.zeros(0, np.int64),) * 5
+            return (np.zeros(0, np.int64),) * 4
         begin = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (doc[1:] != doc[:-1])])
         end = np.r_[begin[1:], len(own)] - 1
-        s0, s1 = start[begin], start[end]
-        return doc[begin], grams[own[begin]], self.rolling[1].of(s0, s1 + WINDOW), s0 - self.firsts[doc[begin]], s1 - s0
+        return doc[begin], grams[own[begin]], start[begin], start[end]
+
+    def phrases(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Per phrase: row of its document, anchor hash, phrase hash, first window, further windows."""
+        doc, anchors, s0, s1 = self.anchored()
+        return doc, anchors, self.rolling[1].of(s0, s1 + WINDOW), s0 - self.firsts[doc], s1 - s0
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
-    for _, texts in chunks(batches):
-        _, anchors, _, _, _ = Parsed(texts, hashes).phrases()
-        anchors = np.sort(anchors)
-        first = runs(anchors)
-        yield record_batch(COUNTS, _signed(anchors[first].astype(np.uint64)), np.diff(np.r_[first, len(anchors)]))
-
-
 def list_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for ids, texts in chunks(batches):
@@ -206,10 +206,12 @@ def cut_texts(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Serie
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(id, spans): the word spans of each document that also start earlier; ``docs``: (id, text bytes)."""
     own = docs.where("id is not null")
-    counts = own.mapInArrow(count_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-    shared = written(counts.where("n > 1").select("anchor"), "anchors")
-    phrases = own.mapInArrow(list_phrases, "anchor long, phrase long, doc_id long, span long")
-    phrases = written(phrases.join(shared, "anchor"), "phrases")
+    # texts are parsed once: what that costs is more than a table of all phrases takes
+    parsed = written(own.mapInArrow(list_phrases, "anchor long, phrase long, doc_id long, span long"), "parsed")
+    shared = written(parsed.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
+    phrases = written(parsed.join(shared, "anchor"), "phrases")
+    drop_written(parsed)
+    drop_written(shared)
     firsts = written(phrases.groupBy("anchor", "phrase").agg(
         F.min(F.struct("doc_id", "span")).alias("first")), "first-phrases")
     whole = written(phrases.join(firsts, ["anchor", "phrase"])

@@ -192,6 +192,33 @@ def test_brought_candidates_are_judged(spark):
     assert found == {tuple(sorted((nodes[0], nodes[1])))}  # the short text by its size, the others for want of a partner
 
 
+# Anchors of the substring dedup
+
+def test_texts_are_parsed_once(spark, monkeypatch):
+    """Anchors are counted on the phrases that a single pass wrote; none of its tables stays."""
+    names, keep = [], substring_dedup.written
+    monkeypatch.setattr(substring_dedup, "written", lambda df, name: names.append(name) or keep(df, name))
+    text = " ".join(f"w{k}" for k in range(60))
+    spans = substring_dedup.repeated_spans(substring_dedup.documents(documents(spark, [text, "a " + text, None, "b"]), "doc_id", "text"))
+    assert {r.id for r in spans.collect()} == {1}
+    assert names[:3] == ["parsed", "anchors", "phrases"] and not hasattr(substring_dedup, "count_anchors")
+
+
+def test_anchors():
+    """Runs of one length hash as any others; a phrase's anchor is the least run of its first and its last window, the leftmost of equals."""
+    draw = random.Random(8)
+    texts = [" ".join(draw.choices("abcd", k=draw.randrange(60))).encode() for _ in range(30)] + [None, b"", b"a " * 300]
+    parsed = substring_dedup.Parsed(texts, substring_dedup.WordHashes())
+    doc, anchors, first, last = parsed.anchored()
+    at = np.arange(parsed.total - 5)
+    grams = parsed.rolling[0].of(at, at + 6)
+    assert (parsed.rolling[0].of_all(6) == grams).all()
+    assert anchors.tolist() == [int(min(grams[k:k + 15])) for k in first] == [int(min(grams[k:k + 15])) for k in last]
+    values = np.array(draw.choices(range(5), k=200), np.uint64)
+    assert substring_dedup.least_in_span(values, 15).tolist() == [k + int(np.argmin(values[k:k + 15])) for k in range(186)]
+    assert [len(x) for x in substring_dedup.Parsed([b"a b"], substring_dedup.WordHashes()).phrases()] == [0] * 5
+
+
 # Bags of the quality rules
 
 def test_bags_are_counted_in_slices(monkeypatch):
