@@ -147,16 +147,17 @@ def merge_advice(classified: DataFrame, answers: DataFrame, key: str = "invoice_
     raw_type = F.lower(F.coalesce(variant_text(cell), F.lit("")))
     cat = F.try_variant_get(v, "$.category", "variant")
     rationale = F.try_variant_get(v, "$.rationale", "variant")
-    parsed = F.try_parse_json(strip_fences(F.col("json")))
-    read = answers.select(key, "error_class", parsed.alias("_v")).select(
-        key, F.col("error_class").alias("_err"), raw_type.alias("_t"),
+    asked = needs_advice()
+    df = classified.join(answers.select(key, F.col("error_class").alias("_err"), F.col("json").alias("_json")), key, "left")
+    # only answers that may be used are parsed; pinned, as each column below reads the parsed one
+    parsed = F.when(asked & F.col("_err").isNull(), F.try_parse_json(strip_fences(F.col("_json"))))
+    df = once(df.withColumn("_v", parsed).drop("_json"), "_v").select(
+        "*", raw_type.alias("_t"),
         advisory_number(v, "$.document_type_confidence").alias("_tc"),
         advisory_number(v, "$.category_confidence").alias("_cc"),
         F.when(token_type(cat) != "VOID", variant_text(cat)).alias("_cat"),
         F.coalesce(non_empty(strip(variant_text(rationale))),
-                   F.lit(K.ADJUDICATION_RATIONALE)).alias("_r"))
-    df = classified.join(read, key, "left")
-    asked = needs_advice()
+                   F.lit(K.ADJUDICATION_RATIONALE)).alias("_r")).drop("_v")
     usable = F.coalesce(asked & F.col("_err").isNull() & F.col("_t").isin(*K.DOCUMENT_TYPES)
                         & F.col("_tc").isNotNull() & F.col("_cc").isNotNull(), F.lit(False))
     names = F.array(*[F.lit(n) for n in categories])
