@@ -28,7 +28,7 @@ documents have equal perplexities and stay. No rows: no rows. U+0000 counts as U
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import count
 
 import numpy as np
@@ -54,7 +54,9 @@ STEP = 1 << 24  # parts of a nat in which log-probabilities are added up, so tha
 BAG_BYTES = 2 * CHUNK_BYTES  # text of a bag
 HELD_BYTES = 6 * CHUNK_BYTES  # text that waits in a task for its bag
 SLICE = 1 << 20  # characters that are counted at once
+TABLE = 1 << 24  # numbers below this are ranked by a table
 PART = 1 << 18  # pairs that are compressed and read at once
+FILES = 4  # files of bags whose n-grams are summed in one task
 ROUNDS = 4  # bags are finished in so many parts: only one part's texts lie on disk twice
 ASKED = 1 << 22  # n-grams that all bags together may ask of one hash range
 
@@ -157,15 +159,50 @@ def gram_numbers(codes: np.ndarray, n: int, seen: np.ndarray) -> np.ndarray:
     return key
 
 
-def counted_pairs(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct (document, key) pairs in order, and how often each comes."""
-    distinct, number = np.unique(key, return_inverse=True)
-    pair = doc * len(distinct) + number
+def ranks(key: np.ndarray, size: int) -> tuple[np.ndarray, int]:
+    """The place of every number (all are below ``size``) among the distinct ones in order, and how many those are; unsorted where a table fits."""
+    if size > TABLE:
+        distinct, rank = np.unique(key, return_inverse=True)
+        return rank, len(distinct)
+    there = np.zeros(size, bool)
+    there[key] = True
+    there = np.flatnonzero(there)
+    table = np.empty(size, np.int32)
+    table[there] = np.arange(len(there), dtype=np.int32)
+    return table.take(key), len(there)
+
+
+def window_ranks(codes: np.ndarray, n: int, seen: np.ndarray, inner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rank of every window of ``n`` codes that counts (``inner``) among their distinct ones, and where one of each starts.
+
+    Windows are ranked length by length: the rank of a window and the code behind it make the number of the next longer one.
+    """
+    digits = np.zeros(int(seen[-1]) + 1, np.int32)
+    digits[seen] = np.arange(len(seen))
+    digits = digits[codes]
+    rank, distinct = digits[:len(codes) - n + 1], len(seen)
+    for k in range(1, n):
+        distinct *= len(seen)
+        rank = rank.astype(np.int64)
+        rank *= len(seen)
+        rank += digits[k:len(codes) - n + 1 + k]
+        if k == n - 1:
+            rank, distinct = ranks(rank if inner.all() else rank[inner], distinct)
+        elif distinct * len(seen) > TABLE >> 4:  # short windows are numbers that are small enough
+            rank, distinct = ranks(rank, distinct)
+    starts = np.empty(distinct, np.int64)
+    starts[rank] = np.flatnonzero(inner)
+    return rank, starts
+
+
+def counted_pairs(doc: np.ndarray, number: np.ndarray, distinct: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (document, number) pairs in order, and how often each comes."""
+    pair = doc * distinct + number
     pair.sort()
     first = runs(pair)
     counts = np.diff(np.r_[first, len(pair)])
     pair = pair[first]
-    return (pair // len(distinct)).astype(np.int32), distinct[pair % len(distinct)], counts.astype(np.int32)
+    return (pair // distinct).astype(np.int32), pair % distinct, counts.astype(np.int32)
 
 
 class GramKeys:
@@ -173,9 +210,10 @@ class GramKeys:
 
     def __init__(self, texts: list[str], order: int) -> None:
         self.texts, self.order = texts, order
-        self.seen = np.zeros(0, np.uint32)
+        there = np.zeros(0x110000, bool)
         for _, part in slices(texts, SLICE):
-            self.seen = np.union1d(self.seen, text_codes(part, order))
+            there[text_codes(part, order)] = True
+        self.seen = np.flatnonzero(there).astype(np.uint32)
         # digits that fit one number; with many different characters both halves of a window get names
         self.half = next(h for h in range(order, 0, -1) if len(self.seen) ** h < 1 << 62)
         if self.half < order:
@@ -185,22 +223,26 @@ class GramKeys:
                     of.append(np.unique(gram_numbers(text_codes(part, order), n, self.seen)))
             self.heads, self.tails = (np.unique(np.concatenate(of)) for of in names)
 
-    def of_slices(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Per slice: texts before it, the number of windows of each of its texts, and the windows' numbers."""
-        order, half = self.order, self.half
+    def numbers(self, codes: np.ndarray) -> np.ndarray:
+        """The number of every window."""
+        if self.half == self.order:
+            return gram_numbers(codes, self.order, self.seen)
+        tail = np.searchsorted(self.tails, gram_numbers(codes[self.half:], self.order - self.half, self.seen))
+        return np.searchsorted(self.heads, gram_numbers(codes, self.half, self.seen)[:len(tail)]) * len(self.tails) + tail
+
+    def of_slices(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per slice: texts before it, the number of windows of each of its texts, their distinct numbers in order, and the rank of each window."""
+        order = self.order
         for before, part in slices(self.texts, SLICE):
             codes = text_codes(part, order)
             lengths = np.fromiter(map(len, part), np.int64, len(part)) + 1
-            if half == order:
-                key = gram_numbers(codes, order, self.seen)
-            else:
-                tail = np.searchsorted(self.tails, gram_numbers(codes[half:], order - half, self.seen))
-                key = np.searchsorted(self.heads, gram_numbers(codes, half, self.seen)[:len(tail)]) * len(self.tails) + tail
-            inner = np.ones(len(key), bool)  # windows that cross from one text into the next do not count
+            inner = np.ones(len(codes) - order + 1, bool)  # windows that cross from one text into the next do not count
             stops = np.cumsum(lengths + order - 1)
             for k in range(1, order):
                 inner[stops[:-1] - k] = False
-            yield before, lengths, key[inner]
+            rank, starts = window_ranks(codes, order, self.seen, inner)
+            one_each = codes[starts[:, None] + np.arange(order)].ravel()
+            yield before, lengths, self.numbers(one_each)[::order], rank
 
     def spelled(self, distinct: np.ndarray) -> list[str]:
         digits = np.empty((len(distinct), self.order), np.int64)
@@ -219,9 +261,9 @@ def bag_counts(texts: list[str], order: int = ORDER) -> tuple[list[str], np.ndar
     Texts are counted slice by slice: only their pairs are held for a whole bag, in twelve bytes each.
     """
     keys, found = GramKeys(texts, order), []
-    for before, lengths, key in keys.of_slices():
-        doc, mine, counts = counted_pairs(np.repeat(np.arange(len(lengths)), lengths), key)
-        found.append([doc + np.int32(before), mine, counts])
+    for before, lengths, mine, rank in keys.of_slices():
+        doc, number, counts = counted_pairs(np.repeat(np.arange(len(lengths)), lengths), rank, len(mine))
+        found.append([doc + np.int32(before), mine[number], counts])
     distinct = np.unique(np.concatenate([np.unique(mine) for _, mine, _ in found]))
     for row in found:
         row[1] = np.searchsorted(distinct, row[1]).astype(np.int32)
@@ -231,17 +273,27 @@ def bag_counts(texts: list[str], order: int = ORDER) -> tuple[list[str], np.ndar
 def bag_grams(texts: list[str], learned: np.ndarray, order: int = ORDER) -> tuple[list[str], np.ndarray]:
     """The distinct n-grams of some texts, and how often each comes in the ``learned`` ones."""
     keys, found = GramKeys(texts, order), []
-    for before, lengths, key in keys.of_slices():
-        key <<= 1
-        key |= np.repeat(learned[before:before + len(lengths)], lengths)
-        key.sort()
-        first = runs(key >> 1)
-        found.append((key[first] >> 1, np.add.reduceat(key & 1, first)))
+    for before, lengths, mine, rank in keys.of_slices():
+        found.append((mine, np.bincount(rank[np.repeat(learned[before:before + len(lengths)], lengths)], minlength=len(mine))))
     distinct, at = np.unique(np.concatenate([mine for mine, _ in found]), return_inverse=True)
     counts = np.concatenate([n for _, n in found])
     return keys.spelled(distinct), np.bincount(at, counts, len(distinct)).astype(np.int64)
 
 
+def bag_sums(texts: list[str], costs_of: Callable[[list[str]], np.ndarray], order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per text the sum of its n-grams' costs, that of its joints alone, and the number of these; ``costs_of`` gives the distinct ones'."""
+    keys = GramKeys(texts, order)
+    slices_ = [(lengths, mine, rank.astype(np.int32)) for _, lengths, mine, rank in keys.of_slices()]
+    distinct = np.unique(np.concatenate([mine for _, mine, _ in slices_]))
+    grams = keys.spelled(distinct)
+    costs, joint = costs_of(grams), np.array([g[-2] == " " for g in grams])
+    out = []
+    for lengths, mine, rank in slices_:
+        at, starts = np.searchsorted(distinct, mine), np.cumsum(lengths) - lengths
+        out.append([np.add.reduceat(x[at][rank], starts) for x in (costs, np.where(joint, costs, 0), joint.astype(np.int64))])
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def planes(values: np.ndarray) -> bytes:
     """Whole numbers byte plane by byte plane: small ones compress well."""
     return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
@@ -259,7 +311,7 @@ def fill_bag(bag: int, lang: str | None, fold: int, rows: list[tuple]) -> pa.Rec
         grams, trained = bag_grams([texts[i] for i in filled], ~np.array(failed, bool)[filled])
     return record_batch(BAG_ARROW, [bag], [model_name(lang, fold)], [grams], [trained], [ids],
                         *([list(c)] for c in zip(*numbers, strict=True)), [failed],
-                        [zstandard.ZstdCompressor(level=3).compress("\n".join(texts).encode())])  # joined words hold no \n
+                        [zstandard.ZstdCompressor(level=6).compress("\n".join(texts).encode())])  # joined words hold no \n
 
 
 def by_use(trained: np.ndarray) -> np.ndarray:
@@ -348,7 +400,9 @@ def discounts(level: DataFrame) -> DataFrame:
 
 def count_grams(bags: DataFrame) -> DataFrame:
     """(model, teaches, part, n): the distinct n-grams that each model is asked for, and how often they teach the other one."""
-    pairs = bags.select("model", F.explode(F.arrays_zip("grams", "trained")).alias("x"))
+    # a task sums several files' bags, which share most n-grams, before it deals them out
+    tasks = max(bags.sparkSession.sparkContext.defaultParallelism, len(bags.inputFiles()) // FILES)
+    pairs = bags.select("model", "grams", "trained").coalesce(tasks).select("model", F.explode(F.arrays_zip("grams", "trained")).alias("x"))
     other = F.concat(F.translate(F.substring("model", 1, 1), "01", "10"), F.expr("substring(model, 2)"))
     counted = pairs.groupBy("model", F.col("x.grams").alias("part")).agg(F.sum("x.trained").alias("n"))
     return written(counted.withColumn("teaches", other), "grams")
@@ -440,6 +494,7 @@ def back_off(new: DataFrame, k: int, look_up) -> DataFrame:
 
 def gram_values(counted: DataFrame, order: int = ORDER) -> DataFrame:
     """(h, cost): hash of each distinct n-gram asked for, and its log-probability by the model's hash arrays in ``-1 / STEP``."""
+    drop_finished_shuffles(counted.sparkSession, at_once=True)
     entries, behind = train(counted, order)
     size = max(counted.count(), entries.count())
     bits = max(0, (size // SHARD).bit_length())
@@ -449,6 +504,7 @@ def gram_values(counted: DataFrame, order: int = ORDER) -> DataFrame:
     used = [arrays]
 
     def look_up(asked: DataFrame) -> DataFrame:
+        drop_finished_shuffles(asked.sparkSession, at_once=True)  # those of the step before are as large as this one's
         used.append(written(find(asked, arrays, bits), "found"))
         return used[-1]
 
@@ -475,17 +531,18 @@ def ask_ranges(bags: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
-                h = np.sort(gram_hashes(row["model"], row["grams"]))
+            for bag, hashes in zip(batch["bag"].to_pylist(), batch["hashes"], strict=True):
+                h = np.sort(hashes.values.to_numpy().view(np.uint64))
                 shard = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
                 edges = np.r_[runs(shard), len(h)].tolist()
                 steps = np.diff(h, prepend=np.uint64(0))  # the first of a range is reached from zero
                 steps[edges[:-1]] = h[edges[:-1]]
                 pairs = list(zip(edges[:-1], edges[1:], strict=True))
-                yield record_batch(WANTED_ARROW, shard[edges[:-1]], [row["bag"]] * len(pairs), [b - a for a, b in pairs],
+                yield record_batch(WANTED_ARROW, shard[edges[:-1]], [bag] * len(pairs), [b - a for a, b in pairs],
                                    [press.compress(planes(steps[a:b])) for a, b in pairs])
 
-    return bags.select("bag", "model", "grams").where("size(grams) > 0").mapInArrow(run, "shard long, bag long, n long, hashes binary")
+    hashes = F.transform("grams", lambda part: F.xxhash64("model", part)).alias("hashes")
+    return bags.where("size(grams) > 0").select("bag", hashes).mapInArrow(run, "shard long, bag long, n long, hashes binary")
 
 
 def answer_ranges(wanted: DataFrame, values: DataFrame, bits: int) -> DataFrame:
@@ -516,17 +573,15 @@ def finish_bag(row: dict) -> pa.RecordBatch:
     sums, joint_sums, joints = np.zeros(n), np.zeros(n), np.zeros(n)
     filled = np.array([i for i, t in enumerate(texts) if t], np.int64)
     if len(filled):
-        grams, doc, gram, counts = bag_counts([texts[i] for i in filled])
-        doc = filled[doc]
         packed = [open_.decompress(x["costs"]) for x in sorted(row["answers"], key=lambda x: x["shard"])]
-        costs = np.empty(len(grams), np.int64)
-        costs[np.argsort(gram_hashes(row["model"], grams))] = np.concatenate([
-            np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view("<u4").ravel() for x in packed])
-        at_joints = np.array([g[-2] == " " for g in grams])
-        total, at_joint = counts * costs[gram], at_joints[gram]
-        sums = np.bincount(doc, total, n)
-        joint_sums = np.bincount(doc, total * at_joint, n)
-        joints = np.bincount(doc, counts * at_joint, n)
+
+        def costs_of(grams: list[str]) -> np.ndarray:
+            costs = np.empty(len(grams), np.int64)
+            costs[np.argsort(gram_hashes(row["model"], grams))] = np.concatenate([
+                np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view("<u4").ravel() for x in packed])
+            return costs
+
+        sums[filled], joint_sums[filled], joints[filled] = bag_sums([texts[i] for i in filled], costs_of)
     symbols = [len(t) + 1 if t else 0 for t in texts]
     means = ([float(x) / STEP / k if k else None for x, k in zip(*pairs, strict=True)]
              for pairs in ((sums, symbols), (joint_sums, joints)))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -283,6 +284,47 @@ def test_bags_ask_each_range_once(spark):
         assert np.ascontiguousarray(np.concatenate(mine)).view("<u4").ravel().tolist() == want
 
 
+def test_bags_are_finished_without_pairs(monkeypatch):
+    """Sums of costs are those of the (document, n-gram) pairs, whether windows are ranked by tables or sorted (op10)."""
+    draw = random.Random(11)
+    words = ["".join(draw.choice("abc\u00e9\u4e2d\U0001f600\x00") for _ in range(draw.randrange(1, 5))) for _ in range(60)]
+    texts = [" ".join(draw.choices(words, k=draw.randrange(1, 40))) for _ in range(50)] + ["a", "a"]
+    grams, doc, gram, counts = perplexity.bag_counts(texts)
+    cost = np.array([zlib.crc32(g.encode()) % 1000 for g in grams])
+    joint = np.array([g[-2] == " " for g in grams])[gram]
+    want = [np.bincount(doc, x, len(texts)).tolist() for x in (counts * cost[gram], counts * cost[gram] * joint, counts * joint)]
+    for table, size in ((0, 1), (0, 1 << 20), (1 << 24, 40), (1 << 24, 1 << 20), (3000, 100)):
+        monkeypatch.setattr(perplexity, "TABLE", table)
+        monkeypatch.setattr(perplexity, "SLICE", size)
+        again = perplexity.bag_counts(texts)
+        assert again[0] == grams and all((a == b).all() for a, b in zip(again[1:], (doc, gram, counts), strict=True))
+        got = perplexity.bag_sums(texts, lambda g: np.array([zlib.crc32(x.encode()) % 1000 for x in g]))
+        assert [x.tolist() for x in got] == want
+    monkeypatch.setattr(perplexity, "counted_pairs", None)  # no pair is sorted for it
+    perplexity.bag_sums(texts, lambda g: np.ones(len(g), np.int64))
+
+
+def test_grams_of_several_files_are_summed_in_a_task(spark, tmp_path, monkeypatch):
+    """N-grams that the bags of different files share are dealt out once a task, not once a file (op10)."""
+    rows = [(k, f"some words of bag {k % 3}", (9, 0, 0, 0, 0), False) for k in range(10)]
+    bags = [perplexity.fill_bag(b, "xx", b % 2, rows).to_pylist()[0] for b in range(64)]
+    spark.createDataFrame(bags, perplexity.BAG).repartition(64).write.parquet(str(tmp_path / "bags"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        stored = spark.read.schema(perplexity.BAG).parquet(str(tmp_path / "bags"))
+        assert stored.rdd.getNumPartitions() > 32
+        plans = []
+        monkeypatch.setattr(perplexity, "written", lambda df, name: plans.append(df) or df)
+        got = {(r.model, r.part): (r.teaches, r.n) for r in perplexity.count_grams(stored).collect()}
+        assert "Coalesce" in plans[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    one = dict(zip(bags[0]["grams"], bags[0]["trained"], strict=True))
+    assert got == {(f"{f}:xx", g): (f"{1 - f}:xx", 32 * n) for f in (0, 1) for g, n in one.items()}
+
+
 # Line dedup
 
 def slow_lines(rows, m):
