@@ -183,6 +183,27 @@ def test_links_of_operator_4_are_judged_by_the_stage(spark, monkeypatch):
     assert stay == {None, 0, 2, 3, 5}
 
 
+def test_pairs_of_a_large_key_are_judged(spark, monkeypatch):
+    """Twins among many texts of one template share keys with far more others than the first and the last of a key."""
+    import corpus_pipeline
+    draw = random.Random(5)
+    frame = [f"t{k}" for k in range(300)]
+    texts = []
+    for k in range(30):
+        words = list(frame)
+        for at in draw.sample(range(5, 295), 4):
+            words[at] = f"own{k}x{at}"
+        twin = list(words)
+        for at in draw.sample(range(5, 295), 5):
+            twin[at] = f"twin{k}x{at}"
+        texts += [" ".join(words), " ".join(twin)]
+    root = slow_similar(texts)
+    assert len(set(root)) > 10
+    docs = documents(spark, texts).withColumn("source", F.lit("s")).withColumn("n_chars", F.lit(1))
+    monkeypatch.setattr(shingle_dedup, "PART", 8)
+    assert {r.doc_id for r in corpus_pipeline.dedup_near(spark, docs, "").collect()} == set(root)
+
+
 def test_brought_candidates_are_judged(spark):
     base = [f"w{k}" for k in range(60)]
     texts = [" ".join(base), " ".join([*base[:-1], "changed"]), " ".join(base[:30])]
