@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tallyspark.functions import rows
-from tallyspark.operators import citations, word_index
+from tallyspark.operators import citations, duplicates, word_index
 from tallyspark.plans import intake
 from tallyspark.sources import buckets
 
@@ -99,3 +99,29 @@ def test_parts_of_buckets_do_not_meet_in_a_task(spark, tmp_path, monkeypatch):
         assert sum(sizes) == 400 and len(sizes) == parts
     table.update(buckets.child_rows(spark.createDataFrame([(None, "c"), ("i1", "n")], "invoice_id string, id string"), 2), 2)
     assert table.rows().count() == 401 and table.rows().where("id = 'n'").count() == 1
+
+
+def test_a_run_writes_only_what_is_read(spark, monkeypatch):
+    """The table between deciding and the guard, and the answers: none for an item that meets nothing."""
+    kept = {}
+
+    def keep(df, name):
+        kept[name] = rows.written(df, name)
+        return kept[name]
+    monkeypatch.setattr(intake, "written", keep)
+    monkeypatch.setattr(duplicates, "written", keep)
+    document = ('{"metadata":{"vendor_name":"A","total_amount":"%s","invoice_date":"2024-01-05","invoice_number":"1","currency":"USD"},'
+                '"line_items":[{"raw_description":"flight","total":"%s"},{"raw_description":"ticket","total":"0.00"}]}')
+    docs = messages(spark, [("a", document % (1, 1)), ("b", document % (1, 1)), ("c", document % (2, 2)), ("d", "{}")]).withColumn(
+        "document", F.when(F.col("message_id") != "d", F.col("document")))
+    whole = intake.process(docs)
+    assert {"decision_rationale", "field_evidence", "lines"} <= set(kept["judged"].columns)
+    want = {r.message_id: (r.status, r.duplicate_of) for r in whole.collect()}
+    for limit in ("10485760", "-1"):  # answers that travel to the rows, rows that travel to the answers
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        done = intake.process(docs, columns=["message_id", "category"])
+        assert {r.message_id: (r.status, r.duplicate_of) for r in done.collect()} == want
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert set(kept["judged"].columns) == {*intake._OUTCOME, "message_id", "category"}
+    assert kept["answers"].count() == 1
+    assert sorted(s for s, _ in want.values()) == ["held", "held", "posted", "posted"]
