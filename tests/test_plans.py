@@ -1,5 +1,7 @@
 """Plans and rows of steps whose cost grew with repeated work."""
 
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from tallyspark.functions import rows
@@ -125,3 +127,26 @@ def test_a_run_writes_only_what_is_read(spark, monkeypatch):
     assert set(kept["judged"].columns) == {*intake._OUTCOME, "message_id", "category"}
     assert kept["answers"].count() == 1
     assert sorted(s for s, _ in want.values()) == ["held", "held", "posted", "posted"]
+
+
+def test_annotated_documents_are_read_once(spark):
+    """Documents of one id share their citations, rows without an id have none."""
+    docs = messages(spark, [("a", DOCUMENT % "1"), ("a", DOCUMENT % "2"), ("b", DOCUMENT % '"x"'), ("c", "{}"), ("n", DOCUMENT % "3")])
+    read = intake.read_documents(docs).withColumn("invoice_id", F.when(F.col("message_id") != "n", F.col("invoice_id")))
+    found = citations.annotated(read)
+    assert "join" not in plan_of(found)
+    assert sorted((r.message_id, r.extract_error, [(c.quote, c.word_indices, c.status) for c in r.citations]) for r in found.collect()) == [
+        ("a", False, [("A", [1], "extracted"), ("A", [2], "extracted")])] * 2 + [
+        ("b", True, [("A", [None], None)]), ("c", False, []), ("n", False, [])]
+
+
+def test_own_citations_are_those_of_the_rows(spark):
+    cells = ['{"value":"v","word_indices":[1,"2",2.7,true],"page":3}', ' {"value":"v","status":"missing"}', '{"value":"v"}', '"text"', None,
+             '{"value":"","word_indices":[1]}', '{"value":"v","word_indices":"x"}', '{"value":"v","word_indices":[],"status":null}',
+             '{"value":"v","word_indices":[9],"page":"p"}', '{"value":"v","status":"odd"}', '{"value":"v","word_indices":[9],"status":"unreadable"}',
+             '[1]', '{broken', '{"value":7,"word_indices":null,"status":"extracted"}']
+    flat = spark.createDataFrame([(f"d{k}", "t", c, o, p) for k, c in enumerate(cells) for o in (None, "o") for p in (0.5, 0.9)], CELL)
+    want = citations.read_annotated(flat).select("doc_id", "target_id", "page_number", "quote", "word_indices", "status", "bad")
+    rows_of = flat.select("doc_id", F.array(F.struct("target_id", "cell", "value_override", "confidence")).alias("annotations"))
+    got = citations.own_citations(rows_of).select("doc_id", F.inline("_own"))
+    assert Counter(map(str, got.select(*want.columns).collect())) == Counter(map(str, want.collect())) and want.count() > 20
