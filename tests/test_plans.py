@@ -150,3 +150,20 @@ def test_own_citations_are_those_of_the_rows(spark):
     rows_of = flat.select("doc_id", F.array(F.struct("target_id", "cell", "value_override", "confidence")).alias("annotations"))
     got = citations.own_citations(rows_of).select("doc_id", F.inline("_own"))
     assert Counter(map(str, got.select(*want.columns).collect())) == Counter(map(str, want.collect())) and want.count() > 20
+
+
+def test_citations_join_judged_documents(spark, monkeypatch):
+    kept = {}
+
+    def keep(df, name):
+        kept[name] = rows.written(df, name)
+        return kept[name]
+    monkeypatch.setattr(intake, "written", keep)
+    docs = messages(spark, [("a", DOCUMENT % "1"), ("b", DOCUMENT % "1")])
+    word = (0, "A", 0.0, 0.0, 0.1, 0.1)
+    name = intake.read_documents(docs).where("message_id = 'a'").head().invoice_id
+    pages = spark.createDataFrame([(name, 1, [word])], "doc_id string, page_number int, words array<struct<"
+                                  "index:int,text:string,x:double,y:double,width:double,height:double>>")
+    done = {r.message_id: r.citations for r in intake.process(docs, pages=pages, columns=["message_id"]).collect()}
+    assert set(kept["judged"].columns) == {*intake._OUTCOME, "message_id", "citations"}
+    assert done["b"] is None and [c.word_indices for c in done["a"] if c.target_id == "metadata.vendor_name"] == [[0]]
