@@ -5,7 +5,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from tallyspark.functions import rows
-from tallyspark.operators import citations, duplicates, word_index
+from tallyspark.operators import audit, citations, duplicates, word_index
 from tallyspark.plans import intake
 from tallyspark.sources import buckets
 
@@ -167,3 +167,15 @@ def test_citations_join_judged_documents(spark, monkeypatch):
     done = {r.message_id: r.citations for r in intake.process(docs, pages=pages, columns=["message_id"]).collect()}
     assert set(kept["judged"].columns) == {*intake._OUTCOME, "message_id", "citations"}
     assert done["b"] is None and [c.word_indices for c in done["a"] if c.target_id == "metadata.vendor_name"] == [[0]]
+
+
+def test_events_are_numbered_where_they_are_made(spark):
+    """Steps that did not happen are dropped after a compiled explode, not by a lambda before it."""
+    docs = messages(spark, [("a", DOCUMENT % "1"), ("b", '{"metadata":{"total_amount":"n/a"}}')])
+    done = intake.process(docs, columns=[*audit.EVENT_COLUMNS, "error_message"]).withColumn(
+        "sheet_row_ref", F.lit("r")).withColumn("deduped", F.lit(False)).withColumn("run_ts", F.col("created_at"))
+    events = audit.stage_events(done, "run", "message_id")
+    assert "posexplode" not in plan_of(events)
+    got = sorted((r.message_id, r.seq, r.action) for r in events.collect())
+    assert got == [("a", k + 1, x) for k, x in enumerate(("received", "parsed", "extracted", "classified", "categorized", "held"))] + [
+        ("b", k + 1, x) for k, x in enumerate(("received", "parsed", "failed"))]
